@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioframe.llm import mixing
+from folioframe.llm import mixing, toxicity
 
-QUERIES = {"op9_mixing": mixing.op9_mixing}
+QUERIES = {"op8_toxicity": toxicity.op8_toxicity, "op9_mixing": mixing.op9_mixing}
 ORACLES = {"op9_mixing": mixing.ORACLE}
