@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioframe.llm import mixing, ngram_join, toxicity
+from folioframe.llm import mixing, ngram_join, suffix_dedup, toxicity
 
-QUERIES = {"op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join, "op8_toxicity": toxicity.op8_toxicity, "op9_mixing": mixing.op9_mixing}
+QUERIES = {"op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join, "op7_suffix_array_dedup": suffix_dedup.op7_suffix_array_dedup, "op8_toxicity": toxicity.op8_toxicity, "op9_mixing": mixing.op9_mixing}
 ORACLES = {"op9_mixing": mixing.ORACLE}
