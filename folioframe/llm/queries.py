@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioframe.llm import bpe, langid, lm, mixing, ngram_join, quality, suffix_dedup, token_counts, toxicity
+from folioframe.llm import ann, bpe, langid, lm, mixing, ngram_join, quality, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_suffix_array_dedup": suffix_dedup.op7_suffix_array_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_mixing": mixing.op9_mixing,
+    "op10_nearest_neighbours": ann.op10_nearest_neighbours,
 }
 ORACLES = {"op4_token_counts": token_counts.ORACLE, "op9_mixing": mixing.ORACLE}
