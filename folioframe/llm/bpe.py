@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ from folioframe.llm import vec
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Strings that a worker remembers before it starts anew; a matter of memory, not of results.
-REMEMBERED = 1_500_000
+REMEMBERED = 500_000
+#: Strings handed to the library at once; what it returns takes about a KB each until the ids are taken out.
+AT_ONCE = 2_048
 
 
 def byte_table() -> dict[str, int]:
@@ -75,17 +78,20 @@ class Codec:
         """(ids of all texts, number of ids of each)."""
         if len(self.codes) > REMEMBERED:
             self._forget()
-        split = [self.pattern.findall(t) for t in texts]
-        flat = [p for s in split for p in s]
-        codes = np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
+        code = self.codes.__getitem__
+        parts = [np.fromiter(map(code, self.pattern.findall(t)), np.int32) for t in texts]
+        codes = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         if self.fresh:
-            new = [e.ids for e in self.tokenizer.encode_batch(self.fresh, add_special_tokens=False)]
-            self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, new), np.int64, len(new))])
-            self.ids = np.concatenate([self.ids, np.array([i for x in new for i in x], np.int32)])
+            ids, lengths = [self.ids], [self.lengths]
+            for lo in range(0, len(self.fresh), AT_ONCE):
+                new = [e.ids for e in self.tokenizer.encode_batch(self.fresh[lo : lo + AT_ONCE], add_special_tokens=False)]
+                lengths.append(np.fromiter(map(len, new), np.int64, len(new)))
+                ids.append(np.fromiter(chain.from_iterable(new), np.int32, int(lengths[-1].sum())))
+            self.ids, self.lengths = np.concatenate(ids), np.concatenate(lengths)
             self.fresh.clear()
         start = np.cumsum(self.lengths) - self.lengths
         size = self.lengths[codes]
-        doc = np.repeat(np.arange(len(texts)), [len(s) for s in split])
+        doc = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
         return self.ids[vec.ragged(start[codes], size)], np.bincount(doc, size, len(texts)).astype(np.int64)
 
     def offsets(self, ids: np.ndarray, counts: np.ndarray, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +137,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary.value)
-        for b in vec.pieces(batches, limit=2 << 20):
+        for b in vec.pieces(batches, limit=1 << 20):
             texts = vec.strings(b.column("text"))
             data, offs = vec.buffers(texts)
             ids, counts = c.encode(texts.to_pylist())
