@@ -1,6 +1,521 @@
-"""Every query of the document operators, with its SQL where SQL can express it."""
+"""Every query of the document operators, with its SQL where SQL can express it. All read their whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from folioframe.api import process_pages
+from folioframe.functions import text as T
+from folioframe.functions.vectorized import nfkd
+from folioframe.operators import abbreviations as A
+from folioframe.operators import article, bioc, headings, jats, pipetables, tables
+from folioframe.plans.configs import default_config
+from folioframe.sources import bioc_io, dom, files
+from folioframe.sources.ontology import IDS, default_ontology
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"), F.col("html").alias("content"))
+
+
+LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents"
+
+
+def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+# pages
+
+
+@query()
+def bioc_flagship(spark, sf_dir):
+    """Pages to BioC collections with typed paragraphs, offsets, abbreviations and tables."""
+    done = process_pages(pages_of(spark, sf_dir), default_config("WEB_PAGE"), date=F.lit("20240101"))
+    return done.select("page_id", "title", F.size("paragraphs").alias("n_paragraphs"), bioc_io.to_json(F.col("bioc")).alias("bioc"), F.to_json("abbreviations").alias("abbreviations"), F.size("tables").alias("n_tables"))
+
+
+ENTITIES = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')"
+
+
+@query(f"SELECT page_id, {ENTITIES.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS title FROM pages")
+def html_title(spark, sf_dir):
+    parsed = dom.parse(pages_of(spark, sf_dir).drop("path"))
+    return parsed.select("page_id", article.title_of(default_config("WEB_PAGE")).alias("title"))
+
+
+@query(f"""
+WITH a AS (SELECT page_id, list_filter(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a [^>]*>([^<]*)</a>', 1), lambda x: trim(x) <> '') AS l FROM pages)
+SELECT page_id, {ENTITIES.format("array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ')")} AS keywords FROM a
+""")
+def html_keywords(spark, sf_dir):
+    parsed = dom.parse(pages_of(spark, sf_dir).drop("path"))
+    return parsed.select("page_id", F.coalesce(article.keywords_of(default_config("WEB_PAGE")), F.lit("")).alias("keywords"))
+
+
+@query()
+def html_paragraphs(spark, sf_dir):
+    done = article.read_pages(pages_of(spark, sf_dir).drop("path"), default_config("WEB_PAGE"))
+    return done.select("page_id", F.posexplode("paragraphs").alias("nth", "p")).select("page_id", "nth", "p.section_heading", "p.subsection_heading", "p.body")
+
+
+@query()
+def html_nodes(spark, sf_dir):
+    parsed = dom.parse(pages_of(spark, sf_dir).drop("path"))
+    return parsed.select("page_id", "flat", F.explode("nodes").alias("n")).select("page_id", "n.pre", "n.last", "n.parent", "n.depth", "n.tag", F.md5(dom.text_of(F.col("n"))).alias("text"))
+
+
+@query("SELECT true AS ok, count(*) AS n FROM pages HAVING count(*) > 0")
+def status_tally(spark, sf_dir):
+    parsed = dom.parse(pages_of(spark, sf_dir).drop("path"))
+    return bioc_io.tally(parsed.select(F.col("parse_error").isNull().alias("ok")))
+
+
+# files
+
+PATHS = "'/data/' || source || '/' || doc_id::VARCHAR || CASE lang WHEN 'en' THEN '.html' WHEN 'de' THEN '_table_' || (n_chars)::VARCHAR || '.html' WHEN 'fr' THEN '.v2.XML' ELSE '.txt' END"
+
+
+def paths_of(spark, sf_dir) -> DataFrame:
+    ending = F.when(F.col("lang") == "en", ".html").when(F.col("lang") == "de", F.concat(F.lit("_table_"), F.col("n_chars"), F.lit(".html"))).when(F.col("lang") == "fr", ".v2.XML").otherwise(".txt")
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/data/"), "source", F.lit("/"), "doc_id", ending).alias("path"))
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, {PATHS} AS path FROM documents)
+SELECT doc_id, path, CASE WHEN regexp_matches(path, '_table_[0-9]+\\.html$') THEN 'linked_tables' WHEN regexp_matches(lower(path), '\\.(html|xml)$') THEN 'main_text' ELSE '' END AS kind,
+  CASE WHEN regexp_matches(lower(path), '\\.(html|xml)$') THEN 'HTML' ELSE 'UNKNOWN' END AS file_type,
+  regexp_replace(regexp_replace(path, '_table_[0-9]+\\.html$', ''), '\\.html$', '') AS key,
+  split_part(regexp_extract(path, '([^/]*)$', 1), '.', 1) AS document, regexp_extract(path, '_table_([0-9]+)\\.html$', 1) AS linked_id
+FROM p
+""")
+def file_routes(spark, sf_dir):
+    p = F.col("path")
+    return paths_of(spark, sf_dir).select("doc_id", "path", T.input_kind(p).alias("kind"), T.file_type(p, F.lit(False)).alias("file_type"), T.base_key(p).alias("key"), T.document_id(p).alias("document"), T.linked_table_id(p).alias("linked_id"))
+
+
+@query(f"""
+WITH p AS (SELECT {PATHS.replace("doc_id::VARCHAR", "(doc_id // 4)::VARCHAR")} AS path FROM documents),
+k AS (SELECT path, regexp_replace(regexp_replace(path, '_table_[0-9]+\\.html$', ''), '\\.html$', '') AS key,
+  CASE WHEN regexp_matches(path, '_table_[0-9]+\\.html$') THEN 1 ELSE 0 END AS linked FROM p WHERE NOT regexp_matches(path, '\\.txt$'))
+SELECT key, min(path) FILTER (linked = 0) AS main_text, coalesce(list_sort(list(path) FILTER (linked = 1)), []) AS linked_tables FROM k GROUP BY key
+""")
+def file_groups(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.floor(F.col("doc_id") / 4))
+    ending = F.when(F.col("lang") == "en", ".html").when(F.col("lang") == "de", F.concat(F.lit("_table_"), F.col("n_chars"), F.lit(".html"))).when(F.col("lang") == "fr", ".v2.XML").otherwise(".txt")
+    return files.grouped(docs.select(F.concat(F.lit("/data/"), "source", F.lit("/"), "doc_id", ending).alias("path")))
+
+
+# passages
+
+
+@query(f"""
+WITH l AS (SELECT * FROM ({LINES}) WHERE line <> '')
+SELECT doc_id, row_number() OVER w - 1 AS nth, (coalesce(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS passage_offset,
+  'IAO:0000326' AS iao_id, line AS text FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)
+""")
+def text_passages(spark, sf_dir):
+    found = bioc.text_passages(F.col("text"), "\n")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("nth", "p"))
+    return rows.select("doc_id", F.col("nth").cast("long").alias("nth"), F.col("p.offset").cast("long").alias("passage_offset"), F.element_at("p.infons", "iao_id_1").alias("iao_id"), "p.text")
+
+
+@query(f"""
+WITH l AS (SELECT *, (coalesce(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS passage_offset FROM ({LINES}))
+SELECT doc_id, passage_offset, CASE WHEN line = upper(line) AND line <> lower(line) THEN 'document title' ELSE 'supplementary material section' END AS kind, line AS text FROM l WHERE line <> ''
+""")
+def word_passages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    parts = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text"), F.lit(False).alias("is_header")))
+    rows = docs.select("doc_id", F.explode(bioc.word_passages(parts)).alias("p"))
+    return rows.select("doc_id", F.col("p.offset").cast("long").alias("passage_offset"), F.element_at("p.infons", "iao_name_1").alias("kind"), "p.text")
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, text AS body, role AS sec, split_part(text, ' ', 1) AS sub, 'conversation ' || conv_id::VARCHAR AS title FROM conversations),
+h AS (SELECT conv_id, turn, title, sub AS h, 0 AS k FROM c UNION ALL SELECT conv_id, turn, title, sec, 1 FROM c),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, h ORDER BY turn, k) AS nth FROM h),
+e AS (SELECT conv_id, turn, sum(CASE WHEN nth = 1 AND h <> title THEN length(h) ELSE 0 END) AS extra FROM f GROUP BY ALL)
+SELECT c.conv_id, c.turn, (length(title) + coalesce(sum(length(body) + extra) OVER (PARTITION BY c.conv_id ORDER BY c.turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS passage_offset
+FROM c JOIN e USING (conv_id, turn)
+""")
+def passage_offsets(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("body"), F.col("role").alias("sec"), F.split_part("text", F.lit(" "), F.lit(1)).alias("sub"))
+    title = F.concat(F.lit("conversation "), F.col("conv_id"))
+    done = bioc.passage_offsets(rows, "conv_id", "turn", title, "body", "sec", "sub")
+    return done.select("conv_id", "turn", F.col("offset").cast("long").alias("passage_offset"))
+
+
+@query()
+def passage_offsets_nested(spark, sf_dir):
+    """The same offsets by folding each conversation in one row, as the pipeline does."""
+    turns = table(spark, sf_dir, "conversations")
+    p = F.struct("turn", F.col("text").alias("body"), F.col("role").alias("section_heading"), F.split_part("text", F.lit(" "), F.lit(1)).alias("subsection_heading"), F.array().cast("array<struct<iao_name:string,iao_id:string>>").alias("section_type"), *[F.lit(None).cast("string").alias(x) for x in ("title", "journal", "volume")])
+    rows = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(p)).alias("paragraphs")).withColumn("title", F.concat(F.lit("conversation "), F.col("conv_id")))
+    found = rows.select("conv_id", F.posexplode(F.transform(bioc.passages(), lambda x: x["offset"])).alias("nth", "at"))
+    return found.where("nth > 0").select("conv_id", (F.col("nth") - 1).alias("turn"), F.col("at").cast("long").alias("passage_offset"))
+
+
+@query(f"SELECT doc_id, min(line_no) AS line_no, line FROM ({LINES}) WHERE line <> '' GROUP BY doc_id, line")
+def passage_dedupe(spark, sf_dir):
+    return article.distinct_bodies(lines_of(spark, sf_dir), "doc_id", "line_no", "line").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+@query("""
+SELECT event_id, user_id, coalesce(last_value(CASE WHEN event_type = 'click' THEN props END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS subheading FROM events
+""")
+def subheading_carry(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_type") == "click", F.col("props")).alias("h"))
+    return article.carry_forward(rows, "user_id", "event_id", "h").select("event_id", "user_id", "subheading")
+
+
+@query(f"""
+WITH f AS (SELECT doc_id, line, min(line_no) AS line_no FROM ({LINES}) WHERE line NOT IN ('', ' ') GROUP BY doc_id, line)
+SELECT doc_id, line_no, (coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS passage_offset, line FROM f
+""")
+def jats_offsets(spark, sf_dir):
+    rows = article.distinct_bodies(lines_of(spark, sf_dir).where("line <> ' '"), "doc_id", "line_no", "line")
+    w = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0))
+    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), at.alias("passage_offset"), "line")
+
+
+def _escape(c):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+@query()
+def jats_articles(spark, sf_dir):
+    """Documents as JATS: the first line the title, the others paragraphs of one section; to passages."""
+    parts = F.split("text", "\n")
+    body = F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(F.lit("<p>"), _escape(p), F.lit("</p>"))), "")
+    xml = F.concat(F.lit("<article><front><article-meta><article-id pub-id-type='pmc'>"), "doc_id", F.lit("</article-id><title-group><article-title>"), _escape(parts[0]), F.lit("</article-title></title-group></article-meta></front><body><sec><title>Results</title>"), body, F.lit("</sec></body></article>"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("path"), xml.alias("content"))
+    done = jats.article(docs, date=F.lit("20240101")).select("doc_id", F.posexplode(F.col("bioc.documents")[0]["passages"]).alias("nth", "p"))
+    return done.select("doc_id", "nth", "p.offset", F.element_at("p.infons", "section_title_1").alias("section"), F.element_at("p.infons", "iao_id_1").alias("iao_id"), "p.text")
+
+
+# text of bars
+
+
+@query(f"""
+WITH l AS (SELECT *, contains(line, '|') AS is_table FROM ({LINES}) WHERE regexp_matches(line, '\\S')),
+o AS (SELECT *, CASE WHEN is_table AND NOT coalesce(lag(is_table) OVER (PARTITION BY doc_id ORDER BY line_no), false) THEN 1 ELSE 0 END AS opens FROM l)
+SELECT doc_id, line_no, is_table, CASE WHEN is_table THEN sum(opens) OVER (PARTITION BY doc_id ORDER BY line_no) ELSE 0 END::INTEGER AS island FROM o
+""")
+def pipe_lines(spark, sf_dir):
+    return pipetables.lines(table(spark, sf_dir, "documents")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "is_table", "island")
+
+
+@query(f"""
+WITH l AS (SELECT *, contains(line, '|') AS is_table FROM ({LINES}) WHERE regexp_matches(line, '\\S')),
+o AS (SELECT *, CASE WHEN is_table AND NOT coalesce(lag(is_table) OVER (PARTITION BY doc_id ORDER BY line_no), false) THEN 1 ELSE 0 END AS opens FROM l),
+i AS (SELECT doc_id, line_no, sum(opens) OVER (PARTITION BY doc_id ORDER BY line_no)::INTEGER AS island, is_table,
+  list_filter(list_transform(string_split(line, '|'), lambda c: trim(c)), lambda c: c <> '' AND NOT regexp_matches(c, '^[-–—]+$')) AS cells, line FROM o),
+t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY line_no) - 1 AS row_no, max(len(cells)) OVER (PARTITION BY doc_id, island) AS width
+  FROM i WHERE is_table AND NOT regexp_matches(regexp_replace(line, '[\\s|:]', '', 'g'), '^[-–—]+$'))
+SELECT doc_id, island, row_no, unnest(range(width)) AS col_no, coalesce(unnest(list_resize(cells, width)), '') AS cell FROM t
+""")
+def pipe_cells(spark, sf_dir):
+    return pipetables.cells(table(spark, sf_dir, "documents")).select("doc_id", "island", F.col("row_no").cast("long").alias("row_no"), F.col("col_no").cast("long").alias("col_no"), "cell")
+
+
+@query()
+def rendered_text(spark, sf_dir):
+    found = table(spark, sf_dir, "documents").withColumn("x", pipetables.split_text(F.col("text")))
+    return found.select("doc_id", F.length("x.text").alias("n_text"), F.size("x.grids").alias("n_grids"), F.to_json("x.grids").alias("grids"))
+
+
+# clean text
+
+
+@query("""
+SELECT doc_id, md5(translate(text, chr(160) || chr(173) || chr(8208) || chr(215), ' --x')) AS cleaned,
+  md5(replace(regexp_replace(text, ' {2,}', ' ', 'g'), chr(10), ' ')) AS collapsed,
+  md5(regexp_replace(replace(replace(text, 'Go to:', ''), chr(10), ''), '\\s{2,}', ' ', 'g')) AS as_reference FROM documents
+""")
+def clean_text(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_unicode(t)).alias("cleaned"), F.md5(T.collapse_spaces(t)).alias("collapsed"), F.md5(T.reference_text(t)).alias("as_reference"))
+
+
+@query("""
+SELECT page_id, md5(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&'), chr(160), ' ')) AS decoded,
+  length(regexp_replace(html, '<[^>]*>', '', 'g')) AS n_without_tags FROM pages
+""")
+def decode_entities(spark, sf_dir):
+    t = F.col("html")
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.decode_entities(t)).alias("decoded"), F.length(T.strip_tags(t)).cast("long").alias("n_without_tags"))
+
+
+@query("SELECT doc_id, md5(text) AS repaired, md5(text) AS unescaped FROM documents")
+def repair_text(spark, sf_dir):
+    """Texts garbled on purpose, by reading UTF-8 as Latin-1 and by escapes, come back as they were."""
+    t = F.col("text")
+    garbled = F.decode(F.encode(t, "UTF-8"), "ISO-8859-1")
+    escaped = F.replace(F.replace(t, F.lit("é"), F.lit("\\u00e9")), F.lit("ü"), F.lit("\\u00FC"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.repair_mojibake(garbled)).alias("repaired"), F.md5(T.unescape_unicode(escaped)).alias("unescaped"))
+
+
+@query()
+def decomposed(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(nfkd("text")).alias("n_chars_nfkd"))
+
+
+# headings
+
+FIRST = "SELECT doc_id, lower(regexp_extract(text, '^[^\\n]*')) AS h FROM documents"
+
+
+@query(f"""
+WITH f AS ({FIRST}),
+t AS (SELECT doc_id, array_to_string(regexp_extract_all(h, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]+'), ' ') AS tokens FROM f)
+SELECT doc_id, tokens, regexp_replace('2 . ' || tokens, '^\\d*\\s?[(.]\\]?\\s?', '') AS stripped,
+  list_transform(regexp_split_to_array(tokens, ' and |\\s?/\\s?|\\s?&\\s?'), lambda x: regexp_replace(x, '^\\d*\\s?[(.]\\]?\\s?', '')) AS parts,
+  contains(tokens, ' and ') OR contains(tokens, '&') OR contains(tokens, '/') AS compound FROM t
+""")
+def heading_tokens(spark, sf_dir):
+    h = F.regexp_extract("text", r"^[^\n]*", 0)
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.tokens_of_heading(h).alias("tokens"))
+    t = F.col("tokens")
+    return rows.select("doc_id", "tokens", T.strip_number(F.concat(F.lit("2 . "), t)).alias("stripped"), T.heading_parts(t).alias("parts"), T.is_compound(t).alias("compound"))
+
+
+def _numbered(spark, sf_dir) -> DataFrame:
+    known = spark.createDataFrame([(h, t) for t, hs in default_ontology()[0].items() for h in hs], "known string, term string")
+    regions = table(spark, sf_dir, "nation").select("n_nationkey")
+    return known.crossJoin(regions).select(F.concat(F.col("n_nationkey") + 1, F.lit(". "), F.initcap("known")).alias("heading"), "known")
+
+
+@query()
+def heading_types(spark, sf_dir):
+    """Section types of all known headings with numbers before them, by the function of the pipeline."""
+    rows = _numbered(spark, sf_dir).select("heading").distinct()
+    return rows.select("heading", F.explode(F.get(headings.typed(F.array("heading")), F.lit(0))).alias("t")).select("heading", "t.iao_name", "t.iao_id")
+
+
+@query()
+def heading_lookup(spark, sf_dir):
+    """The same by joins with the dictionary."""
+    terms = list(default_ontology()[0].items())
+    dictionary = spark.createDataFrame([(h, t, i) for i, (t, hs) in enumerate(terms) for h in hs], "heading string, term string, rank int")
+    return headings.lookup(_numbered(spark, sf_dir), dictionary, IDS).select("heading", "iao_name", "iao_id")
+
+
+# abbreviations
+
+
+@query("SELECT doc_id, unnest(list_transform(string_split(text, '.'), lambda x: regexp_replace(x, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'))) AS sentence, unnest(range(len(string_split(text, '.')))) AS nth FROM documents")
+def sentences(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("nth", "sentence")).select("doc_id", F.col("nth").cast("long").alias("nth"), "sentence")
+
+
+@query("""
+WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '\\s+')) AS word FROM documents)
+SELECT word, NOT regexp_matches(word, '^\\p{N}+$') AND NOT regexp_matches(word, '^\\p{Ll}+$') AND regexp_matches(word, '^([\\p{L}\\p{N}][.\\-]?){2,10}$') AS is_short,
+  regexp_replace('(' || word || '";', '([(;:])["''\\p{Pi}\\p{Pf}]|["''\\p{Pi}\\p{Pf}]([);:])', '\\1\\2', 'g') AS unquoted FROM w
+""")
+def short_forms(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("word")).distinct()
+    return words.select("word", T.is_short_form(F.col("word")).alias("is_short"), T.drop_quotes(F.concat(F.lit("("), "word", F.lit('";'))).alias("unquoted"))
+
+
+def _part_sentences(spark, sf_dir) -> DataFrame:
+    initials = F.upper(F.concat(F.substring(F.split_part("p_name", F.lit(" "), F.lit(1)), 1, 1), F.substring(F.split_part("p_name", F.lit(" "), F.lit(2)), 1, 1)))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name", F.concat(F.lit("We used a "), "p_name", F.lit(" ("), initials, F.lit(") here. It works")).alias("text"))
+
+
+@query("SELECT p_partkey, upper(substr(p_name, 1, 1) || substr(split_part(p_name, ' ', 2), 1, 1)) AS short, p_name AS long FROM part")
+def abbreviation_pairs(spark, sf_dir):
+    rows = _part_sentences(spark, sf_dir).withColumn("para", F.lit(0))
+    return A.pairs(rows, "p_partkey").select("p_partkey", "short", "long")
+
+
+@query("""
+WITH f AS (SELECT p_size AS doc_id, p_brand AS para, p_partkey AS nth, upper(substr(p_name, 1, 1) || substr(split_part(p_name, ' ', 2), 1, 1)) AS short, p_name AS long FROM part),
+c AS (SELECT doc_id, para, short, long, count(*) AS n, min(nth) AS first_nth FROM f GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, para, short ORDER BY n DESC, first_nth) AS k FROM c),
+m AS (SELECT doc_id, para, short, long FROM r WHERE k = 1)
+SELECT doc_id, short, arg_max(long, para) AS long FROM m GROUP BY doc_id, short
+""")
+def abbreviation_choice(spark, sf_dir):
+    """The most common definition in each paragraph, the last paragraph over all."""
+    rows = _part_sentences(spark, sf_dir)
+    brand = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("_k"), F.col("p_brand").alias("para"))
+    rows = rows.join(brand, F.col("p_partkey") == F.col("_k")).select(F.col("p_size").alias("doc_id"), "para", "p_partkey", "text")
+    one = rows.select("doc_id", "para", "p_partkey", F.explode(A.found_in(T.sentences(F.col("text")))).alias("x"))
+    found = one.select("doc_id", "para", F.col("p_partkey").alias("nth"), "x.short", "x.long")
+    return A.last_paragraph_wins(A.most_common(found)).select("doc_id", "short", "long")
+
+
+@query("""
+WITH t AS (SELECT DISTINCT p_size AS doc_id, p_type AS short, p_name AS long FROM part WHERE p_brand < 'Brand#2'),
+a AS (SELECT DISTINCT p_size AS doc_id, p_type AS short, p_name AS long FROM part WHERE p_brand >= 'Brand#15'),
+u AS (SELECT *, 1 AS k FROM t UNION ALL SELECT *, 0 FROM a)
+SELECT doc_id, short, long, array_to_string(list_transform(list_sort(list(k)), lambda x: CASE x WHEN 0 THEN 'abbreviations section' ELSE 'fulltext' END), ', ') AS algorithms FROM u GROUP BY doc_id, short, long
+""")
+def abbreviation_merge(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.col("p_size").alias("doc_id"), F.col("p_type").alias("short"), F.col("p_name").alias("long"), F.col("p_name").alias("place"), "p_brand")
+    text, author = (part.where(c).drop("p_brand").distinct() for c in ("p_brand < 'Brand#2'", "p_brand >= 'Brand#15'"))
+    return A.merged(author, text).select("doc_id", "short", "long", F.array_join("algorithms", ", ").alias("algorithms"))
+
+
+@query()
+def abbreviation_numbers(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.col("p_size").alias("doc_id"), F.col("p_type").alias("short"), F.col("p_name").alias("long"), F.col("p_name").alias("place")).distinct()
+    return A.numbered(A.merged(part.limit(0), part)).select("doc_id", "text_short", F.to_json("fields").alias("fields"))
+
+
+# cells and tables
+
+NUMERIC = "^[+-]?(\\d+(\\.\\d*)?|\\.\\d+)([eE][+-]?\\d+)?$"
+KIND = f"""CASE WHEN lower(c) IN ('none', '', '-') THEN 'none' WHEN regexp_matches(replace(lower(c), ',', ''), '{NUMERIC}') THEN 'num'
+  WHEN regexp_matches(c, '\\p{{Nd}}') THEN CASE WHEN regexp_matches(c, '^\\p{{Nd}}+$') THEN 'num' ELSE 'mix' END ELSE 'txt' END"""
+CELLS = "SELECT DISTINCT unnest(regexp_split_to_array(text, '[ \\n|]+')) AS c FROM documents UNION SELECT o_orderkey::VARCHAR FROM orders UNION SELECT o_orderpriority FROM orders"
+
+
+def _cells(spark, sf_dir) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "[ \n|]+")).alias("c"))
+    orders = table(spark, sf_dir, "orders")
+    return words.unionByName(orders.select(F.col("o_orderkey").cast("string").alias("c"))).unionByName(orders.select(F.col("o_orderpriority").alias("c"))).distinct()
+
+
+@query(f"""
+WITH x AS ({CELLS}) SELECT c, {KIND} AS kind,
+  CASE WHEN regexp_matches(replace(translate(c, '−–', '--'), ',', ''), '{NUMERIC}') THEN replace(translate(c, '−–', '--'), ',', '')::DOUBLE END AS number FROM x
+""")
+def cell_kinds(spark, sf_dir):
+    c = F.col("c")
+    return _cells(spark, sf_dir).select("c", T.cell_kind(c).alias("kind"), T.number_of(c).alias("number"))
+
+
+@query(f"""
+WITH x AS (SELECT o_custkey, unnest([o_orderkey::VARCHAR, o_orderpriority, CASE WHEN o_orderkey < 500 THEN '-' ELSE o_orderstatus END]) AS c, unnest([0, 1, 2]) AS col_no FROM orders),
+k AS (SELECT o_custkey, col_no, {KIND} AS kind FROM x),
+n AS (SELECT o_custkey, col_no, count(*) FILTER (kind = 'num') AS n, count(*) FILTER (kind = 'txt') AS t, count(*) FILTER (kind = 'mix') AS m FROM k GROUP BY ALL)
+SELECT o_custkey, col_no, CASE WHEN n >= t AND n >= m THEN 'num' WHEN t >= m THEN 'txt' ELSE 'mix' END AS kind FROM n
+""")
+def column_kinds(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    cols = [F.col("o_orderkey").cast("string"), F.col("o_orderpriority"), F.when(F.col("o_orderkey") < 500, "-").otherwise(F.col("o_orderstatus"))]
+    grid = o.groupBy("o_custkey").agg(*[F.collect_list(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    return grid.select("o_custkey", F.posexplode(F.array(*[T.column_kind(F.col(f"c{i}")) for i in range(3)])).alias("col_no", "kind"))
+
+
+@query("""
+WITH r AS (SELECT l_orderkey, l_linenumber, [l_returnflag, CASE WHEN l_linenumber = 1 THEN l_returnflag ELSE '' END, CASE WHEN l_linestatus = 'O' THEN '' ELSE l_returnflag END, CASE WHEN l_linenumber = 2 THEN '5' ELSE 'None' END] AS cells FROM lineitem),
+d AS (SELECT *, list_distinct(list_filter(cells, lambda x: x NOT IN ('', 'None'))) AS v FROM r)
+SELECT l_orderkey, l_linenumber, len(v) = 1 AND regexp_matches(v[1], '^[a-zA-Z]') AS superrow FROM d
+""")
+def superrows(spark, sf_dir):
+    flag, line = F.col("l_returnflag"), F.col("l_linenumber")
+    cells = F.array(flag, F.when(line == 1, flag).otherwise(""), F.when(F.col("l_linestatus") == "O", "").otherwise(flag), F.when(line == 2, "5").otherwise("None"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.is_superrow(cells).alias("superrow"))
+
+
+@query("""
+WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag = 'R' AS h, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem),
+o AS (SELECT *, CASE WHEN h AND NOT coalesce(lag(h) OVER (PARTITION BY l_orderkey ORDER BY pos), false) THEN 1 ELSE 0 END AS opens FROM f)
+SELECT l_orderkey, pos, CASE WHEN h THEN sum(opens) OVER (PARTITION BY l_orderkey ORDER BY pos) ELSE 0 END::BIGINT AS island FROM o
+""")
+def header_islands(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("h", F.col("l_returnflag") == "R")
+    rows = rows.withColumn("pos", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long"))
+    return tables.islands(rows, "l_orderkey", "pos", "h").select("l_orderkey", "pos", F.coalesce("island", F.lit(0)).cast("long").alias("island"))
+
+
+@query("""
+SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN l_linenumber::VARCHAR || 'e-' || l_suppkey::VARCHAR WHEN l_returnflag = 'A' THEN l_linenumber::VARCHAR || '.5e-' || l_suppkey::VARCHAR ELSE 'n = ' || l_linenumber::VARCHAR END AS p FROM lineitem
+""")
+def p_values(spark, sf_dir):
+    n, s = F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string")
+    raw = F.when(F.col("l_returnflag") == "R", F.concat(F.lit(" "), n, F.lit(" × 10–"), s)).when(F.col("l_returnflag") == "A", F.concat(F.lit("("), n, F.lit(".5 E − "), s, F.lit(")"))).otherwise(F.concat(F.lit("n = "), n))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", T.normal_p_value(T.clean_cell(raw)).alias("p"))
+
+
+@query("""
+WITH r AS (SELECT n_regionkey, n_name, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation)
+SELECT n_regionkey, n_regionkey::VARCHAR || '.' || (k + 1)::VARCHAR || '.1' AS cell_id, n_name AS cell_text FROM r
+UNION ALL SELECT n_regionkey, n_regionkey::VARCHAR || '.' || (k + 1)::VARCHAR || '.2', n_nationkey::VARCHAR FROM r
+UNION ALL SELECT DISTINCT n_regionkey, n_regionkey::VARCHAR || '.1.0', 'name' FROM r
+UNION ALL SELECT DISTINCT n_regionkey, n_regionkey::VARCHAR || '.1.1', 'key' FROM r
+""")
+def grid_cells(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("r"))
+    grid = F.concat(F.array(F.array(F.lit("name"), F.lit("key"))), F.transform("r", lambda x: F.array(x["n_name"], x["n_nationkey"].cast("string"))))
+    docs = rows.select("n_regionkey", bioc.grid_document(grid, F.col("n_regionkey"), F.lit("")).alias("d"))
+    p = docs.select("n_regionkey", F.col("d.passages")[0].alias("p"))
+    return p.select("n_regionkey", F.explode(F.concat("p.column_headings", F.flatten(F.col("p.data_section")[0]["data_rows"]))).alias("c")).select("n_regionkey", "c.cell_id", "c.cell_text")
+
+
+@query("""
+WITH p AS (SELECT p_brand, p_type, p_name, p_size, p_partkey FROM part),
+t AS (SELECT p_brand, p_type AS section_name, count(*) AS n_rows, sum(p_size) AS total FROM p GROUP BY ALL)
+SELECT p_brand, section_name, n_rows, total::DOUBLE AS total FROM t
+""")
+def table_sections(spark, sf_dir):
+    """Parts as a table per brand, a superrow before each type: cut into sections with numbers in their cells."""
+    rows = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_size"))).alias("r"))
+    part = F.concat(F.array(F.array(F.col("p_type"), F.lit(""), F.lit(""))), F.transform("r", lambda x: F.array(x["p_name"], x["p_partkey"].cast("string"), x["p_size"].cast("string"))))
+    grids = rows.select("p_brand", F.struct("p_type", part.alias("part")).alias("x")).groupBy("p_brand").agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["part"])).alias("body"))
+    grid = F.concat(F.array(F.array(F.lit("name"), F.lit("key"), F.lit("size"))), F.col("body"))
+    heads = F.transform(grid, lambda _, i: i == 0)
+    done = grids.withColumn("parts", tables.sectioned(tables.with_subheaders(tables.with_sections(grid, heads))))
+    s = done.select("p_brand", F.explode("parts").alias("t")).select("p_brand", F.explode("t.sections").alias("s"))
+    return s.select("p_brand", F.col("s.name").alias("section_name"), F.size("s.rows").cast("long").alias("n_rows"), F.aggregate("s.rows", F.lit(0.0), lambda a, r: a + T.number_of(r[2])).alias("total"))
+
+
+# codecs
+
+
+@query("SELECT doc_id, string_split(text, chr(10))[1] AS first_line, md5(text) AS text, doc_id::VARCHAR AS id FROM documents")
+def bioc_json_roundtrip(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    part = bioc.passage(F.lit(0), bioc.infons((F.lit("first"), F.split("text", "\n")[0])), F.col("text"))
+    c = bioc.collection(bioc.FULL_TEXT, F.array(bioc.document(F.col("doc_id").cast("string"), F.col("source"), F.array(part))), F.lit("20240101"))
+    back = docs.select("doc_id", bioc_io.from_json(bioc_io.to_json(c)).alias("c")).select("doc_id", F.col("c.documents")[0].alias("d"))
+    p = F.col("d.passages")[0]
+    return back.select("doc_id", p["infons"]["first"].alias("first_line"), F.md5(p["text"]).alias("text"), F.col("d.id").alias("id"))
+
+
+@query("SELECT doc_id, source AS infon, md5(text) AS text, doc_id::VARCHAR AS id FROM documents")
+def bioc_xml_roundtrip(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    part = bioc.passage(F.lit(0), bioc.infons((F.lit("source"), F.col("source"))), F.col("text"))
+    c = bioc.collection(bioc.FULL_TEXT, F.array(bioc.document(F.col("doc_id").cast("string"), F.col("source"), F.array(part))), F.lit("20240101"))
+    back = docs.select("doc_id", bioc_io.from_xml(bioc_io.to_xml(c.cast(bioc.COLLECTION))).alias("c")).select("doc_id", F.col("c.documents")[0].alias("d"))
+    p = F.col("d.passages")[0]
+    return back.select("doc_id", p["infons"]["source"].alias("infon"), F.md5(p["text"]).alias("text"), F.col("d.id").alias("id"))
+
+
+@query("""
+WITH a AS (SELECT doc_id, text FROM documents), b AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN text || '!' ELSE text END AS text FROM documents)
+SELECT doc_id, md5(text) AS text, 'old' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT doc_id, md5(text), 'new' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)
+""")
+def output_diff(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    new = docs.select("doc_id", F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    return bioc_io.differences(docs.select("doc_id", "text"), new).select("doc_id", F.md5("text").alias("text"), "side")
