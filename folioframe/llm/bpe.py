@@ -32,7 +32,7 @@ from folioframe.llm import vec
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Strings that a worker remembers before it starts anew; a matter of memory, not of results.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Strings handed to the library at once; what it returns takes about a KB each until the ids are taken out.
 AT_ONCE = 2_048
 
