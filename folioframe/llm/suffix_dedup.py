@@ -369,8 +369,8 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 kept = [p.decode() for p in out]
                 text = kept[0]
                 for p in kept[1:]:
-                    p = p.lstrip(" .,;:!?")
-                    text = text.rstrip(" ") + (" " if text and p and not p[0].isspace() and not text[-1:].isspace() else "") + p
+                    p, text = p.lstrip(" .,;:!?"), text.rstrip(" ")
+                    text += (" " if text and p and not p[0].isspace() and not text[-1].isspace() else "") + p
                 texts[r] = text
                 gone[r] = not any(vec.WORD[x] for x in text.encode())
             cols[text_at] = pa.array(texts, cols[text_at].type)
