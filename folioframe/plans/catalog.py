@@ -14,7 +14,7 @@ from folioframe.functions.vectorized import nfkd
 from folioframe.operators import abbreviations as A
 from folioframe.operators import article, bioc, headings, jats, pipetables, tables
 from folioframe.plans.configs import default_config
-from folioframe.sources import bioc_io, dom, files
+from folioframe.sources import bioc_io, dom, files, office
 from folioframe.sources.ontology import IDS, default_ontology
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -488,6 +488,95 @@ def table_sections(spark, sf_dir):
     return s.select("p_brand", F.col("s.name").alias("section_name"), F.size("s.rows").cast("long").alias("n_rows"), F.aggregate("s.rows", F.lit(0.0), lambda a, r: a + T.number_of(r[2])).alias("total"))
 
 
+def _tag(name, content):
+    return F.concat(F.lit(f"<{name}>"), content, F.lit(f"</{name.split(' ')[0]}>"))
+
+
+@query("""
+WITH r AS (SELECT n_regionkey, n_name, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation)
+SELECT n_regionkey, '1.' || (k + 1)::VARCHAR || '.1' AS cell_id, n_name AS cell_text, 'Table ' || n_regionkey::VARCHAR || '. Nations' AS title FROM r
+UNION ALL SELECT n_regionkey, '1.' || (k + 1)::VARCHAR || '.2', n_nationkey::VARCHAR, 'Table ' || n_regionkey::VARCHAR || '. Nations' FROM r
+""")
+def html_tables(spark, sf_dir):
+    """Nations as a page with a table for each region, through the whole of the table operators."""
+    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("r"))
+    body = F.array_join(F.transform("r", lambda x: _tag("tr", F.concat(_tag("td", x["n_name"]), _tag("td", x["n_nationkey"].cast("string"))))), "")
+    head = F.lit("<thead><tr><th>name</th><th>key</th></tr></thead>")
+    html = _tag('div class="table-wrap"', F.concat(_tag("h3", F.concat(F.lit("Table "), "n_regionkey", F.lit(". Nations"))), _tag("table", F.concat(head, _tag("tbody", body)))))
+    pages = rows.select("n_regionkey", F.lit("x.html").alias("path"), html.alias("content"))
+    docs = process_pages(pages, default_config("GENERIC"), date=F.lit("20240101")).select("n_regionkey", F.explode("tables").alias("t"))
+    cells = docs.select("n_regionkey", F.col("t.passages")[0]["text"].alias("title"), F.explode("t.passages").alias("p")).where("p.data_section IS NOT NULL")
+    return cells.select("n_regionkey", "title", F.explode(F.flatten(F.col("p.data_section")[0]["data_rows"])).alias("c")).select("n_regionkey", "c.cell_id", "c.cell_text", "title")
+
+
+@query("SELECT p_brand, 'K' || p_partkey::VARCHAR AS short, p_name AS long, 'abbreviations section' AS algorithm FROM part")
+def author_abbreviations(spark, sf_dir):
+    """Definition lists as authors give them, one page a brand."""
+    rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_list(F.struct("p_partkey", "p_name")).alias("r"))
+    terms = F.array_join(F.transform("r", lambda x: F.concat(_tag("dt", F.concat(F.lit("K"), x["p_partkey"])), _tag("dd", x["p_name"]))), "")
+    html = F.concat(F.lit("<h2>List of abbreviations</h2>"), _tag("dl", terms), F.lit("<h2>End</h2>"))
+    done = article.read_pages(rows.select("p_brand", html.alias("content")), default_config("GENERIC"))
+    return done.select("p_brand", F.explode("pairs").alias("p")).select("p_brand", "p.short", "p.long", F.array_join("p.algorithms", ", ").alias("algorithm"))
+
+
+@query("""
+SELECT s_nationkey, s_name || ' 12. ' || s_suppkey::VARCHAR AS body, s_name AS title, s_suppkey::VARCHAR AS volume, 'IAO:0000320' AS iao_id FROM supplier
+""")
+def reference_paragraphs(spark, sf_dir):
+    """Suppliers as reference lists, one page a nation."""
+    rows = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.collect_list(F.struct("s_name", "s_suppkey")).alias("r"))
+    items = F.array_join(F.transform("r", lambda x: _tag("li", F.concat(_tag('span class="ref-title"', x["s_name"]), F.lit("  12. Go to:"), _tag('span class="ref-vol"', x["s_suppkey"].cast("string"))))), "")
+    html = _tag('div class="sec"', F.concat(F.lit("<h2>References</h2>"), _tag("ul", items)))
+    done = article.read_pages(rows.select("s_nationkey", html.alias("content")), default_config("GENERIC"))
+    p = done.select("s_nationkey", F.explode("paragraphs").alias("p"))
+    return p.select("s_nationkey", "p.body", "p.title", "p.volume", F.col("p.section_type")[0]["iao_id"].alias("iao_id"))
+
+
+def _made(rows: DataFrame, make) -> DataFrame:
+    """(key, content): files of (key, cells) made on the workers."""
+
+    def run(batches):
+        for pdf in batches:
+            pdf["content"] = [make([list(r) for r in x]) for x in pdf["cells"]]
+            yield pdf[["key", "content"]]
+
+    return rows.mapInPandas(run, "key long, content binary")
+
+
+@query("SELECT n_regionkey::BIGINT AS key, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS row_no, n_name AS name, n_nationkey::VARCHAR AS nation FROM nation")
+def excel_rows(spark, sf_dir):
+    """Nations as spreadsheets, one a region, and read again."""
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.array(x["n_name"], x["n_nationkey"].cast("string")))
+    made = _made(table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("long").alias("key")).agg(cells.alias("cells")), lambda g: office.write_xlsx([g]))
+    rows = office.read_excel(made).select("key", F.posexplode(F.col("grids")[0]).alias("row_no", "r"))
+    return rows.select("key", F.col("row_no").cast("long").alias("row_no"), F.col("r")[0].alias("name"), F.col("r")[1].alias("nation"))
+
+
+@query("""
+WITH r AS (SELECT n_regionkey::BIGINT AS key, n_name AS text, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS nth FROM nation)
+SELECT key, nth, text, CASE WHEN text = upper(text) OR nth = 0 THEN 'document title' ELSE 'supplementary material section' END AS kind,
+  (coalesce(sum(length(text)) OVER (PARTITION BY key ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS passage_offset FROM r
+""")
+def word_files(spark, sf_dir):
+    """Nations as text files of a word processor, the first line of each region a header, and read again."""
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.array(x["n_name"]))
+    made = _made(table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("long").alias("key")).agg(cells.alias("cells")), lambda g: office.write_docx([(r[0], i == 0) for i, r in enumerate(g)]))
+    rows = office.read_word(made).select("key", F.posexplode(bioc.word_passages(F.col("paragraphs"))).alias("nth", "p"))
+    return rows.select("key", F.col("nth").cast("long").alias("nth"), "p.text", F.element_at("p.infons", "iao_name_1").alias("kind"), F.col("p.offset").cast("long").alias("passage_offset"))
+
+
+@query("""
+WITH t AS (SELECT n_regionkey, n_nationkey % 4 AS id, n_name AS name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation),
+a AS (SELECT n_regionkey, list(id::VARCHAR ORDER BY k) AS ids FROM t GROUP BY n_regionkey)
+SELECT n_regionkey, list_reduce(list_prepend([]::VARCHAR[], list_transform(ids, lambda x: [x])), lambda s, x: list_append(s, CASE WHEN list_contains(s, x[1]) THEN (len(s) + 1)::VARCHAR ELSE x[1] END)) AS ids FROM a
+""")
+def linked_table_ids(spark, sf_dir):
+    """Ids of linked tables: one that is there already becomes the number of all so far plus one."""
+    docs = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", (F.col("n_nationkey") % 4).cast("string").alias("id")))).alias("d"))
+    linked = F.transform("d", lambda x: F.struct(x["id"].alias("id")))
+    return docs.select("n_regionkey", F.transform(tables.renumbered(F.slice(linked, 1, 0), linked), lambda x: x["id"]).alias("ids"))
+
+
 # codecs
 
 

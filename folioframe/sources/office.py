@@ -12,6 +12,7 @@ import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -140,3 +141,41 @@ def dates_as_text(df: DataFrame) -> DataFrame:
 def headers_by_size(size: Column, doc: Column) -> Column:
     """Whether a paragraph is a header, for sizes in rows."""
     return size > F.min(size).over(W.partitionBy(doc))
+
+
+# the same formats written, plain
+
+
+def _zip(files: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in files.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def write_docx(paragraphs: list[tuple[str, bool]], tables: list[list[list[str]]] = ()) -> bytes:
+    """Paragraphs (text, is_header) and tables as a .docx file."""
+    ns = f'xmlns:w="{_W[1:-1]}"'
+
+    def one(text: str, header: bool = False) -> str:
+        style = '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>' if header else ""
+        return f"<w:p>{style}<w:r><w:t xml:space='preserve'>{escape(text)}</w:t></w:r></w:p>"
+
+    grids = "".join("<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{one(c)}</w:tc>" for c in row) + "</w:tr>" for row in t) + "</w:tbl>" for t in tables)
+    body = "".join(one(*p) for p in paragraphs) + grids
+    styles = f'<w:styles {ns}><w:style w:type="paragraph" w:default="1" w:styleId="Normal"><w:rPr><w:sz w:val="22"/></w:rPr></w:style><w:style w:type="paragraph" w:styleId="Heading1"><w:rPr><w:sz w:val="32"/></w:rPr></w:style></w:styles>'
+    return _zip({"word/document.xml": f"<w:document {ns}><w:body>{body}</w:body></w:document>", "word/styles.xml": styles})
+
+
+def write_xlsx(sheets: list[list[list[str]]]) -> bytes:
+    """Grids of strings as an .xlsx file, a sheet each."""
+    ns = f'xmlns="{_S[1:-1]}"'
+    files = {
+        "xl/workbook.xml": f'<workbook {ns} xmlns:r="{_R[1:-1]}"><sheets>' + "".join(f'<sheet name="s{i}" sheetId="{i}" r:id="r{i}"/>' for i in range(1, len(sheets) + 1)) + "</sheets></workbook>",
+        "xl/_rels/workbook.xml.rels": "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>",
+    }
+    for i, grid in enumerate(sheets, 1):
+        rows = "".join(f'<row r="{r}">' + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(c)}</t></is></c>' for c in row) + "</row>" for r, row in enumerate(grid, 1))
+        files[f"xl/worksheets/sheet{i}.xml"] = f"<worksheet {ns}><sheetData>{rows}</sheetData></worksheet>"
+    return _zip(files)
