@@ -98,7 +98,7 @@ def is_compound(c: Column) -> Column:
 
 
 def heading_parts(c: Column) -> Column:
-    return F.transform(F.split(c, r" and |\s?/\s?|\s?&\s?"), strip_number)
+    return F.transform(F.split(c, r"\s?[/&]\s?| and "), strip_number)
 
 
 # cells
@@ -107,7 +107,7 @@ def heading_parts(c: Column) -> Column:
 def clean_cell(c: Column) -> Column:
     """Stripped, thin and other white space to blanks, leftovers of span and hr dropped, one outer pair of parentheses."""
     c = F.regexp_replace(strip(c), r"[\s  ]", " ")
-    c = F.regexp_replace(F.replace(c, F.lit("&#x000a0;"), F.lit(" ")), r"</?span[^>\n]*>?|<hr/>?", "")
+    c = F.regexp_replace(F.replace(c, F.lit("&#x000a0;"), F.lit(" ")), r"<(?:/?span|hr/)[^>\n]*>?", "")
     return F.when(F.startswith(c, F.lit("(")) & F.endswith(c, F.lit(")")) & (F.length(c) > 1), F.substr(c, F.lit(2), F.length(c) - 2)).otherwise(c)
 
 

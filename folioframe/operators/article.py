@@ -179,7 +179,7 @@ def reference_text(s: str) -> str:
 
 
 def table_text(s: str) -> str:
-    return re.sub(r"</?span[^>\n]*>?|<hr/>?", "", s.strip().replace(" ", " ")).replace("\n", "")
+    return re.sub(r"<(?:/?span|hr/)[^>\n]*>?", "", s.strip().replace(" ", " ")).replace("\n", "")
 
 
 def author_pairs(page: Page) -> list[dict]:

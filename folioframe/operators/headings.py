@@ -25,7 +25,7 @@ def match_heading(heading: str, ontology: tuple[dict[str, list[str]], dict[str,
     h = " ".join(re.findall(r"\w+|[^\w\s]+", heading or "")).lower()
     found = []
     if h and (" and " in h or "&" in h or "/" in h):
-        for part in re.split(r" and |\s?/\s?|\s?&\s?", h):
+        for part in re.split(r"\s?[/&]\s?| and ", h):
             part = _NUMBER.sub("", part)
             hit = next((t for t, known in terms.items() if any(indel_ratio(part, k) >= 80 for k in known)), None)
             if hit is not None:

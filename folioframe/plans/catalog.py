@@ -294,7 +294,7 @@ FIRST = "SELECT doc_id, lower(regexp_extract(text, '^[^\\n]*')) AS h FROM docume
 WITH f AS ({FIRST}),
 t AS (SELECT doc_id, array_to_string(regexp_extract_all(h, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]+'), ' ') AS tokens FROM f)
 SELECT doc_id, tokens, regexp_replace('2 . ' || tokens, '^\\d*\\s?[(.]\\]?\\s?', '') AS stripped,
-  list_transform(regexp_split_to_array(tokens, ' and |\\s?/\\s?|\\s?&\\s?'), lambda x: regexp_replace(x, '^\\d*\\s?[(.]\\]?\\s?', '')) AS parts,
+  list_transform(regexp_split_to_array(tokens, '\\s?[/&]\\s?| and '), lambda x: regexp_replace(x, '^\\d*\\s?[(.]\\]?\\s?', '')) AS parts,
   contains(tokens, ' and ') OR contains(tokens, '&') OR contains(tokens, '/') AS compound FROM t
 """)
 def heading_tokens(spark, sf_dir):

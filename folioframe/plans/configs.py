@@ -6,29 +6,44 @@ from functools import cache
 
 from folioframe.plans.rules import read_config
 
-_HEAD = [{"tag": "h[2-6]"}]
-_TABLE_DATA = {
-    "caption": [{"attrs": {"class": "caption"}}],
-    "table-content": [{"tag": "table"}],
-    "title": [{"tag": "h3|caption"}, {"attrs": {"class": "table-title|title"}}],
-    "footer": [{"attrs": {"class": "tblwrap-foot|table-footer|footer"}}],
-    "table-row": [{"tag": "tr"}],
-    "header-row": [{"tag": "tr"}],
-    "header-element": [{"tag": "th"}],
-}
+
+def _tag(pattern: str, cls: str | None = None) -> dict:
+    return {"tag": pattern} | ({"attrs": {"class": cls}} if cls else {})
+
+
+def _class(pattern: str) -> dict:
+    return {"attrs": {"class": pattern}}
+
+
+def _path(xpath: str) -> dict:
+    return {"xpath": xpath}
+
+
+def _section(*rules: dict, **data: list[dict]) -> dict:
+    return {"data": {k.replace("_", "-"): v for k, v in data.items()}, "defined-by": list(rules)}
+
+
+def _headed(*rules: dict) -> dict:
+    return _section(*rules, headers=[_tag("h2")])
 
 
 def _layout(**changes: dict) -> dict:
     base = {
-        "title": {"data": {}, "defined-by": [{"tag": "h1"}]},
-        "keywords": {"data": {}, "defined-by": [{"attrs": {"class": "kwd-group|kwd-text|keywords"}}]},
-        "sections": {"data": {"headers": [{"tag": "h2"}]}, "defined-by": [{"tag": "section|div", "attrs": {"class": "section|sec|tsec"}}]},
-        "sub-sections": {"data": {"headers": [{"tag": "h[3-6]"}]}, "defined-by": [{"tag": "section|div", "attrs": {"class": "subsection|sub-section|sec"}}]},
-        "paragraphs": {"data": {}, "defined-by": [{"tag": "p"}]},
-        "tables": {"data": _TABLE_DATA, "defined-by": [{"tag": "div|section", "attrs": {"class": "table-wrap|tw|table-container"}}]},
-        "figures": {"data": {}, "defined-by": [{"tag": "figure|div", "attrs": {"class": "fig|figure"}}]},
-        "references": {"data": {"title": [{"attrs": {"class": "ref-title"}}], "journal": [{"attrs": {"class": "ref-journal"}}], "volume": [{"attrs": {"class": "ref-vol|ref-volume"}}]}, "defined-by": [{"tag": "li|div", "attrs": {"class": "ref-cit-blk|ref|reference"}}, {"tag": "li"}]},
-        "abbreviations-table": {"data": {}, "defined-by": [{"tag": "table"}]},
+        "title": _section(_tag("h1")),
+        "keywords": _section(_class("kwd-group|kwd-text|keywords")),
+        "sections": _headed(_tag("section|div", "section|sec|tsec")),
+        "sub-sections": _section(_tag("section|div", "subsection|sub-section|sec"), headers=[_tag("h[3-6]")]),
+        "paragraphs": _section(_tag("p")),
+        "tables": _section(
+            _tag("div|section", "table-wrap|tw|table-container"),
+            title=[_tag("h3|caption"), _class("table-title|title")],
+            caption=[_class("caption")],
+            footer=[_class("tblwrap-foot|table-footer|footer")],
+            header_element=[_tag("th")],
+        ),
+        "figures": _section(_tag("figure|div", "fig|figure")),
+        "references": _section(_tag("li|div", "ref-cit-blk|ref|reference"), _tag("li"), title=[_class("ref-title")], journal=[_class("ref-journal")], volume=[_class("ref-vol|ref-volume")]),
+        "abbreviations-table": _section(_tag("table")),
     }
     return base | changes
 
@@ -36,14 +51,11 @@ def _layout(**changes: dict) -> dict:
 _LAYOUTS = {
     "GENERIC": lambda: _layout(),
     # pages without sections of their own: paragraphs below article
-    "WEB_PAGE": lambda: _layout(
-        keywords={"data": {}, "defined-by": [{"xpath": "//nav//a"}]},
-        sections={"data": {"headers": [{"tag": "h2"}]}, "defined-by": [{"tag": "article"}]},
-    ),
-    "LEGACY_PMC": lambda: _layout(sections={"data": {"headers": [{"tag": "h2"}]}, "defined-by": [{"tag": "div", "attrs": {"class": "tsec"}}, {"xpath": "//div[contains(@class,'tsec')]"}]}),
-    "PMC": lambda: _layout(sections={"data": {"headers": [{"tag": "h2"}]}, "defined-by": [{"tag": "section", "attrs": {"class": "abstract|body|ref-list|main-article-body"}}, {"xpath": "//section[contains(@class,'body')]/section"}]}),
-    "PLOS_GENETICS": lambda: _layout(sections={"data": {"headers": [{"tag": "h2"}]}, "defined-by": [{"tag": "div", "attrs": {"class": "section|abstract"}}]}),
-    "NATURE_GENETICS": lambda: _layout(sections={"data": {"headers": [{"tag": "h2"}]}, "defined-by": [{"tag": "div", "attrs": {"class": "c-article-section"}}, {"tag": "section"}]}),
+    "WEB_PAGE": lambda: _layout(keywords=_section(_path("//nav//a")), sections=_headed(_tag("article"))),
+    "LEGACY_PMC": lambda: _layout(sections=_headed(_tag("div", "tsec"), _path("//div[contains(@class,'tsec')]"))),
+    "PMC": lambda: _layout(sections=_headed(_tag("section", "abstract|body|ref-list|main-article-body"), _path("//section[contains(@class,'body')]/section"))),
+    "PLOS_GENETICS": lambda: _layout(sections=_headed(_tag("div", "section|abstract"))),
+    "NATURE_GENETICS": lambda: _layout(sections=_headed(_tag("div", "c-article-section"), _tag("section"))),
 }
 NAMES = tuple(_LAYOUTS)
 

@@ -189,7 +189,7 @@ def select_with_data(config: dict, within: Column | None = None, marked: bool =
 
 def _table_text(c: Column) -> Column:
     c = F.replace(strip(c), F.lit(" "), F.lit(" "))
-    return F.replace(F.regexp_replace(c, r"</?span[^>\n]*>?|<hr/>?", ""), F.lit("\n"), F.lit(""))
+    return F.replace(F.regexp_replace(c, r"<(?:/?span|hr/)[^>\n]*>?", ""), F.lit("\n"), F.lit(""))
 
 
 class Page:
