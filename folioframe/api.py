@@ -19,6 +19,10 @@ from folioframe.sources import bioc_io, files, office
 __all__ = ["Article", "default_config", "process_directory", "process_file", "process_files", "process_pages", "process_rendered_text", "read_config"]
 
 
+def _pretty(x: dict) -> str:
+    return json.dumps(x, ensure_ascii=False, indent=2)
+
+
 @dataclass
 class Article:
     """What a file holds: BioC full text, abbreviations and tables, as dictionaries."""
@@ -29,30 +33,30 @@ class Article:
     tables: dict = field(default_factory=dict)
     error: str | None = None
 
-    @property
-    def has_tables(self) -> bool:
-        return bool(self.tables.get("documents"))
+    def to_dict(self) -> dict:
+        return dict(file_path=self.file_path, tables=self.tables, abbreviations=self.abbreviations, main_text=self.bioc)
+
+    def to_json(self) -> str:
+        return _pretty(self.to_dict())
 
     def to_bioc(self) -> dict:
         return self.bioc
 
-    def main_text_to_bioc_json(self) -> str:
-        return json.dumps(self.bioc, indent=2, ensure_ascii=False)
-
     def main_text_to_bioc_xml(self) -> str:
         return bioc_io.write_xml(bioc_io.from_text(json.dumps(self.bioc)))
 
-    def tables_to_bioc_json(self) -> str:
-        return json.dumps(self.tables, indent=2, ensure_ascii=False)
+    def main_text_to_bioc_json(self) -> str:
+        return _pretty(self.bioc)
 
     def abbreviations_to_bioc_json(self) -> str:
-        return json.dumps(self.abbreviations, indent=2, ensure_ascii=False)
+        return _pretty(self.abbreviations)
 
-    def to_dict(self) -> dict:
-        return {"file_path": self.file_path, "main_text": self.bioc, "abbreviations": self.abbreviations, "tables": self.tables}
+    def tables_to_bioc_json(self) -> str:
+        return _pretty(self.tables)
 
-    def to_json(self) -> str:
-        return json.dumps(self.to_dict(), indent=2, ensure_ascii=False)
+    @property
+    def has_tables(self) -> bool:
+        return len(self.tables.get("documents", ())) > 0
 
 
 def process_pages(pages: DataFrame, config: dict, path: str = "path", content: str = "content", ontology=None, date=None) -> DataFrame:

@@ -47,13 +47,13 @@ def repair_mojibake(c: Column) -> Column:
 
 def unescape_unicode(c: Column) -> Column:
     r"""\uXXXX to the character; escapes that aren't four hexadecimal digits stay."""
-    parts = F.split(c, r"(?=\\u[0-9a-fA-F]{4})")
+    parts = F.split(c, r"(?=\\u[\dA-Fa-f]{4})")
 
     def one(p: Column) -> Column:
         code = F.conv(F.substring(p, 3, 4), 16, 10).cast("int")
         # chr() is bound to one byte, so the two bytes of UTF-16 are decoded
         made = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 4, "0")), "UTF-16BE")
-        return F.when(p.rlike(r"^\\u[0-9a-fA-F]{4}"), F.concat(made, F.substr(p, F.lit(7)))).otherwise(p)
+        return F.when(p.rlike(r"^\\u[\dA-Fa-f]{4}"), F.concat(made, F.substr(p, F.lit(7)))).otherwise(p)
 
     return F.array_join(F.transform(parts, one), "")
 

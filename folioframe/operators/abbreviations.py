@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -19,7 +21,8 @@ _SHORT = regex.compile(r"(?!\p{N}+$)(?!\p{Ll}+$)(?:[\p{L}\p{N}][.\-]?){2,10}")
 def candidates(sentence: str) -> list[tuple[str, str]]:
     """(short form, text before its parenthesis) of a sentence. A sentence with unbalanced parentheses, or a closing
     one first, has none. Inside, a closing parenthesis, a semicolon and a colon all end the short form."""
-    if sentence.count("(") != sentence.count(")") or sentence.find("(") > sentence.find(")"):
+    signs = re.sub(r"[^()]", "", sentence)
+    if 2 * signs.count("(") != len(signs) or signs.startswith(")"):
         return []
     s = _QUOTES.sub(lambda m: m[1] or m[2], sentence)
     out, at = [], 0

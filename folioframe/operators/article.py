@@ -175,7 +175,10 @@ def span(cell: dict, name: str) -> int:
 
 
 def reference_text(s: str) -> str:
-    return re.sub(r"\s{2,}", " ", s.replace("Go to:", "").replace("\n", ""))
+    """Without its jump link and line ends, runs of white space to one blank."""
+    for gone in ("Go to:", "\n"):
+        s = "".join(s.split(gone))
+    return re.sub(r"\s\s+", " ", s)
 
 
 def table_text(s: str) -> str:

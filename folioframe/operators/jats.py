@@ -24,6 +24,8 @@ DROPPED = frozenset({"fig", "table", "table-wrap", "disp-formula", "inline-formu
 #: Parts of the back matter and what their text is called without a title of its own.
 BACK = (("ack", "Acknowledgments"), ("funding-statement", "Funding Statement"), ("fn-group", "Footnotes"), ("app-group", "document part"), ("notes", None))
 PART = "document part"
+HOST = "www.ncbi.nlm.nih.gov"
+TAG = re.compile("<[^<>]+>")
 LEAST = 6
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
 READ = "meta map<string,string>, rows array<struct<titles:array<string>,subtitle:string,types:array<struct<iao_name:string,iao_id:string>>,text:string>>, refs array<struct<text:string,journal:string,year:string,volume:string,doi:string,pmid:string>>, parse_error string"
@@ -49,7 +51,7 @@ def clean_text(s: str) -> str:
 
 def clean_heading(s: str) -> str:
     """Without tags, quotes, brackets and a number with a full stop in front."""
-    s = re.sub(r"""['"\[\]]""", "", re.sub("<[^>]+>", "", s))
+    s = re.sub(r"""['"\[\]]""", "", TAG.sub("", s))
     head, _, rest = s.strip().partition(" ")
     return rest.strip() if rest.strip() and head.endswith(".") and re.sub("[.,]", "", head[:-1]).isdigit() else s
 
@@ -83,7 +85,7 @@ class Jats:
             "license": collapse(get("license")),
             "pmid": get("article-id", pub_id_type="pmid"),
             "pmcid": pmc,
-            "link": f"https://www.ncbi.nlm.nih.gov/pmc/articles/{pmc}/" if pmc else "",
+            "link": f"https://{HOST}/pmc/articles/{pmc}/" if pmc else "",
             "doi": get("article-id", pub_id_type="doi"),
             "journal": get("journal-title") or get("journal-id"),
             "pub_type": get("subject", kinds) if kinds else "",

@@ -52,8 +52,8 @@ _LAYOUTS = {
     "GENERIC": lambda: _layout(),
     # pages without sections of their own: paragraphs below article
     "WEB_PAGE": lambda: _layout(keywords=_section(_path("//nav//a")), sections=_headed(_tag("article"))),
-    "LEGACY_PMC": lambda: _layout(sections=_headed(_tag("div", "tsec"), _path("//div[contains(@class,'tsec')]"))),
-    "PMC": lambda: _layout(sections=_headed(_tag("section", "abstract|body|ref-list|main-article-body"), _path("//section[contains(@class,'body')]/section"))),
+    "LEGACY_PMC": lambda: _layout(sections=_headed(_tag("div", "tsec"), _path('//div[contains(@class,"tsec")]'))),
+    "PMC": lambda: _layout(sections=_headed(_tag("section", "abstract|body|ref-list|main-article-body"), _path('//section[contains(@class,"body")]/section'))),
     "PLOS_GENETICS": lambda: _layout(sections=_headed(_tag("div", "section|abstract"))),
     "NATURE_GENETICS": lambda: _layout(sections=_headed(_tag("div", "c-article-section"), _tag("section"))),
 }

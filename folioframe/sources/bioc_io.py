@@ -140,7 +140,7 @@ def from_text(s: str) -> dict:
     def filled(x, names: tuple[str, ...]) -> dict:
         return {n: x.get(n) for n in names}
 
-    c = filled(json.loads(s), ("source", "date", "key", "infons", "documents"))
+    c = filled(json.loads(s), ("documents", "infons", "key", "source", "date"))
     sub = ("text", "offset", "infons", "annotations", "relations")
     mark = lambda x: {"annotations": [filled(a, ("id", "text", "offset", "length", "infons", "locations")) for a in x["annotations"] or []], "relations": [filled(r, ("id", "infons", "nodes")) for r in x["relations"] or []]}
     docs = []

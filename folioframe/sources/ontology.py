@@ -56,9 +56,12 @@ HEADINGS = [
 ]
 
 
-def _terms(pairs: list[tuple[str, str]]) -> dict[str, list[str]]:
+Terms = dict[str, list[str]]
+
+
+def _terms(pairs: list[tuple[str, str]]) -> Terms:
     """Term to headings, in the order in which terms first come; "a / b" files a heading under both."""
-    out: dict[str, list[str]] = {}
+    out: Terms = {}
     for heading, term in pairs:
         for one in term.split("/")[:2]:
             out.setdefault(one.strip(), []).append(heading)

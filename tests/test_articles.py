@@ -58,7 +58,8 @@ def test_offsets(article):
                 at += len(h)
     assert [p["offset"] for p in passages[1:]] == want
     assert passages[3]["infons"] == {"section_title_1": "1. Introduction", "section_title_2": "Aims", "iao_name_1": "introduction section", "iao_id_1": "IAO:0000316"}
-    assert a["bioc"]["documents"][0]["id"] == "PMC1" and a["bioc"]["date"] == "20240101"
+    (document,) = a["bioc"]["documents"]
+    assert (document["id"], a["bioc"]["date"]) == ("PMC1", "20240101")
 
 
 def test_abbreviations(article):
@@ -92,7 +93,7 @@ def test_index_column_becomes_sections(spark):
 def test_rule_expressions_agree_with_page(spark):
     parsed = dom.parse(spark.createDataFrame([(X.HTML,)], "content string"))
     page = Page(*dom.parse_document(X.HTML))
-    for path in ('//*[@class="sec"]', "/html/body/div[3]", "//div[contains(@class,'sec')]//p", "//div[contains(@class,'sec')]/p", "//body/div/h2", "//li", "//td[@colspan]"):
+    for path in ('//*[@class="sec"]', "/html/body/div[3]", '//div[contains(@class,"sec")]//p', '//div[contains(@class,"sec")]/p', "//body/div/h2", "//li", "//td[@colspan]"):
         got = [n["pre"] for n in parsed.select(xpath_select(path).alias("n")).first()["n"]]
         assert got == [n["pre"] for n in page.path(path)] and got, path
 
@@ -102,9 +103,9 @@ def test_configs():
     with pytest.raises(KeyError):
         read_config({})
     with pytest.raises(ValueError):
-        read_config({"config": {"title": {"defined-by": [{"xpath": "count(//a)"}]}}})
+        read_config({"config": dict(title={"defined-by": [dict(xpath="count(//a)")]})})
     with pytest.raises(ValueError):
-        read_config({"config": {"title": {"defined-by": [{}]}}})
+        read_config({"config": dict(title={"defined-by": [dict()]})})
 
 
 def test_jats(spark):
