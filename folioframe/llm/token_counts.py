@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from folioframe.llm import vec
 
 BLOCK = 64
-SPACES = [9, 10, 11, 12, 13, 28, 29, 30, 31, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
+SPACES = [9, 10, 11, 12, 13, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 #: Character classes; the letters of the contractions have their own.
 CLASSES = ["pad", "blank", "space", "digit", "other", "quote", "letter", "final", "r", "v", "l", "e"]
 STATES = ["start", "letters", "digits", "others", "blank", "run_blank", "space", "run_space", "quote", "quote_r", "quote_v", "quote_l"]
@@ -164,7 +164,7 @@ def op4_token_counts(spark, sf_dir: str) -> DataFrame:
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-_WS = r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_WS = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _CORE = rf"''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+"
 #: Tokens that aren't white space; then white space before a sign (a run that ends in a blank gives it away, any
 #: other ends in a token of its own), and white space at the end.

@@ -28,6 +28,13 @@ def test_ids_equal_the_library(codec):
     assert [ids[e - c : e].tolist() for e, c in zip(ends, counts, strict=True)] == want
 
 
+def test_both_engines_split_alike(codec):
+    r = random.Random(7)
+    signs = [chr(i) for i in range(128)] + list("stredmvl'   \n") * 4
+    for t in ("".join(r.choice(signs) for _ in range(r.randint(0, 80))) for _ in range(3000)):
+        assert codec.split_ascii(t) == codec.split(t)
+
+
 def test_decoding_and_offsets(codec):
     col = pa.array(ODD, pa.large_string())
     ids, counts = codec.encode(ODD)
