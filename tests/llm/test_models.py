@@ -400,3 +400,21 @@ def test_odd_vectors(spark):
     assert ann.neighbours(df.limit(0)).count() == 0
     two = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0])], "vec_id long, embedding array<double>")
     assert sorted((r["query_id"], r["rank"], r["neighbour_id"], r["distance"]) for r in ann.neighbours(two).collect()) == [(1, 1, 2, 25.0), (2, 1, 1, 25.0)]
+
+
+@pytest.mark.parametrize("sent", [ann.SENT_BYTES, 0])
+def test_outliers_and_small_groups_of_clustered_vectors(spark, sent):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 10, (5, 16))
+    x = np.concatenate([centres[np.arange(2500) % 5] + rng.normal(0, 0.05, (2500, 16)), rng.normal(0, 30, (20, 16)), np.repeat(rng.normal(0, 30, (4, 16)), 4, 0)])
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in ann.neighbours(df, sent_bytes=sent).collect():
+        found.setdefault(r["query_id"], []).append(r["distance"])
+    assert all(len(found.get(i, [])) == 10 for i in range(len(x)))
+    d = ((x[2500:, None].astype(float) - x[None]) ** 2).sum(2)
+    d[np.arange(len(d)), np.arange(2500, len(x))] = np.inf
+    exact = np.sort(d, 1)[:, 9]
+    assert np.mean([np.array(found[2500 + i]) <= exact[i] + 1e-5 for i in range(len(d))]) > 0.9
+    assert all(sorted(found[i])[:3] == [0, 0, 0] for i in range(2520, len(x)))
