@@ -418,3 +418,17 @@ def test_outliers_and_small_groups_of_clustered_vectors(spark, sent):
     exact = np.sort(d, 1)[:, 9]
     assert np.mean([np.array(found[2500 + i]) <= exact[i] + 1e-5 for i in range(len(d))]) > 0.9
     assert all(sorted(found[i])[:3] == [0, 0, 0] for i in range(2520, len(x)))
+
+
+def test_candidates_follow_the_data(spark, monkeypatch):
+    for name, value in (("EF", 10), ("K", 8), ("REVERSE", 4), ("WIDE", 2), ("ENTRIES", 1)):
+        monkeypatch.setattr(ann, name, value)
+    rows = vectors(4000, 48, 6)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = np.array([v for _, v in rows])
+    found = {}
+    for r in ann.neighbours(df).collect():
+        found.setdefault(r["query_id"], set()).add(r["neighbour_id"])
+    d = ((x[:200, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    assert np.mean([len(found[2 * i] & set((2 * np.argsort(d[i])[:10]).tolist())) / 10 for i in range(200)]) > 0.9
