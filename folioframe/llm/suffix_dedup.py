@@ -14,10 +14,11 @@ least LENGTH (50) words that an earlier document (a lower doc_id) also has; the
    jumps to the nearest run of the symbol on either side and keeps the longer common extension, compared by prefix
    hashes. Positions whose matching statistic reaches 50 are marked.
 
-Nothing but anchors, segments and, once, the text by doc_id is shuffled; an owner that very many documents share is
+Nothing but anchors, segments, window hashes and the text by doc_id is shuffled; an owner that very many documents share is
 split into slots of STREAMS documents each. A passage is compared with the first document that holds one of its
-anchors: only where that document has the anchor's 20 words without the rest of the passage, and all anchors of the
-passage fall so, a repeat is missed.
+anchors. That document may have the anchor's 20 words without the rest of the passage, so where at least two others
+have them as well, the hashes of those others' windows of LENGTH words are shuffled too and give what they share among
+themselves, in runs beside those of step 3.
 
 Defined cases: null or empty texts and those below 50 words have no passages; rows with a null doc_id are not
 compared; rows that repeat a doc_id count as one document; repeats within one document alone don't count; ties go to
@@ -79,7 +80,8 @@ def minimizers(w: vec.Words, length: int = LENGTH, k: int = GRAM) -> tuple[np.nd
 
 
 def anchors(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
-    """(owner, doc, pos) of every anchor that occurs in several documents."""
+    """(owner, doc, pos, rest) of every anchor that occurs in several documents; rest: its document is not the owner and
+    a further one has the anchor."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in vec.pieces(batches):
@@ -91,7 +93,8 @@ def anchors(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
     found = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc IS NOT NULL").mapInArrow(find, "f long, doc long, pos int")
     of = W.partitionBy("f")
     found = found.withColumn("owner", F.min("doc").over(of)).withColumn("last", F.max("doc").over(of))
-    return found.where("owner < last").select("owner", "doc", "pos")
+    found = found.where("owner < last").withColumn("second", F.min(F.when(F.col("doc") > F.col("owner"), F.col("doc"))).over(of))
+    return found.select("owner", "doc", "pos", F.expr("doc > owner AND second < last").alias("rest"))
 
 
 class RunIndex:
@@ -317,18 +320,52 @@ def _matcher(length: int):
     return run
 
 
+def shared_windows(rows: DataFrame, texts: DataFrame, length: int, k: int) -> DataFrame:
+    """(doc, pos, owner): windows around the rest's anchors that an earlier document of the rest, owner, has as well."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in vec.pieces(batches):
+            w = vec.Words(vec.strings(b.column("text")))
+            counts, firsts = w.counts(), w.firsts()
+            at = b.column("at")
+            row = np.repeat(np.arange(b.num_rows), np.diff(at.offsets.to_numpy()))
+            pos = at.flatten().to_numpy().astype(np.int64)
+            lo, hi = np.maximum(pos - (length - k), 0), np.minimum(pos, counts[row] - length) + 1
+            some = hi > lo
+            starts = np.unique(vec.ragged((firsts[row] + lo)[some], (hi - lo)[some]))
+            if len(starts) == 0:
+                continue
+            total = np.zeros(len(starts), np.uint64)
+            for j in range(length):
+                total = vec.mix(total + w.hash[starts + j])
+            doc = w.doc[starts]
+            yield pa.record_batch([pa.array(total.view(np.int64)), b.column("doc").take(pa.array(doc)), pa.array((starts - firsts[doc]).astype(np.int32))], ["h", "doc", "pos"])
+
+    at = rows.where("rest").groupBy("doc").agg(F.collect_list("pos").alias("at"))
+    found = at.join(texts, "doc").select("doc", "text", "at").mapInArrow(hashes, "h long, doc long, pos int")
+    return found.withColumn("owner", F.min("doc").over(W.partitionBy("h"))).where("doc > owner").select("doc", "pos", "owner")
+
+
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, word_start, word_end (exclusive), n_words, first_doc_id: runs of words that first_doc_id has before."""
     k = GRAM if length >= LENGTH else max(1, length * 2 // 5)
     rows = cut(anchors(docs, length, k))
     slots = rows.groupBy("owner").agg(F.ceil(F.count_distinct("doc") / STREAMS).cast("int").alias("slots")).where("slots > 1")
-    rows = rows.join(slots, "owner", "left").select("doc", F.struct("owner", F.col("pos").cast("long"), F.coalesce(F.col("slots"), F.lit(1)).cast("long").alias("slots")).alias("x"))
-    found = rows.groupBy("doc").agg(F.collect_list("x").alias("found"))
+    salted = rows.join(slots, "owner", "left").select("doc", F.struct("owner", F.col("pos").cast("long"), F.coalesce(F.col("slots"), F.lit(1)).cast("long").alias("slots")).alias("x"))
+    found = salted.groupBy("doc").agg(F.collect_list("x").alias("found"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
     chunks = found.join(texts, "doc").select("doc", "text", "found")
     chunks = chunks.mapInArrow(_segments(length, k), "owner long, slot int, stream boolean, doc long, at int, words binary")
     chunks = chunks.repartition("owner", "slot").sortWithinPartitions("owner", "slot", "stream")
-    return chunks.mapInArrow(_matcher(length), "doc_id long, word_start long, word_end long, n_words long, first_doc_id long")
+    first = cut(chunks.mapInArrow(_matcher(length), "doc_id long, word_start long, word_end long, n_words long, first_doc_id long"))
+    # what the first document of an anchor lacks, of its other documents among themselves
+    known = first.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("word_start", "word_end")).alias("known"))
+    new = shared_windows(rows, texts, length, k).join(known, "doc", "left")
+    inside = F.exists("known", lambda x: (x["word_start"] <= F.col("pos")) & (x["word_end"] >= F.col("pos") + length))
+    new = new.where(~F.coalesce(inside, F.lit(False))).select("doc", "owner", F.col("pos").cast("long").alias("pos")).distinct()
+    run = F.col("pos") - F.row_number().over(W.partitionBy("doc", "owner").orderBy("pos"))
+    new = new.withColumn("run", run).groupBy("doc", "owner", "run").agg(F.min("pos").alias("s"), (F.max("pos") + length).alias("e"))
+    return first.unionByName(new.select(F.col("doc").alias("doc_id"), F.col("s").alias("word_start"), F.col("e").alias("word_end"), (F.col("e") - F.col("s")).alias("n_words"), F.col("owner").alias("first_doc_id")))
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

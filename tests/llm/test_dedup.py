@@ -220,3 +220,14 @@ def test_cut_text_has_no_repeats_left(shared, spark):
     for i, t in rows:
         want = [w for k, w in enumerate(words(t)) if k not in marks.get(i, ())]
         assert words(by.get(i)) == want
+
+
+def test_a_variant_in_the_first_document_hides_no_repeat(spark):
+    rows = []
+    for g in range(12):
+        passage = prose(300 + g, 50 + 2 * (g % 6)).split()
+        variant = passage[:25] + ["changed"] + passage[26:]
+        for n, p in enumerate([variant, passage, passage, passage]):
+            rows.append((100 * n + g, " ".join([prose(5000 + 10 * g + n, 40), *p, prose(7000 + 10 * g + n, 40)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got_marks(df) == brute_marks(rows, S.LENGTH)
