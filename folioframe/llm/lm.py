@@ -4,10 +4,9 @@ Words are counted over all documents. The VOCABULARY most frequent (ties by hash
 are told apart by their length in bytes (LENGTHS symbols). Symbols are put into CLASSES classes of about equal mass,
 by the square root of frequency, and p(word) = p(class) p(word | class).
 
-Training is truncated backpropagation through time over windows of WINDOW words with the state carried on. A fixed
-share of the documents (one in TRAIN_ONE_IN, by a hash of the text and id) is learnt from, so the training set grows
-with the input. Every partition trains a copy; in each round the copies are averaged by words, in two levels, and
-sent out again. What reaches the driver is at most GROUPS copies of the parameters.
+Training is truncated backpropagation through time over windows of WINDOW words with the state carried on. All documents
+are learnt from in every round; a partition with more words takes more lanes side by side. Every partition trains a
+copy; in each round the copies are averaged by words, in two levels, and sent out again. What reaches the driver is at most GROUPS copies of the parameters.
 
 Scoring runs documents side by side in windows and carries each one's state over all its windows, so the result is
 the log-likelihood of the complete document.
@@ -34,9 +33,12 @@ LENGTHS = 24
 CLASSES = 32
 HIDDEN = 24
 WINDOW = 32
+#: Lanes side by side: LANES, or as many as leave UPDATES windows to a pass, MOST_LANES at most.
 LANES = 64
+UPDATES = 128
+MOST_LANES = 1024
 ROUNDS = 2
-TRAIN_ONE_IN = 8
+TRAIN_ONE_IN = 1
 GROUPS = 16
 SCORE_WORDS = 6 << 20
 
@@ -196,8 +198,10 @@ class Network:
                 back[i] += q @ self.words[:, m].T
         return (out, grads, back) if learn else out
 
-    def train(self, ids: np.ndarray, starts: np.ndarray, lanes: int = LANES, rate: float = 0.01) -> int:
+    def train(self, ids: np.ndarray, starts: np.ndarray, lanes: int | None = None, rate: float = 0.01) -> int:
         """One pass of truncated backpropagation over concatenated texts; starts marks first words. Returns the words."""
+        if lanes is None:
+            lanes = max(LANES, min(MOST_LANES, len(ids) // (WINDOW * UPDATES)))
         lanes = max(1, min(lanes, len(ids) // (2 * WINDOW)))
         width = len(ids) // lanes
         if width == 0:
@@ -277,8 +281,8 @@ class Network:
 
 
 def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, one_in: int = TRAIN_ONE_IN) -> Network:
-    """Average of the networks of all partitions, over a fixed share of the documents; a share without any words
-    falls back to all documents, as in very small tables."""
+    """Average of the networks of all partitions, over all documents (one_in: over a share of them; a share without any
+    words falls back to all)."""
     shared = docs.sparkSession.sparkContext.broadcast(v)
 
     def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

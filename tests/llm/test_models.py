@@ -236,6 +236,16 @@ def test_lm_beats_word_frequencies(spark):
     assert -r[0] / r[1] < frequencies
 
 
+def test_production_training_beats_word_frequencies(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
+    v = lm.vocabulary(docs)
+    words = vec.Words(vec.strings(pa.array([x["text"] for x in docs.select("text").collect()])))
+    net = lm.train(docs, v)
+    r = lm.score(docs, net).agg(F.sum("loglik"), F.sum("n_words")).first()
+    f = np.bincount(lm._keyed(v, words), minlength=v.size) + 0.5
+    assert -r[0] / r[1] < -np.log(f / f.sum())[lm._keyed(v, words)].mean()
+
+
 # quality
 
 
