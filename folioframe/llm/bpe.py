@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
-encode() splits texts by the vocabulary's own pattern and hands only strings that the worker hasn't met yet to the
+encode() splits texts by the pattern of byte-level vocabularies (one that splits otherwise raises) and hands only strings that the worker hasn't met yet to the
 library, in batches; merges never cross these strings, so the ids equal those of the whole text. Offsets come from
 the byte lengths of the tokens and are mapped to characters: a token that begins or ends within a character (a
 character split over tokens) covers that whole character, so offsets of neighbours may overlap there. decode()
@@ -47,10 +47,19 @@ def byte_table() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def check_byte_level(made: dict) -> None:
+    """Raise unless a vocabulary splits by PATTERN and merges bytes, as this module does."""
+    split, model = made.get("pre_tokenizer") or {}, made.get("model") or {}
+    fine = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not made.get("normalizer")
+    if not fine or model.get("type") != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix"):
+        raise ValueError("not a byte-level BPE vocabulary with the usual split pattern")
+
+
 class Codec:
     """Encoder and decoder of one vocabulary, with the strings that this process has met."""
 
     def __init__(self, vocabulary: str):
+        check_byte_level(json.loads(vocabulary))
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.split, self.split_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN, re.ASCII).findall

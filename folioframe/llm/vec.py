@@ -115,6 +115,13 @@ class Words:
         return np.searchsorted(self.doc, np.arange(self.n_docs + 1))
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of byte ranges of data as they are; their length counts too."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _pow(_BASE, len(data)), out=total[1:])
+    return mix((total[end] - total[start]) * _pow(_INV, len(data) + 1)[start] + (end - start).astype(np.uint64) * _MUL[0])
+
+
 def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of every word n-gram; a document of 1 to n-1 words has one gram, all its words."""
     h, doc = w.hash, w.doc
@@ -157,3 +164,33 @@ def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa
     offs = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offs[1:])
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(values, kind))
+
+
+class Slots:
+    """Places of distinct 64-bit keys by open addressing; nothing is lost, whatever their number."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys.astype(np.uint64)
+        self.mask = np.uint64((1 << max(4, int(2 * len(keys)).bit_length())) - 1)
+        self.place = np.full(int(self.mask) + 1, -1, np.int32)
+        at, todo = mix(self.keys, 3) & self.mask, np.arange(len(keys))
+        while len(todo):
+            free = todo[self.place[at[todo]] < 0]
+            self.place[at[free]] = free
+            todo = todo[self.place[at[todo]] != todo]
+            at[todo] = (at[todo] + np.uint64(1)) & self.mask
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, or -1."""
+        keys = keys.astype(np.uint64)
+        out = np.full(len(keys), -1, np.int64)
+        if len(self.keys) == 0:
+            return out
+        at, todo = mix(keys, 3) & self.mask, np.arange(len(keys))
+        while len(todo):
+            got = self.place[at]
+            same = (got >= 0) & (self.keys[got] == keys[todo])
+            out[todo[same]] = got[same]
+            go = (got >= 0) & ~same
+            todo, at = todo[go], (at[go] + np.uint64(1)) & self.mask
+        return out

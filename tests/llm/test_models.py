@@ -81,19 +81,56 @@ def test_bpe_frames(spark):
     assert {r["doc_id"]: r["text"] for r in bpe.decode(null).collect()} == {1: None, 2: ""}
 
 
-def test_token_counts_equal_the_pattern():
+@pytest.fixture(scope="module")
+def machine():
+    return token_counts.Machine(bpe._read(bpe.VOCABULARY))
+
+
+def odd_texts():
+    r = random.Random(2)
+    alphabet = ["a", "b", "s", "t", "r", "e", "v", "l", "m", "d", "'", " ", " ", "\n", "1", "!", "é", "日", "\x1c", "\xa0"]
+    made = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 200))) for _ in range(800)]
+    return ODD + made + ["'" * 200, " " * 129, "ab " * 5000, " '", "'r", "x'v", "\n's", " 's"]
+
+
+def test_pieces_equal_the_pattern():
     import regex
 
     pattern = regex.compile(bpe.PATTERN)
-    r = random.Random(2)
-    alphabet = ["a", "b", "s", "t", "r", "e", "v", "l", "m", "d", "'", " ", " ", "\n", "1", "!", "é", "日", " "]
-    texts = ODD + ["".join(r.choice(alphabet) for _ in range(r.randint(0, 200))) for _ in range(800)] + ["'" * 200, " " * 129, "ab " * 5000]
-    assert token_counts.count(texts).tolist() == [len(pattern.findall(t)) for t in texts]
+    for t in odd_texts():
+        data, offs = vec.buffers(pa.array([t], pa.large_string()))
+        begin, _ = token_counts.pieces(data, offs)
+        assert begin.tolist() == [len(t[: m.start()].encode()) for m in pattern.finditer(t)]
+
+
+def test_token_counts_equal_the_library(codec, machine):
+    r = random.Random(3)
+    # long pieces: with a period that chunks don't fall in with, at random, of several bytes a character
+    long = ["a" * 5001, "ab" * 3000, " " * 3000, "aaab" * 1000, "=-" * 900, "日本語" * 400, "😀" * 700]
+    long += ["".join(r.choice(x) for _ in range(n)) for x, n in (("abcdeéß", 5000), ("etaoin", 9000), ("xyz", 257), ("the", 256), ("q", 255))]
+    texts = odd_texts() + long
+    want = [len(e.ids) for e in codec.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert machine.count(pa.array(texts, pa.large_string())).tolist() == want
+    assert machine.count(pa.array(texts[::-1], pa.large_string())).tolist() == want[::-1]
+
+
+def test_token_counts_of_documents_equal_the_ids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {r["doc_id"]: r["n_tokens"] for r in bpe.encode(docs).select("doc_id", "n_tokens").collect()}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json"])
+def test_other_kinds_of_vocabulary_raise(name):
+    made = bpe._read(f"/opt/tokenizers/{name}")
+    for make in (bpe.Codec, token_counts.Machine):
+        with pytest.raises(ValueError):
+            make(made)
 
 
 def test_token_count_frames(spark):
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(odd_documents(spark)).collect()}
-    assert got[2] == got[3] == 0 and got[5] == 1 and got[9] > 30_000
+    assert got[2] == got[3] == 0 and got[5] == 1 and got[8] > 300 and got[9] > 30_000
     assert token_counts.token_counts(no_documents(spark)).count() == 0
 
 
