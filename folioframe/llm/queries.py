@@ -16,4 +16,4 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_nearest_neighbours": ann.op10_nearest_neighbours,
 }
-ORACLES = {"op9_mixing": mixing.ORACLE}
+ORACLES = {"op1_ngram_jaccard_join": ngram_join.ORACLE, "op9_mixing": mixing.ORACLE}

@@ -11,6 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from folioframe.session import cut
 
 CHUNK_BYTES = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -41,6 +45,37 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with underscores in front until no column of df has it (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def repeated_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id) of ids that several rows have, those whose rows have one text first, then those with different texts. Raises
+    where ids aren't integers."""
+    if (kind := docs.schema["doc_id"].dataType.simpleString()) not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"doc_id must be an integer column, not {kind}")
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    ids = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min(text).alias("low"), F.max(text).alias("high"))
+    ids = cut(ids.where("n > 1").select("id", (F.col("low") == F.col("high")).alias("alike")))
+    return ids.where("alike").select("id"), ids.where("NOT alike").select("id")
+
+
+def comparable(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows whose id names one text, rows that have no id or share it with another text, ids of several rows of one text)."""
+    again, torn = repeated_ids(docs)
+    key = docs["doc_id"].cast("long")
+    if torn.isEmpty():
+        return docs.where(docs["doc_id"].isNotNull()), docs.where(docs["doc_id"].isNull()), again
+    return docs.where(docs["doc_id"].isNotNull()).join(torn, key == torn["id"], "left_anti"), docs.where(docs["doc_id"].isNull()).unionByName(docs.join(torn, key == torn["id"], "left_semi")), again
+
+
 def strings(col: pa.Array | pa.ChunkedArray) -> pa.Array:
     """The column as one string array without nulls (null becomes empty)."""
     if isinstance(col, pa.ChunkedArray):
