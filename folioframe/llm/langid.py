@@ -6,8 +6,9 @@ A known word adds its log frequency in each language. An unseen word adds the me
 that are known, or else of its 4-grams, and so on to single characters; if nothing is known it adds nothing. The
 language with the largest sum wins, ties going to the first in alphabetical order.
 
-One pass over whole texts, no shuffle; tables of fixed size (2^21 slots for words, 2^19 for each n) are broadcast, so
-what is sent doesn't grow with the input. Two entries in one slot: the more frequent stays.
+One pass over whole texts, no shuffle. What is broadcast are the entries of the sample, which is bounded, and so doesn't
+grow with the input; none of them is lost. The sample of a language ends at a cutoff of the hash, found among the about
+2 * SAMPLE ids that a share by the number of its ids lets through, so no task holds all ids of a language.
 
 Defined cases: null or empty text, or one in which no word or n-gram is known, is "und" with margin 0; null labels
 are not learnt from; with no labelled rows all is "und"; repeated rows are labelled alike, each on its own; an empty
@@ -21,15 +22,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioframe.llm import vec
 
 SAMPLE = 3_000
 LONGEST = 5
-WORD_BITS = 21
-GRAM_BITS = 19
+#: Beyond this number of languages their cutoffs are joined by a shuffle instead of a broadcast.
+BROADCAST_LANGUAGES = 10_000
 
 
 def char_grams(w: vec.Words, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,27 +44,19 @@ def char_grams(w: vec.Words, words: np.ndarray, n: int) -> tuple[np.ndarray, np.
 
 
 class Table:
-    """Log frequencies of hashed entries in each language, in slots of a fixed number."""
+    """Log frequencies of hashed entries in each language."""
 
-    def __init__(self, bits: int, hashes: np.ndarray, lang: np.ndarray, count: np.ndarray, n_langs: int):
-        self.shift = np.uint64(64 - bits)
-        self.tag = np.zeros(1 << bits, np.uint32)
-        self.place = np.full(1 << bits, -1, np.int32)
+    def __init__(self, hashes: np.ndarray, lang: np.ndarray, count: np.ndarray, n_langs: int):
         entries, which = np.unique(hashes, return_inverse=True)
         counts = np.zeros((len(entries), n_langs))
         np.add.at(counts, (which, lang), count)
-        order = np.argsort(counts.sum(1), kind="stable")
-        slot = (entries[order] >> self.shift).astype(np.int64)
-        self.place[slot] = order
-        self.tag[slot] = (entries[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        self.slots = vec.Slots(entries)
         totals = counts.sum(0)
         self.logs = (np.log(counts + 0.1) - np.log(totals + 0.1 * max(1, len(entries)))).astype(np.float32)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Row of logs of each hash, or -1."""
-        slot = (hashes >> self.shift).astype(np.int64)
-        place = self.place[slot]
-        return np.where((place >= 0) & (self.tag[slot] == (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)), place, -1)
+        return self.slots.find(hashes)
 
 
 class Model:
@@ -104,10 +96,15 @@ class Model:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Word and n-gram frequencies of a bounded sample of labelled rows per language (lang)."""
-    ids = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
-    rank = F.row_number().over(W.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    ids = ids.withColumn("_rank", rank).where(F.col("_rank") <= sample)
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text")
+    named = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL")
+    ids = named.select("lang", F.xxhash64("doc_id").alias("h"))
+    shares = ids.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    few = shares.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    sent = F.broadcast if few else lambda df: df
+    through = F.shiftrightunsigned("h", 11).cast("double") / F.lit(2.0**53) < F.lit(2.0 * sample) / F.col("n")
+    least = F.slice(F.sort_array(F.collect_set(F.shiftrightunsigned("h", 11))), 1, sample)
+    cutoffs = ids.join(sent(shares), "lang").where(through).groupBy("lang").agg(F.element_at(least, -1).alias("cutoff"))
+    rows = named.select("doc_id", "lang", "text").join(sent(cutoffs), "lang").where(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) <= F.col("cutoff")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in vec.pieces(batches):
@@ -127,7 +124,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     lang = np.array([{x: i for i, x in enumerate(langs)}[x] for x in names], np.int64)
     n, c = table.column("n").to_numpy(), table.column("c").to_numpy()
     h = table.column("h").to_numpy().view(np.uint64) if table.num_rows else np.zeros(0, np.uint64)
-    made = [Table(WORD_BITS if k == 0 else GRAM_BITS, h[n == k], lang[n == k], c[n == k], max(1, len(langs))) for k in range(LONGEST + 1)]
+    made = [Table(h[n == k], lang[n == k], c[n == k], max(1, len(langs))) for k in range(LONGEST + 1)]
     return Model(langs, made[0], dict(enumerate(made[1:], 1)))
 
 
