@@ -3,15 +3,16 @@
 Terms of a document are its distinct words and the heads (4 and 6 bytes) of its longer words, the latter once for each of
 LEVELS that the number of words with that head reaches, hashed to 2^18 buckets.
 From a bounded sample of labelled rows (MAX_TOXIC toxic and MAX_CLEAN clean ones, the first in the order of a hash
-of doc_id) the buckets are kept whose presence depends on the label (G-test over G_MIN). On these a factorization
+of doc_id) the buckets are kept whose presence goes with toxic labels (G-test over G_MIN), and those for which that holds
+among the rows with one of these, or among those that additive weights of these hold for toxic (over G_PAIR, as there are
+many such tests), though they may be as common in clean rows: the group mention that only an insult makes toxic. On these a factorization
 machine (bias, linear weights, RANK factors for pairwise interactions) is fitted by Adagrad on the logistic loss;
 each pair of terms of a document counts, so an insult beside a group mention weighs more than the sum of the two.
 The threshold is the one with the best F-score, precision counting twice, on a held-out quarter of the sample.
 
 Every document is scored on its whole text in one pass without a shuffle; the model is a few hundred KB at any size.
 
-Defined cases: a null or empty text has no terms and gets the score of the bias alone and is never toxic; a text
-without kept terms likewise; labels that are null count as unlabelled; several labels of one doc_id: toxic wins;
+Defined cases: a null or empty text has no terms, score 0 and is never toxic; a text without kept terms likewise; labels that are null count as unlabelled; several labels of one doc_id: toxic wins;
 with fewer than two classes among the labels nothing is toxic (score 0); repeated rows are scored alike, each on its
 own; an empty table gives an empty result; extra columns are not read by toxicity() and pass through keep_clean().
 """
@@ -33,6 +34,7 @@ RANK = 6
 MAX_TOXIC = 4_000
 MAX_CLEAN = 8_000
 G_MIN = 16.0
+G_PAIR = 24.0
 EPOCHS = 120
 HEADS = (4, 6)
 LEVELS = (1, 2, 3, 5, 8)
@@ -81,7 +83,7 @@ class Model:
         doc, feature = key // width, key % width
         prob = 1 / (1 + np.exp(-np.clip(self.raw(doc, feature, w.n_docs), -30, 30)))
         found = np.bincount(doc, minlength=w.n_docs) > 0
-        return np.where(found, prob, min(prob.min(initial=1.0), 1 / (1 + np.exp(-np.clip(self.bias, -30, 30)))))
+        return np.where(found, prob, 0.0)
 
 
 def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,6 +104,34 @@ def g_test(n1: np.ndarray, n0: np.ndarray, all1: int, all0: int) -> np.ndarray:
     return out
 
 
+def beside(kept: np.ndarray, row: np.ndarray, flat: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Buckets that go with toxic labels among the rows that have one of the kept buckets, or that are toxic by the sum of
+    the log odds of these; (row, flat): distinct row and bucket, by row."""
+    first = np.searchsorted(row, np.arange(len(y) + 1))
+    found, place = np.zeros(1 << BITS, bool), np.full(1 << BITS, -1)
+    place[kept] = np.arange(len(kept))
+    by = np.flatnonzero(place[flat] >= 0)
+    by = by[np.argsort(place[flat[by]], kind="stable")]
+    which = place[flat[by]]
+    n1, n0 = np.bincount(which[y[row[by]] == 1], minlength=len(kept)), np.bincount(which[y[row[by]] == 0], minlength=len(kept))
+    odds = np.log((n1 + 0.5) / ((y == 1).sum() + 1)) - np.log((n0 + 0.5) / ((y == 0).sum() + 1))
+    total = np.bincount(row[by], odds[which], len(y))
+    cuts = np.searchsorted(which, np.arange(len(kept) + 1))
+    groups = [row[by[lo:hi]] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    for rows in [*groups, np.flatnonzero((total > 0) & (total >= np.quantile(total[y == 1], 0.1)) & (np.diff(first) > 0))]:
+        all1 = int((y[rows] == 1).sum())
+        all0 = len(rows) - all1
+        if min(all1, all0) < 3:
+            continue
+        size = first[rows + 1] - first[rows]
+        terms, label = flat[vec.ragged(first[rows], size)], np.repeat(y[rows], size)
+        n1, n0 = np.bincount(terms[label == 1], minlength=1 << BITS).astype(float), np.bincount(terms[label == 0], minlength=1 << BITS).astype(float)
+        some = np.flatnonzero(n1 >= 3)
+        g = g_test(n1[some], n0[some], all1, all0)
+        found[some[(g > G_PAIR) & (n1[some] / all1 > n0[some] / all0)]] = True
+    return np.flatnonzero(found)
+
+
 def fit_rows(terms: list[np.ndarray], y: np.ndarray, seed: int = 5) -> Model:
     """Fit on distinct buckets per row; every fourth row is held out for the threshold."""
     none = Model(np.full(1 << BITS, -1, np.int32), -20.0, np.zeros(0), np.zeros((0, RANK)), 0.5)
@@ -118,6 +148,7 @@ def fit_rows(terms: list[np.ndarray], y: np.ndarray, seed: int = 5) -> Model:
     all1, all0 = int((y[~held] == 1).sum()), int((y[~held] == 0).sum())
     g = g_test(n1, n0, all1, all0)
     kept = np.flatnonzero((g > G_MIN) & (n1 / all1 > n0 / all0) & (n1 >= 3))
+    kept = np.union1d(kept, beside(kept, row[train], flat[train], y))
     if len(kept) == 0:
         kept = np.flatnonzero((g >= np.partition(g, -1)[-1]) & (n1 + n0 > 0))
     place = np.full(1 << BITS, -1, np.int32)
@@ -156,7 +187,8 @@ def fit_rows(terms: list[np.ndarray], y: np.ndarray, seed: int = 5) -> Model:
     model = Model(place, float(bias[0]), linear, factors, 0.5)
     judge = held if held.any() else ~held
     z = model.raw(row, feature, len(y))[judge]
-    p, t = 1 / (1 + np.exp(-np.clip(z, -30, 30))), y[judge]
+    found = np.bincount(row, minlength=len(y))[judge] > 0
+    p, t = np.where(found, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0), y[judge]
     grid = np.linspace(0.05, 0.95, 19)
     # F-score that counts precision twice: clean documents are to stay
     f1 = [1.25 * ((p >= c) & (t == 1)).sum() / max(1e-9, (p >= c).sum() + 0.25 * (t == 1).sum()) for c in grid]
