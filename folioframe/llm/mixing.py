@@ -2,13 +2,13 @@
 
 Tokens (maximal runs without blank, tab, line end or form feed) are summed by source over all documents. With
 target weight w of a source, rate = w / sum(w) * total tokens / tokens of the source. Each document is emitted
-floor(rate) times, and once more when a hash of (seed, doc_id, text) falls below the fraction, so the emitted
+floor(rate) times, and once more when a hash of (seed, doc_id, length of text) falls below the fraction, so the emitted
 tokens of each source approach its share of the same total.
 
 Defined cases: a null text has 0 tokens and is mixed like any other of its source; null is a source of its own;
 a source without tokens keeps rate 1; a source that the given weights don't name has weight 0 and vanishes; a
-repeated row gets the same draw as its twin; an empty table gives an empty result; extra columns pass through
-unless named like an added one (copy, rate), which is replaced in the result.
+repeated row gets the same draw as its twin; an empty table gives an empty result; extra columns pass through, whatever
+their names; one named like an added column is replaced in the result, where that is asked for (copies).
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioframe.llm import vec
+
 SEED = 17
 #: Beyond this number of sources their rates are joined by a shuffle instead of a broadcast.
 BROADCAST_SOURCES = 10_000
@@ -46,21 +48,22 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, source: str
     return by.crossJoin(total).select("source", "tokens", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep_rate: bool = True) -> DataFrame:
-    """docs, each row as often as its source's rate asks, with copy (from 1) and, where keep_rate, rate."""
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source", copies: bool = True) -> DataFrame:
+    """docs, each row as often as its source's rate asks, with copy (from 1) and rate where copies are to be told apart."""
     spark = docs.sparkSession
     table = rates(docs, weights, source, text)
     few = table.limit(BROADCAST_SOURCES + 1).collect()
-    names = [c for c in docs.columns if c not in ("copy", "rate")]
+    names = [c for c in docs.columns if not (copies and c.lower() in ("copy", "rate"))]
+    of, rate, times = vec.unused(docs, "of", "times_rate", "times")
     if len(few) <= BROADCAST_SOURCES:
-        table = F.broadcast(spark.createDataFrame([(r["source"], r["rate"]) for r in few], "_source string, _rate double"))
+        table = F.broadcast(spark.createDataFrame([(r["source"], r["rate"]) for r in few], f"{of} string, {rate} double"))
     else:
-        table = table.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
-    joined = docs.select(*names).join(table, F.col(source).eqNullSafe(F.col("_source")))
-    n = (F.floor("_rate") + (draw(F.col(doc_id), F.col(text), seed) < F.col("_rate") - F.floor("_rate")).cast("long")).cast("int")
-    joined = joined.withColumn("_n", n).where("_n > 0")
-    out = joined.select(*names, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"), *([F.round("_rate", 6).alias("rate")] if keep_rate else []))
-    return out
+        table = table.select(F.col("source").alias(of), F.col("rate").alias(rate))
+    joined = docs.select(*names).join(table, F.col(source).eqNullSafe(F.col(of)))
+    n = (F.floor(rate) + (draw(F.col(doc_id), F.col(text), seed) < F.col(rate) - F.floor(rate)).cast("long")).cast("int")
+    joined = joined.withColumn(times, n).where(F.col(times) > 0)
+    joined = joined.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return joined.select(*names, *([F.col(times).alias("copy"), F.round(rate, 6).alias("rate")] if copies else []))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
