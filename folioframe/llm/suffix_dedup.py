@@ -14,16 +14,18 @@ least LENGTH (50) words that an earlier document (a lower doc_id) also has; the
    jumps to the nearest run of the symbol on either side and keeps the longer common extension, compared by prefix
    hashes. Positions whose matching statistic reaches 50 are marked.
 
-Nothing but anchors, segments, window hashes and the text by doc_id is shuffled; an owner that very many documents share is
+No window gathers what a popular anchor's documents hold: who owns it is an aggregate, put together before the shuffle,
+and joined back. Nothing but anchors, segments, window hashes and the text by doc_id is shuffled; an owner that very many documents share is
 split into slots of STREAMS documents each. A passage is compared with the first document that holds one of its
 anchors. That document may have the anchor's 20 words without the rest of the passage, so where at least two others
 have them as well, the hashes of those others' windows of LENGTH words are shuffled too and give what they share among
 themselves, in runs beside those of step 3.
 
 Defined cases: null or empty texts and those below 50 words have no passages; rows with a null doc_id are not
-compared; rows that repeat a doc_id count as one document; repeats within one document alone don't count; ties go to
+compared, nor are those of a doc_id that has different texts; ids that aren't integers raise; rows that repeat a doc_id
+and its text count as one document; repeats within one document alone don't count; ties go to
 the lower doc_id; an empty table gives no rows; extra columns are not read by repeats() and pass through
-drop_repeats().
+drop_repeats(), whatever their names.
 """
 
 from __future__ import annotations
@@ -91,10 +93,10 @@ def anchors(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
             yield pa.record_batch([pa.array(h.view(np.int64)), b.column("doc").take(pa.array(doc)), pa.array((at - w.firsts()[doc]).astype(np.int32))], ["f", "doc", "pos"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc IS NOT NULL").mapInArrow(find, "f long, doc long, pos int")
-    of = W.partitionBy("f")
-    found = found.withColumn("owner", F.min("doc").over(of)).withColumn("last", F.max("doc").over(of))
-    found = found.where("owner < last").withColumn("second", F.min(F.when(F.col("doc") > F.col("owner"), F.col("doc"))).over(of))
-    return found.select("owner", "doc", "pos", F.expr("doc > owner AND second < last").alias("rest"))
+    found = cut(found)
+    shared = found.groupBy("f").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where("owner < last")
+    # an anchor that a document has twice may count as one of three documents, which costs work but changes nothing
+    return found.join(shared, "f").select("owner", "doc", "pos", F.expr("doc > owner AND n > 2").alias("rest"))
 
 
 class RunIndex:
@@ -343,12 +345,15 @@ def shared_windows(rows: DataFrame, texts: DataFrame, length: int, k: int) -> Da
 
     at = rows.where("rest").groupBy("doc").agg(F.collect_list("pos").alias("at"))
     found = at.join(texts, "doc").select("doc", "text", "at").mapInArrow(hashes, "h long, doc long, pos int")
-    return found.withColumn("owner", F.min("doc").over(W.partitionBy("h"))).where("doc > owner").select("doc", "pos", "owner")
+    found = cut(found)
+    shared = found.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last")
+    return found.join(shared, "h").where("doc > owner").select("doc", "pos", "owner")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, word_start, word_end (exclusive), n_words, first_doc_id: runs of words that first_doc_id has before."""
     k = GRAM if length >= LENGTH else max(1, length * 2 // 5)
+    docs = vec.comparable(docs.select("doc_id", "text"))[0]
     rows = cut(anchors(docs, length, k))
     slots = rows.groupBy("owner").agg(F.ceil(F.count_distinct("doc") / STREAMS).cast("int").alias("slots")).where("slots > 1")
     salted = rows.join(slots, "owner", "left").select("doc", F.struct("owner", F.col("pos").cast("long"), F.coalesce(F.col("slots"), F.lit(1)).cast("long").alias("slots")).alias("x"))
@@ -372,8 +377,9 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with every repeated run of words cut out of text, white space around the cut put together. A document
     that had words and keeps none is dropped. The other columns stay as they are, but for n_chars, where there is an
     integer one: it becomes the length of the new text."""
-    spans = repeats(docs, length).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("word_start", "word_end")).alias("_spans"))
-    rows = docs.join(spans, docs["doc_id"].cast("long") == F.col("_doc"), "left").drop("_doc")
+    of, cuts = vec.unused(docs, "of", "cuts")
+    spans = repeats(docs, length).groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.struct("word_start", "word_end")).alias(cuts))
+    rows = docs.join(spans, docs["doc_id"].cast("long") == F.col(of), "left").drop(of)
     names, schema = docs.columns, docs.schema
     text_at = names.index("text")
     size_at = names.index("n_chars") if "n_chars" in names and schema["n_chars"].dataType.simpleString() in ("int", "bigint") else None
