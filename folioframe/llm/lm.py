@@ -1,18 +1,24 @@
 """Language-model scoring: a gated recurrent network in numpy with a class-factored softmax.
 
-Words are counted over all documents. The VOCABULARY most frequent (ties by hash) are symbols of their own, the rest
-are told apart by their length in bytes (LENGTHS symbols). Symbols are put into CLASSES classes of about equal mass,
-by the square root of frequency, and p(word) = p(class) p(word | class).
-
-Training is truncated backpropagation through time over windows of WINDOW words with the state carried on. All documents
-are learnt from in every round; a partition with more words takes more lanes side by side. Every partition trains a
-copy; in each round the copies are averaged by words, in two levels, and sent out again. What reaches the driver is at most GROUPS copies of the parameters.
+Words are counted over all documents. The most frequent, GROWTH times the cube root of the number of words (LEAST at
+least; ties by hash), are symbols of their own; the rest are symbols by their length in bytes (LENGTHS, the last for all
+longer ones). Symbols are put into about sqrt(symbols) classes of about equal mass, by the square root of frequency,
+and p(symbol) = p(class) p(symbol | class). A word without a symbol of its own is spelled as well: p(word) = p(length
+symbol) p(bytes | length), by the frequencies of bytes after bytes in all such words of the corpus. So the likelihood is
+that of the complete sequence of words.
+
+Training is truncated backpropagation through time over windows of WINDOW words with the state carried on. Every document
+is learnt from in every round. Documents are dealt to shards of about SHARD_WORDS words by a hash of id and text, and sorted
+by it, so what a shard learns doesn't depend on how the input is split. Every shard trains a copy, starting from the
+frequencies; in each round the copies are averaged by words, in a fixed order, a slice of the parameters a group, and sent
+out again. What reaches the driver is one set of parameters, which grows with the vocabulary, by the cube root.
 
 Scoring runs documents side by side in windows and carries each one's state over all its windows, so the result is
 the log-likelihood of the complete document.
 
-Defined cases: null or empty text has no words, log-likelihood 0 and null nll; with no words anywhere the model is
-uniform over lengths; repeated rows score alike; an empty table gives an empty result; extra columns are not read.
+Defined cases: null or empty text has no words, log-likelihood 0 and null nll; with no words anywhere the model knows
+lengths and bytes as equally frequent; repeated rows count as often as they occur and score alike; an empty table gives an
+empty result; extra columns are not read. Scores repeat to about five digits (32-bit sums, by lanes side by side).
 """
 
 from __future__ import annotations
@@ -28,37 +34,47 @@ from pyspark.sql import functions as F
 from folioframe.llm import vec
 from folioframe.session import cut
 
-VOCABULARY = 1024
+LEAST = 1024
+GROWTH = 9.0
 LENGTHS = 24
-CLASSES = 32
 HIDDEN = 24
 WINDOW = 32
 #: Lanes side by side: LANES, or as many as leave UPDATES windows to a pass, MOST_LANES at most.
 LANES = 64
 UPDATES = 128
-MOST_LANES = 1024
+MOST_LANES = 256
 ROUNDS = 2
-TRAIN_ONE_IN = 1
-GROUPS = 16
+SHARD_WORDS = 2 << 20
+#: Numbers of a slice of the parameters, and the groups that slices are averaged in.
+SLICE = 2048
+GROUPS = 32
 SCORE_WORDS = 6 << 20
+#: States that go through the softmax at a time in scoring.
+SOFTMAX_ROWS = 16384
 
 
 @dataclass
 class Vocabulary:
-    """hashes, sorted, of the words with a symbol of their own; symbol of each; class of each symbol and its members."""
+    """hashes, sorted, of the words with a symbol of their own, and the symbol of each; symbols of lengths; frequency and
+    class of each symbol. Symbols are numbered by class; class c has those from first[c] to first[c + 1]."""
 
     hashes: np.ndarray
     symbol: np.ndarray
+    lengths: np.ndarray
+    freq: np.ndarray
     cls: np.ndarray
-    members: list[np.ndarray]
-    place: np.ndarray  # of a symbol in its class
+    first: np.ndarray
 
     @property
     def size(self) -> int:
         return len(self.cls)
 
+    @property
+    def words(self) -> int:
+        return int(self.freq.sum())
+
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
+def vocabulary(docs: DataFrame, least: int = LEAST, growth: float = GROWTH) -> Vocabulary:
     """Count words over all documents; keep the most frequent."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,8 +103,9 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
             yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], ["h", "c"])
 
     counted = cut(docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
-    top = counted.orderBy(F.desc("c"), "h").limit(size).collect()
     lengths = {r["n"]: r["c"] for r in counted.groupBy(F.col("h").bitwiseAND(31).alias("n")).agg(F.sum("c").alias("c")).collect()}
+    size = max(least, int(growth * sum(lengths.values()) ** (1 / 3)))
+    top = counted.orderBy(F.desc("c"), "h").limit(size).collect()
     hashes = np.array([r["h"] for r in top], np.int64).view(np.uint64)
     freq = np.array([r["c"] for r in top], float)
     rest = np.array([lengths.get(i, 0) for i in range(1, LENGTHS + 1)], float)
@@ -97,48 +114,97 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
     return build(hashes, np.concatenate([freq, np.maximum(rest, 0)]))
 
 
-def build(keys: np.ndarray, freq: np.ndarray, classes: int = CLASSES) -> Vocabulary:
+def build(keys: np.ndarray, freq: np.ndarray, classes: int | None = None) -> Vocabulary:
+    """From the keys of words and the frequencies of these and, after them, of the lengths."""
+    classes = classes or max(1, round(len(freq) ** 0.5))
     mass = np.sqrt(freq + 1)
     order = np.argsort(-mass, kind="stable")
     share = (np.cumsum(mass[order]) - mass[order] / 2) / mass.sum()
-    cls = np.empty(len(freq), np.int64)
-    cls[order] = np.minimum((share * classes).astype(np.int64), classes - 1)
-    _, cls = np.unique(cls, return_inverse=True)
-    members = [np.flatnonzero(cls == c) for c in range(cls.max() + 1)]
-    place = np.empty(len(freq), np.int64)
-    for m in members:
-        place[m] = np.arange(len(m))
+    _, cls = np.unique(np.minimum((share * classes).astype(np.int64), classes - 1), return_inverse=True)
+    symbol = np.empty(len(freq), np.int64)
+    symbol[order] = np.arange(len(freq))
     by = np.argsort(keys)
-    return Vocabulary(keys[by], by, cls, members, place)
+    return Vocabulary(keys[by], symbol[by], symbol[len(keys) :], freq[order], cls, np.searchsorted(cls, np.arange(cls[-1] + 2)))
 
 
-def _keyed(v: Vocabulary, w: vec.Words) -> np.ndarray:
-    """Symbols of words: keys hold the length in their lowest bits, as in the count."""
+def symbols_of(v: Vocabulary, w: vec.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(symbol, whether it is that of a length) of words; keys hold the length in their lowest bits, as in the count."""
     size = np.minimum(w.end - w.start, LENGTHS)
+    length = v.lengths[size - 1]
+    if len(v.hashes) == 0:
+        return length.astype(np.int32), np.ones(len(size), bool)
     key = (w.hash & ~np.uint64(31)) | size.astype(np.uint64)
-    own = len(v.hashes)
-    length = own + size - 1
-    if own == 0:
-        return length.astype(np.int16)
-    at = np.minimum(np.searchsorted(v.hashes, key), own - 1)
-    return np.where(v.hashes[at] == key, v.symbol[at], length).astype(np.int16)
+    at = np.minimum(np.searchsorted(v.hashes, key), len(v.hashes) - 1)
+    own = v.hashes[at] == key
+    return np.where(own, v.symbol[at], length).astype(np.int32), ~own
+
+
+def _spelt(w: vec.Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, pair) of every byte of the words which: the byte and the one before it (a newline at the start) in one."""
+    start, size = w.start[which], (w.end - w.start)[which]
+    at = vec.ragged(start, size)
+    before = w.data[at - 1].astype(np.int64)
+    before[(np.cumsum(size) - size)] = 10
+    return np.repeat(which, size), before * 256 + w.data[at]
+
+
+class Spelling:
+    """Bytes after bytes in words without a symbol of their own: counts of the 65,536 pairs, then the number of words of
+    LENGTHS bytes or more and of their bytes beyond."""
+
+    SIZE = 65_538
+
+    def __init__(self, counts: np.ndarray):
+        pairs = counts[:65_536].reshape(256, 256) + 0.05
+        self.logs = np.log(pairs / pairs.sum(1, keepdims=True)).ravel()
+        stop = (counts[65_536] + 1) / (counts[65_536] + counts[65_537] + 2)
+        self.stop, self.go_on = np.log(stop), np.log(1 - stop)
+
+    @staticmethod
+    def counts(w: vec.Words, unlisted: np.ndarray) -> np.ndarray:
+        which = np.flatnonzero(unlisted)
+        if len(which) == 0:
+            return np.zeros(Spelling.SIZE, np.int64)
+        beyond = (w.end - w.start)[which] - LENGTHS
+        return np.concatenate([np.bincount(_spelt(w, which)[1], minlength=65_536), [(beyond >= 0).sum(), beyond[beyond > 0].sum()]])
+
+    def loglik(self, w: vec.Words, unlisted: np.ndarray) -> np.ndarray:
+        """Log-likelihood of the spelling of each document's unlisted words, given their length symbols."""
+        which = np.flatnonzero(unlisted)
+        if len(which) == 0:
+            return np.zeros(w.n_docs)
+        word, pair = _spelt(w, which)
+        beyond = (w.end - w.start)[which] - LENGTHS
+        ends = np.where(beyond >= 0, np.maximum(beyond, 0) * self.go_on + self.stop, 0.0)
+        return np.bincount(w.doc[word], self.logs[pair], w.n_docs) + np.bincount(w.doc[which], ends, w.n_docs)
 
 
 class Network:
-    """Parameters: inputs (symbols and a start mark) to gates, state to gates, state to classes and to words."""
+    """Parameters: inputs (symbols and a start mark) to gates, state to gates, state to classes and to words. The biases
+    start at the frequencies."""
 
     NAMES = ("inputs", "gates", "classes", "class_bias", "words", "word_bias")
 
     def __init__(self, v: Vocabulary, hidden: int = HIDDEN, seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.v, self.hidden = v, hidden
-        n, k = v.size, len(v.members)
+        self.v, self.hidden, self.spelling = v, hidden, Spelling(np.zeros(Spelling.SIZE))
+        n, k = v.size, len(v.first) - 1
         self.inputs = rng.normal(0, 0.1, (n + 1, 3 * hidden)).astype(np.float32)
         self.gates = rng.normal(0, hidden**-0.5 / 2, (hidden, 3 * hidden)).astype(np.float32)
         self.classes = rng.normal(0, 0.1, (hidden, k)).astype(np.float32)
-        self.class_bias = np.zeros(k, np.float32)
-        self.words = rng.normal(0, 0.1, (hidden, n)).astype(np.float32)
-        self.word_bias = np.zeros(n, np.float32)
+        mass = np.add.reduceat(v.freq + 0.5, v.first[:-1])
+        self.class_bias = np.log(mass / mass.sum()).astype(np.float32)
+        self.words = rng.normal(0, 0.1, (n, hidden)).astype(np.float32)
+        self.word_bias = np.log((v.freq + 0.5) / mass[v.cls]).astype(np.float32)
+        self.restart()
+
+    def restart(self) -> None:
+        """Forget the averages of gradients."""
+        self.updates = 0
+        self.first, self.second = ({n: np.zeros_like(getattr(self, n)) for n in self.NAMES} for _ in "ab")
+
+    def __getstate__(self):
+        return {k: x for k, x in self.__dict__.items() if k not in ("first", "second")}
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
@@ -156,105 +222,130 @@ class Network:
         k = self.hidden
         a = self.inputs[x]
         u = h @ self.gates
-        zr = 0.5 * (1 + np.tanh(0.5 * (a[:, : 2 * k] + u[:, : 2 * k])))
+        zr = a[:, : 2 * k] + u[:, : 2 * k]
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= 0.5
         z, r, un = zr[:, :k], zr[:, k:], u[:, 2 * k :]
-        n = np.tanh(a[:, 2 * k :] + r * un)
-        return z, r, n, un, n + z * (h - n)
+        n = r * un
+        n += a[:, 2 * k :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return z, r, n, un, new
 
     def loss(self, h: np.ndarray, y: np.ndarray, learn: bool = False):
         """Log-likelihood of symbols y after states h; with learn, the gradients of its negative sum as well."""
         c = self.v.cls[y]
-        logits = h @ self.classes + self.class_bias
+        logits = h @ self.classes
+        logits += self.class_bias
         logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        s = p.sum(1)
         rows = np.arange(len(y))
-        out = (logits[rows, c] - np.log(s)).astype(np.float64)
-        grads = None
+        out = logits[rows, c].astype(np.float64)
+        p = np.exp(logits, out=logits)
+        s = p.sum(1)
+        out -= np.log(s)
+        grads = back = None
         if learn:
             p /= s[:, None]
             p[rows, c] -= 1
             grads = {"classes": h.T @ p, "class_bias": p.sum(0), "words": np.zeros_like(self.words), "word_bias": np.zeros_like(self.word_bias)}
             back = p @ self.classes.T
         order = np.argsort(c.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(len(self.v.members) + 1))
-        for k, m in enumerate(self.v.members):
-            i = order[cuts[k] : cuts[k + 1]]
-            if len(i) == 0 or len(m) == 1:
-                continue
-            hk = h[i]
-            q = hk @ self.words[:, m] + self.word_bias[m]
+        cuts = np.searchsorted(c[order], np.arange(len(self.v.first)))
+        hs, ys = h[order], y[order]
+        for k in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(self.v.first) > 1)):
+            i = slice(cuts[k], cuts[k + 1])
+            m = slice(self.v.first[k], self.v.first[k + 1])
+            hk, wk = hs[i], self.words[m]
+            q = hk @ wk.T
+            q += self.word_bias[m]
             q -= q.max(1, keepdims=True)
-            at = (np.arange(len(i)), self.v.place[y[i]])
+            at = (np.arange(len(hk)), ys[i] - m.start)
             picked = q[at]
             np.exp(q, out=q)
             s = q.sum(1)
-            out[i] += picked - np.log(s)
+            out[order[i]] += picked - np.log(s)
             if learn:
                 q /= s[:, None]
                 q[at] -= 1
-                grads["words"][:, m] = hk.T @ q
+                grads["words"][m] = q.T @ hk
                 grads["word_bias"][m] = q.sum(0)
-                back[i] += q @ self.words[:, m].T
+                back[order[i]] += q @ wk
         return (out, grads, back) if learn else out
 
+    def gradients(self, x: np.ndarray, y: np.ndarray, new: np.ndarray, h: np.ndarray, ok: np.ndarray | None = None) -> tuple[float, dict, np.ndarray]:
+        """Over a window (lanes x steps) of inputs x, targets y and marks of first words, from states h: the log-likelihood,
+        the gradients of its negative (of inputs: symbols and rows) and the states after it. Only targets that are ok count."""
+        lanes, steps = x.shape
+        k = self.hidden
+        kept, states = [], []
+        for t in range(steps):
+            before = np.where(new[:, t, None], h.dtype.type(0), h)
+            z, r, n, un, h = self.step(x[:, t], before)
+            kept.append((before, z, r, n, un))
+            states.append(h)
+        flat_h, flat_y = np.concatenate(states), y.T.ravel()
+        if ok is None or ok.all():
+            out, grads, back = self.loss(flat_h, flat_y, learn=True)
+        else:
+            some = np.flatnonzero(ok.T.ravel())
+            out, grads, part = self.loss(flat_h[some], flat_y[some], learn=True)
+            back = np.zeros_like(flat_h)
+            back[some] = part
+        back = back.reshape(steps, lanes, k)
+        grads["gates"] = np.zeros_like(self.gates)
+        deltas = np.empty((steps, lanes, 3 * k), self.gates.dtype)
+        dh = np.zeros((lanes, k), self.gates.dtype)
+        for t in range(steps - 1, -1, -1):
+            before, z, r, n, un = kept[t]
+            dh = dh + back[t]
+            dn = dh * (1 - z) * (1 - n * n)
+            dz = dh * (before - n) * z * (1 - z)
+            dr = dn * un * r * (1 - r)
+            du = np.concatenate([dz, dr, dn * r], 1)
+            deltas[t, :, : 2 * k] = du[:, : 2 * k]
+            deltas[t, :, 2 * k :] = dn
+            grads["gates"] += before.T @ du
+            dh = np.where(new[:, t, None], h.dtype.type(0), dh * z + du @ self.gates.T)
+        flat_x = x.T.ravel()
+        order = np.argsort(flat_x.astype(np.uint16) if self.v.size < 65_535 else flat_x, kind="stable")
+        sorted_x = flat_x[order]
+        opens = np.flatnonzero(np.concatenate([[True], sorted_x[1:] != sorted_x[:-1]]))
+        grads["inputs"] = sorted_x[opens], np.add.reduceat(deltas.reshape(-1, 3 * k)[order], opens, axis=0)
+        return float(out.sum()), grads, h
+
     def train(self, ids: np.ndarray, starts: np.ndarray, lanes: int | None = None, rate: float = 0.01) -> int:
         """One pass of truncated backpropagation over concatenated texts; starts marks first words. Returns the words."""
+        if len(ids) == 0:
+            return 0
         if lanes is None:
             lanes = max(LANES, min(MOST_LANES, len(ids) // (WINDOW * UPDATES)))
         lanes = max(1, min(lanes, len(ids) // (2 * WINDOW)))
-        width = len(ids) // lanes
-        if width == 0:
-            return 0
-        y = ids[: lanes * width].reshape(lanes, width).astype(np.int64)
-        new = starts[: lanes * width].reshape(lanes, width).copy()
+        width = -(-len(ids) // lanes)
+        spare = lanes * width - len(ids)
+        y = np.concatenate([ids, np.zeros(spare, ids.dtype)]).reshape(lanes, width).astype(np.int64)
+        new = np.concatenate([starts, np.ones(spare, bool)]).reshape(lanes, width)
         new[:, 0] = True
+        ok = (np.arange(lanes * width) < len(ids)).reshape(lanes, width)
         x = np.concatenate([np.full((lanes, 1), self.v.size), y[:, :-1]], 1)
         x[new] = self.v.size
         h = np.zeros((lanes, self.hidden), np.float32)
-        k = self.hidden
-        first = {n: np.zeros_like(getattr(self, n)) for n in self.NAMES}
-        second = {n: np.zeros_like(getattr(self, n)) for n in self.NAMES}
-        t_adam = 0
         for lo in range(0, width, WINDOW):
-            steps = range(lo, min(lo + WINDOW, width))
-            kept, states = [], []
-            for t in steps:
-                before = np.where(new[:, t, None], 0, h).astype(np.float32)
-                z, r, n, un, h = self.step(x[:, t], before)
-                kept.append((before, z, r, n, un))
-                states.append(h)
-            m = lanes * len(kept)
-            _, grads, back = self.loss(np.concatenate(states), y[:, lo : lo + len(kept)].T.ravel(), learn=True)
-            back = back.reshape(len(kept), lanes, k)
-            grads["gates"] = np.zeros_like(self.gates)
-            deltas = np.empty((len(kept), lanes, 3 * k), np.float32)
-            dh = np.zeros((lanes, k), np.float32)
-            for i in range(len(kept) - 1, -1, -1):
-                before, z, r, n, un = kept[i]
-                dh = dh + back[i]
-                dn = dh * (1 - z) * (1 - n * n)
-                dz = dh * (before - n) * z * (1 - z)
-                dr = dn * un * r * (1 - r)
-                du = np.concatenate([dz, dr, dn * r], 1)
-                deltas[i] = np.concatenate([dz, dr, dn], 1)
-                grads["gates"] += before.T @ du
-                dh = np.where(new[:, lo + i, None], 0, dh * z + du @ self.gates.T).astype(np.float32)
-            flat_x = x[:, lo : lo + len(kept)].T.ravel()
-            order = np.argsort(flat_x.astype(np.int16), kind="stable")
-            sorted_x = flat_x[order]
-            opens = np.flatnonzero(np.concatenate([[True], sorted_x[1:] != sorted_x[:-1]]))
-            used = sorted_x[opens]
-            grads["inputs"] = np.add.reduceat(deltas.reshape(m, 3 * k)[order], opens, axis=0)
-            t_adam += 1
-            fix = np.sqrt(1 - 0.99**t_adam) / (1 - 0.9**t_adam)
+            part = slice(lo, min(lo + WINDOW, width))
+            _, grads, h = self.gradients(x[:, part], y[:, part], new[:, part], h, ok[:, part])
+            m = int(ok[:, part].sum())
+            self.updates += 1
+            fix = np.sqrt(1 - 0.99**self.updates) / (1 - 0.9**self.updates)
             for name in self.NAMES:
-                at = used if name == "inputs" else slice(None)
-                g = np.clip(grads[name] / m, -1, 1)
-                f = first[name][at] = 0.9 * first[name][at] + 0.1 * g
-                s = second[name][at] = 0.99 * second[name][at] + 0.01 * g * g
+                at, g = grads[name] if name == "inputs" else (slice(None), grads[name])
+                g = np.clip(g / m, -1, 1)
+                f = self.first[name][at] = 0.9 * self.first[name][at] + 0.1 * g
+                s = self.second[name][at] = 0.99 * self.second[name][at] + 0.01 * g * g
                 getattr(self, name)[at] -= rate * fix * f / (np.sqrt(s) + 1e-6)
-        return lanes * width
+        return len(ids)
 
     def score(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Log-likelihood of each text, from the symbols of all and the number of each."""
@@ -262,73 +353,112 @@ class Network:
         by = np.argsort(-counts, kind="stable")
         first, counts_by = first[by], counts[by]
         total = np.zeros(len(by))
-        h = np.zeros((int((counts_by > 0).sum()), self.hidden), np.float32)
-        x = np.full(len(h), self.v.size, np.int64)
         longest = int(counts_by.max(initial=0))
-        for lo in range(0, longest, WINDOW):
-            states, targets, lanes = [], [], []
-            for t in range(lo, min(lo + WINDOW, longest)):
-                live = int(np.searchsorted(-counts_by, -t))
-                h = self.step(x[:live], h[:live])[-1]
-                x = ids[first[:live] + t].astype(np.int64)
-                states.append(h)
-                targets.append(x)
-                lanes.append(np.arange(live))
-            total += np.bincount(np.concatenate(lanes), self.loss(np.concatenate(states), np.concatenate(targets)), len(total))
+        alive = len(by) - np.searchsorted(counts_by[::-1], np.arange(longest), "right")
+        h = np.zeros((int(alive[0]) if longest else 0, self.hidden), np.float32)
+        x = np.full(len(h), self.v.size, np.int64)
+        states, targets, sizes = [], [], []
+        for t in range(longest):
+            live = int(alive[t])
+            h = self.step(x[:live], h[:live])[-1]
+            x = ids[first[:live] + t].astype(np.int64)
+            states.append(h)
+            targets.append(x)
+            sizes.append(live)
+            if t == longest - 1 or live * len(sizes) > SOFTMAX_ROWS:
+                lanes = vec.ragged(np.zeros(len(sizes), np.int64), np.array(sizes))
+                total += np.bincount(lanes, self.loss(np.concatenate(states), np.concatenate(targets)), len(total))
+                states, targets, sizes = [], [], []
         out = np.empty(len(by))
         out[by] = total
         return out
 
 
-def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, one_in: int = TRAIN_ONE_IN) -> Network:
-    """Average of the networks of all partitions, over all documents (one_in: over a share of them; a share without any
-    words falls back to all)."""
+def shards(docs: DataFrame, v: Vocabulary, words: int = SHARD_WORDS) -> DataFrame:
+    """shard, h (a hash of id and text), ids and, in one more row a partition of docs, pairs (counts of the spelling):
+    every row of docs, a partition a shard, sorted by h."""
+    n = max(1, -(-v.words // words))
     shared = docs.sparkSession.sparkContext.broadcast(v)
 
     def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros(Spelling.SIZE, np.int64)
+        names = ["h", "ids", "pairs"]
         for b in vec.pieces(batches):
             w = vec.Words(vec.strings(b.column("text")))
-            yield pa.record_batch([vec.list_array(_keyed(shared.value, w), w.counts(), pa.int16())], ["ids"])
+            ids, unlisted = symbols_of(shared.value, w)
+            pairs += Spelling.counts(w, unlisted)
+            yield pa.record_batch([b.column("h"), vec.list_array(ids, w.counts(), pa.int32()), pa.nulls(b.num_rows, pa.list_(pa.int64()))], names)
+        yield pa.record_batch([pa.array([int(pairs.sum())]), pa.array([[]], pa.list_(pa.int32())), pa.array([pairs.tolist()], pa.list_(pa.int64()))], names)
+
+    hashed = docs.select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"), "text")
+    rows = hashed.mapInArrow(symbols, "h long, ids array<int>, pairs array<long>").withColumn("shard", F.pmod("h", F.lit(n)).cast("int"))
+    return cut(rows.repartitionById(n, F.col("shard")).sortWithinPartitions("h"))
 
-    picked = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(one_in)) == 0)
-    rows = cut(picked.select("text").mapInArrow(symbols, "ids array<short>"))
-    if rows.where(F.size("ids") > 0).isEmpty():
-        rows = cut(docs.select("text").mapInArrow(symbols, "ids array<short>"))
+
+def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, words: int = SHARD_WORDS) -> Network:
+    """Average of the networks of all shards, over all documents."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(v)
+    rows = shards(docs, v, words)
     net = Network(v)
+    counts = rows.where("pairs IS NOT NULL").select(F.posexplode("pairs").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).where("n > 0").toArrow()
+    pairs = np.zeros(Spelling.SIZE)
+    pairs[counts.column("i").to_numpy()] = counts.column("n").to_numpy()
+    net.spelling = Spelling(pairs)
     for nth in range(rounds):
-        sent = docs.sparkSession.sparkContext.broadcast(net.flat())
+        sent = spark.sparkContext.broadcast(net.flat())
         rate = 0.01 / (1 + nth)
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = Network(shared.value).load(sent.value)
-            parts, sizes = [], []
+            parts, sizes, held, learnt, shard = [], [], 0, 0, 0
+
+            def block() -> int:
+                ids, size = np.concatenate(parts), np.concatenate(sizes)
+                starts = np.zeros(len(ids), bool)
+                starts[(np.cumsum(size) - size)[size > 0]] = True
+                return own.train(ids, starts, rate=rate)
+
             for b in batches:
+                if b.num_rows == 0:
+                    continue
+                shard = b.column("shard")[0].as_py()
                 col = b.column("ids")
                 parts.append(col.flatten().to_numpy(zero_copy_only=False))
                 sizes.append(np.diff(col.offsets.to_numpy()))
-            if not parts:
-                return
-            ids, size = np.concatenate(parts), np.concatenate(sizes)
-            starts = np.zeros(len(ids), bool)
-            starts[(np.cumsum(size) - size)[size > 0]] = True
-            if words := own.train(ids, starts, rate=rate):
-                group = int(vec.mix(np.array([len(ids) + int(ids[:64].sum()) * 7919], np.uint64))[0] % GROUPS)
-                yield pa.record_batch([pa.array([group], pa.int32()), pa.array([float(words)]), pa.array([(own.flat().astype(np.float64) * words).tobytes()])], ["g", "words", "sums"])
+                held += len(parts[-1])
+                # a shard that many equal rows make large is learnt in blocks
+                if held > 2 * words:
+                    learnt += block()
+                    parts, sizes, held = [], [], 0
+            if held:
+                learnt += block()
+            if learnt:
+                flat = own.flat()
+                cuts = range(0, len(flat), SLICE)
+                n = len(cuts)
+                yield pa.record_batch([pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, shard, np.int32)), pa.array(np.full(n, float(learnt))), pa.array([flat[at : at + SLICE].tobytes() for at in cuts])], ["slice", "shard", "words", "part"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, sums = 0.0, None
+            now, total, sums = None, 0.0, None
+            close = lambda: pa.record_batch([pa.array([now], pa.int32()), pa.array([(sums / total).tobytes()])], ["slice", "mean"])
             for b in batches:
-                for n, s in zip(b.column("words").to_pylist(), b.column("sums").to_pylist(), strict=True):
-                    part = np.frombuffer(s, np.float64)
-                    words, sums = words + n, part if sums is None else sums + part
-            if sums is not None:
-                yield pa.record_batch([pa.array([0], pa.int32()), pa.array([words]), pa.array([sums.tobytes()])], ["g", "words", "sums"])
-
-        schema = "g int, words double, sums binary"
-        got = rows.mapInArrow(learn, schema).repartition(GROUPS, "g").mapInArrow(add, schema).collect()
+                for i, n, s in zip(b.column("slice").to_pylist(), b.column("words").to_pylist(), b.column("part"), strict=True):
+                    part = np.frombuffer(s.as_buffer(), np.float32).astype(np.float64) * n
+                    if i != now:
+                        if now is not None:
+                            yield close()
+                        now, total, sums = i, n, part
+                    else:
+                        total, sums = total + n, sums + part
+            if now is not None:
+                yield close()
+
+        got = rows.select("shard", "ids").mapInArrow(learn, "slice int, shard int, words double, part binary")
+        got = got.repartition(GROUPS, "slice").sortWithinPartitions("slice", "shard").mapInArrow(add, "slice int, mean binary").collect()
         if not got:
             break
-        net.load(sum(np.frombuffer(r["sums"], np.float64) for r in got) / sum(r["words"] for r in got))
+        net.load(np.concatenate([np.frombuffer(r["mean"], np.float64) for r in sorted(got, key=lambda r: r["slice"])]))
     return net
 
 
@@ -338,23 +468,25 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = shared.value
-        names, ids, counts, words = [], [], [], 0
+        names, ids, counts, spelt, words = [], [], [], [], 0
 
         def close() -> pa.RecordBatch:
             size = np.concatenate(counts)
-            ll = n.score(np.concatenate(ids), size)
+            ll = n.score(np.concatenate(ids), size) + np.concatenate(spelt)
             nll = pa.array(-ll / np.maximum(size, 1), mask=size == 0)
             return pa.record_batch([pa.concat_arrays(names), pa.array(size.astype(np.int64)), pa.array(ll), nll], ["doc_id", "n_words", "loglik", "nll"])
 
         for b in vec.pieces(batches):
             w = vec.Words(vec.strings(b.column("text")))
             names.append(b.column("doc_id"))
-            ids.append(_keyed(n.v, w))
+            own, unlisted = symbols_of(n.v, w)
+            ids.append(own)
+            spelt.append(n.spelling.loglik(w, unlisted))
             counts.append(w.counts())
-            words += len(ids[-1])
+            words += len(own)
             if words > SCORE_WORDS:
                 yield close()
-                names, ids, counts, words = [], [], [], 0
+                names, ids, counts, spelt, words = [], [], [], [], 0
         if names:
             yield close()
 
