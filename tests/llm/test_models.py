@@ -141,10 +141,10 @@ def lang_model():
     words = vec.Words(pa.array(["the cat and the dog", "die katze und der hund die"], pa.large_string()))
     lang = words.doc
     h, of = np.unique(words.hash, return_inverse=True)
-    made = [langid.Table(12, words.hash, lang, np.ones(len(lang)), 2)]
+    made = [langid.Table(words.hash, lang, np.ones(len(lang)), 2)]
     for n in range(1, langid.LONGEST + 1):
         at, g = langid.char_grams(words, np.arange(len(words.hash)), n)
-        made.append(langid.Table(12, g, lang[at], np.ones(len(at)), 2))
+        made.append(langid.Table(g, lang[at], np.ones(len(at)), 2))
     return langid.Model(["en", "xx"], made[0], dict(enumerate(made[1:], 1))), words
 
 
@@ -185,6 +185,25 @@ def test_language_accuracy(spark):
     assert got > 0.97
 
 
+def test_the_sample_is_the_first_by_hash(spark):
+    rows = [(i % 700, "en" if i % 3 else "de", f"word{i % 700} again{i % 700}") for i in range(2100)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.fit(df, sample=50)
+    assert model.langs == ["de", "en"] and len(model.words.logs) == 100
+    many = langid.fit(df.union(df), sample=50)
+    ids = {x: {r[0] for r in df.where(F.col("lang") == x).select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id"), 11).alias("u")).distinct().orderBy("u").limit(50).collect()} for x in ("de", "en")}
+    known = {(x, w) for x, found in ids.items() for i in found for w in (f"word{i}", f"again{i}")}
+    found = {w for w in {f"word{i}" for i in range(700)} if many.words.find(vec.Words(vec.strings(pa.array([w]))).hash)[0] >= 0}
+    assert found == {w for _, w in known if w.startswith("word")}
+
+
+def test_no_entry_is_lost():
+    rng = np.random.default_rng(1)
+    h = rng.integers(0, 1 << 63, 100_000).astype(np.uint64)
+    table = langid.Table(h, np.zeros(len(h), np.int64), np.ones(len(h)), 1)
+    assert (table.find(h) >= 0).all() and (table.find(h ^ np.uint64(1 << 40)) < 0).all()
+
+
 def test_language_frames(spark):
     df = odd_documents(spark)
     got = {r["doc_id"]: r for r in langid.identify(df, langid.fit(df)).collect()}
@@ -197,8 +216,12 @@ def test_language_frames(spark):
 # language model
 
 
-def test_gradients():
-    v = lm.build(np.arange(10, dtype=np.uint64) * np.uint64(32), np.arange(10 + lm.LENGTHS)[::-1] + 1.0, classes=4)
+def small(n=10, classes=4, freq=None):
+    return lm.build(np.arange(n, dtype=np.uint64) * np.uint64(32), np.arange(n + lm.LENGTHS)[::-1] + 1.0 if freq is None else freq, classes)
+
+
+def test_gradients_of_the_softmax():
+    v = small()
     net = lm.Network(v, hidden=4)
     for n in net.NAMES:
         setattr(net, n, getattr(net, n).astype(np.float64))
@@ -217,38 +240,86 @@ def test_gradients():
         assert abs(-(up - down) / 2e-5 - grads[name][i]) < 1e-5
 
 
+def test_gradients_through_time():
+    """Finite differences of every parameter that feeds the state, over a window with new texts and spare places in it."""
+    v, rng = small(6), np.random.default_rng(3)
+    net = lm.Network(v, hidden=3)
+    for n in net.NAMES:
+        setattr(net, n, rng.normal(0, 0.7, getattr(net, n).shape))
+    y = rng.integers(0, v.size, (3, 7))
+    x = np.concatenate([np.full((3, 1), v.size), y[:, :-1]], 1)
+    new, ok = rng.random((3, 7)) < 0.25, np.ones((3, 7), bool)
+    x[new], ok[2, 5:] = v.size, False
+    h = rng.normal(size=(3, 3))
+    _, grads, _ = net.gradients(x, y, new, h, ok)
+    symbols, rows = grads["inputs"]
+    dense = np.zeros_like(net.inputs)
+    dense[symbols] = rows
+    for name, grad in (("inputs", dense), ("gates", grads["gates"]), ("words", grads["words"]), ("classes", grads["classes"])):
+        p, numeric = getattr(net, name), np.zeros_like(grad)
+        for i in np.ndindex(p.shape):
+            old = p[i]
+            p[i] = old + 1e-5
+            up = net.gradients(x, y, new, h, ok)[0]
+            p[i] = old - 1e-5
+            down = net.gradients(x, y, new, h, ok)[0]
+            p[i], numeric[i] = old, -(up - down) / 2e-5
+        assert np.abs(grad).max() > 0.1 and np.allclose(numeric, grad, atol=1e-6)
+
+
 def test_probabilities_sum_to_one():
-    v = lm.build(np.arange(10, dtype=np.uint64) * np.uint64(32), np.arange(10 + lm.LENGTHS)[::-1] + 1.0, classes=5)
+    v = small(classes=5)
     net = lm.Network(v)
     h = np.random.default_rng(1).normal(size=(1, net.hidden)).astype(np.float32)
     assert abs(np.exp(net.loss(np.repeat(h, v.size, 0), np.arange(v.size))).sum() - 1) < 1e-4
+    assert np.allclose(np.exp(lm.Spelling(np.arange(lm.Spelling.SIZE)).logs.reshape(256, 256)).sum(1), 1)
+
+
+def test_network_starts_at_the_frequencies():
+    v = small()
+    net = lm.Network(v)
+    assert np.allclose(net.loss(np.zeros((v.size, net.hidden), np.float32), np.arange(v.size)), np.log((v.freq + 0.5) / (v.freq + 0.5).sum()), atol=1e-4)
+
+
+def test_spelling_by_hand():
+    w = vec.Words(vec.strings(pa.array(["ab abc ab", None, "x" + "y" * 30])))
+    unlisted = np.array([True, True, False, True])
+    counts = lm.Spelling.counts(w, unlisted)
+    assert counts[10 * 256 + 97] == 2 and counts[97 * 256 + 98] == 2 and counts[98 * 256 + 99] == 1 and counts[121 * 256 + 121] == 29
+    assert list(counts[65_536:]) == [1, 31 - lm.LENGTHS]
+    s = lm.Spelling(counts)
+    log = lambda word: sum(s.logs[a * 256 + b] for a, b in zip(b"\n" + word, word))
+    assert np.allclose(s.loglik(w, unlisted), [log(b"ab") + log(b"abc"), 0, log(b"x" + b"y" * 30) + s.stop + (31 - lm.LENGTHS) * s.go_on])
 
 
 def test_state_is_carried_over_windows():
-    v = lm.build(np.arange(20, dtype=np.uint64) * np.uint64(32), np.ones(20 + lm.LENGTHS), classes=4)
+    v = small(20, freq=np.ones(20 + lm.LENGTHS))
     net = lm.Network(v)
     rng = np.random.default_rng(2)
     counts = np.array([0, 1, 31, 32, 33, 200])
-    ids = rng.integers(0, v.size, counts.sum()).astype(np.int16)
-    got, at = net.score(ids, counts), 0
-    for c, g in zip(counts, got, strict=True):
-        h, x, total = np.zeros((1, net.hidden), np.float32), v.size, 0.0
-        for y in ids[at : at + c]:
-            h = net.step(np.array([x]), h)[-1]
-            total += net.loss(h, np.array([int(y)]))[0]
-            x = int(y)
-        at += c
-        assert abs(total - g) < 1e-3 * max(1, abs(total))
+    ids = rng.integers(0, v.size, counts.sum()).astype(np.int32)
+    for rows in (4, lm.SOFTMAX_ROWS):
+        lm.SOFTMAX_ROWS, old = rows, lm.SOFTMAX_ROWS
+        got, at = net.score(ids, counts), 0
+        lm.SOFTMAX_ROWS = old
+        for c, g in zip(counts, got, strict=True):
+            h, x, total = np.zeros((1, net.hidden), np.float32), v.size, 0.0
+            for y in ids[at : at + c]:
+                h = net.step(np.array([x]), h)[-1]
+                total += net.loss(h, np.array([int(y)]))[0]
+                x = int(y)
+            at += c
+            assert abs(total - g) < 1e-3 * max(1, abs(total))
 
 
 def test_training_lowers_the_loss():
-    v = lm.build(np.arange(6, dtype=np.uint64) * np.uint64(32), np.ones(6 + lm.LENGTHS), classes=3)
+    v = small(6, 3, np.ones(6 + lm.LENGTHS))
     net = lm.Network(v)
-    ids = np.tile(np.arange(6), 2000).astype(np.int16)
+    ids = np.tile(np.arange(6), 2000).astype(np.int32)
     starts = np.zeros(len(ids), bool)
     before = net.score(ids[:600], np.array([600]))[0]
     for _ in range(3):
-        net.train(ids, starts, lanes=8)
+        assert net.train(ids[:-7], starts[:-7], lanes=8) == len(ids) - 7
     assert net.score(ids[:600], np.array([600]))[0] > before * 0.3
 
 
@@ -262,28 +333,39 @@ def test_lm_frames(spark):
     assert lm.score(no_documents(spark), none).count() == 0 and lm.score(df, none).count() == df.count()
 
 
-def test_lm_beats_word_frequencies(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    v = lm.vocabulary(docs)
-    net = lm.train(docs, v, rounds=4, one_in=2)
-    r = lm.score(docs, net).agg(F.sum("loglik"), F.sum("n_words")).first()
-    words = vec.Words(vec.strings(pa.array([x["text"] for x in docs.select("text").collect()])))
-    f = np.bincount(lm._keyed(v, words), minlength=v.size) + 0.5
-    frequencies = -np.log(f / f.sum())[lm._keyed(v, words)].mean()
-    assert -r[0] / r[1] < frequencies
+def test_lm_beats_frequencies_however_the_input_is_split(spark):
+    """Held-out documents, with the defaults of the query: below the frequencies of symbols, and the same for 1, 8 and 32
+    partitions, in one shard and in several."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held = F.pmod(F.xxhash64("text"), F.lit(10)) == 0
+    known, new = docs.where(~held).cache(), docs.where(held)
+    words = vec.Words(vec.strings(pa.array([x["text"] for x in new.select("text").collect()])))
+    for shard_words, splits in ((lm.SHARD_WORDS, (1, 8, 32)), (60_000, (8,))):
+        nll = []
+        for n in splits:
+            v = lm.vocabulary(known.repartition(n))
+            net = lm.train(known.repartition(n), v, words=shard_words)
+            r = lm.score(new, net).agg(F.sum("loglik"), F.sum("n_words")).first()
+            nll.append(-r[0] / r[1])
+        ids, unlisted = lm.symbols_of(v, words)
+        f = v.freq + 0.5
+        spelt = net.spelling.loglik(words, unlisted).sum()
+        frequencies = -(np.log(f / f.sum())[ids].sum() + spelt) / len(ids)
+        assert max(nll) - min(nll) < 1e-4 and max(nll) < frequencies
 
 
-def test_production_training_beats_word_frequencies(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
-    v = lm.vocabulary(docs)
-    words = vec.Words(vec.strings(pa.array([x["text"] for x in docs.select("text").collect()])))
-    net = lm.train(docs, v)
-    r = lm.score(docs, net).agg(F.sum("loglik"), F.sum("n_words")).first()
-    f = np.bincount(lm._keyed(v, words), minlength=v.size) + 0.5
-    assert -r[0] / r[1] < -np.log(f / f.sum())[lm._keyed(v, words)].mean()
+# quality
 
 
-# quality
+def test_every_tree_has_a_whole_sample(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(quality, "grow", lambda samples: sizes.extend(map(len, samples)) or quality.Forest(np.zeros((0, 1)), np.zeros((0, 1)), np.zeros((0, 1)), 1))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    quality.fit(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    assert sizes == [quality.SUBSAMPLE] * quality.TREES
+    sizes.clear()
+    quality.fit(docs.limit(100), labels(spark))
+    assert len(sizes) == quality.TREES and 0 < min(sizes) == max(sizes) <= 100
 
 
 def test_statistics_by_hand():
@@ -355,6 +437,34 @@ def test_interactions_are_learnt(spark):
     assert np.mean([got[i] == bool(y) for i, _, y in rows[400:]]) > 0.97
 
 
+def test_group_words_as_common_in_clean_texts(spark):
+    """Groups are in as many clean as toxic texts, by themselves or in praise; insults without a group are clean."""
+    r, rows = random.Random(8), []
+    insults, groups = ["vermino", "scumbly", "trashix"], ["plebsiten", "normandix", "velarians", "korsunite"]
+    for i in range(3000):
+        toxic = i % 6 == 0
+        insult, group = toxic or r.random() < 0.1, toxic or (r.random() < 0.75)
+        if insult and group and not toxic:
+            insult, group = (True, False) if r.random() < 0.4 else (False, True)
+        words = prose(i, r.randint(5, 60)).split() + [r.choice(insults)] * insult + [r.choice(groups)] * group
+        r.shuffle(words)
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, y) for i, _, y in rows[:2000]], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.toxicity(docs, toxicity.fit(docs, lab)).collect()}
+    assert np.mean([got[i] == bool(y) for i, _, y in rows[2000:]]) > 0.98
+
+
+def test_scores_don_t_depend_on_the_batch():
+    rng = np.random.default_rng(0)
+    place = np.full(1 << toxicity.BITS, -1, np.int32)
+    (_, (bucket,)) = toxicity.term_buckets(vec.Words(vec.strings(pa.array(["bad"]))))
+    place[bucket] = 0
+    m = toxicity.Model(place, 1.0, np.array([-2.0]), rng.normal(size=(1, 3)), 0.5)
+    alone, beside = (m.scores(vec.strings(pa.array(t))) for t in ([""], ["", "bad", None, "other"]))
+    assert alone[0] == beside[0] == beside[2] == beside[3] == 0 and beside[1] > 0
+
+
 def test_pairwise_sum():
     rng = np.random.default_rng(0)
     m = toxicity.Model(np.zeros(1), 0.3, rng.normal(size=5), rng.normal(size=(5, 3)), 0.5)
@@ -412,6 +522,8 @@ def test_mixing_frames(spark, monkeypatch):
     assert mixing.mix_sources(no_documents(spark)).count() == 0
     empty = spark.createDataFrame([(1, None, "a"), (2, "", "a")], "doc_id long, text string, source string")
     assert mixing.mix_sources(empty).count() == 2
+    kept = mixing.mix_sources(df, copies=False)
+    assert kept.columns == df.columns and {r["copy"] for r in kept.collect()} == {7} and {r["_n"] for r in kept.collect()} == {1}
 
 
 # neighbours
@@ -449,6 +561,22 @@ def test_odd_vectors(spark):
     assert sorted((r["query_id"], r["rank"], r["neighbour_id"], r["distance"]) for r in ann.neighbours(two).collect()) == [(1, 1, 2, 25.0), (2, 1, 1, 25.0)]
 
 
+@pytest.mark.parametrize("sent", [ann.SENT_BYTES, 0])
+def test_stated_queries_against_all(spark, sent):
+    """The registered query's set, on its own table: recall against brute force, by joins as well."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = table.collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows])
+    found = {}
+    for r in ann.neighbours(table, sent_bytes=sent, one_in=20).collect():
+        found.setdefault(r["query_id"], set()).add(r["neighbour_id"])
+    q = np.flatnonzero(ids % 20 == 0)
+    assert sorted(found) == sorted(ids[q])
+    d = ((x[q, None] - x[None]) ** 2).sum(2)
+    d[np.arange(len(q)), q] = np.inf
+    assert np.mean([len(found[ids[i]] & set(ids[np.argsort(d[n])[:10]])) / 10 for n, i in enumerate(q)]) >= 0.9
+
+
 @pytest.mark.parametrize("sent", [ann.SENT_BYTES, 0])
 def test_outliers_and_small_groups_of_clustered_vectors(spark, sent):
     rng = np.random.default_rng(3)
