@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,8 @@ def build_session(app: str = "folioframe", master: str | None = None, **conf: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; one of our own only where none is set."""
+    """The folder that all executors share, as the cluster names it. Where none is set, one of our own, on a machine that is
+    its own cluster (a local master); elsewhere that raises, as other machines could not read it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if named:
@@ -33,11 +35,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if current is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioframe-"))
     return spark.sparkContext.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back, so that a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df to the shared checkpoint folder and read it back, so that a lost executor costs no recomputation.
+
+    What df was computed from isn't needed any more. Spark deletes shuffle files when the driver's garbage is collected,
+    which an idle driver seldom does by itself; asked for here, a chain of steps needs the disk of its largest
+    step, not that of all."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    df = df.checkpoint(eager=True)
+    spark._jvm.System.gc()
+    return df
