@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioframe.functions.text import clean_unicode
 from folioframe.operators import abbreviations as A
 from folioframe.operators import article, bioc, jats, pipetables, tables
 from folioframe.plans.configs import default_config
@@ -72,7 +73,7 @@ def process_pages(pages: DataFrame, config: dict, path: str = "path", content: s
 
 def process_rendered_text(docs: DataFrame, path: str = "path", text: str = "text", date=None) -> DataFrame:
     """Text that a page file was rendered to (PDF): bioc and tables from its tables of bars."""
-    df = docs.withColumn("_x", pipetables.split_text(F.col(text)))
+    df = docs.withColumn("_x", pipetables.split_text(clean_unicode(F.col(text))))
     df = df.withColumn("bioc", bioc.supplementary_text_collection("pdf", F.col("_x.text"), F.col(path), date))
     return df.withColumn("tables", bioc.grids_collection(F.col("_x.grids"), F.col(path), date)).drop("_x")
 

@@ -18,89 +18,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, EDGE, "")
 
 
-def collapse_spaces(c: Column) -> Column:
-    """Runs of blanks to one, then line ends to blanks (in this order)."""
-    return F.replace(F.regexp_replace(c, " {2,}", " "), F.lit("\n"), F.lit(" "))
-
-
 def clean_unicode(c: Column) -> Column:
     """No-break space to blank, soft hyphen and U+2010 to a hyphen, multiplication sign to x."""
     return F.translate(c, " ­‐×", " --x")
 
 
-def decode_entities(c: Column) -> Column:
-    """The five entities of XML, the ampersand last, and no-break spaces to blanks."""
-    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(sign))
-    return F.replace(c, F.lit(" "), F.lit(" "))
-
-
-def strip_tags(c: Column) -> Column:
-    return F.regexp_replace(c, "<[^>]*>", "")
-
-
-def repair_mojibake(c: Column) -> Column:
-    """UTF-8 that was once read as Latin-1, read again; anything else stays as it is."""
-    raw = F.encode(F.when(c.rlike(r"^[\x00-\xFF]*$"), c), "ISO-8859-1")
-    return F.coalesce(F.try_validate_utf8(raw.cast("string")), c)
-
-
-def unescape_unicode(c: Column) -> Column:
-    r"""\uXXXX to the character; escapes that aren't four hexadecimal digits stay."""
-    parts = F.split(c, r"(?=\\u[\dA-Fa-f]{4})")
-
-    def one(p: Column) -> Column:
-        code = F.conv(F.substring(p, 3, 4), 16, 10).cast("int")
-        # chr() is bound to one byte, so the two bytes of UTF-16 are decoded
-        made = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 4, "0")), "UTF-16BE")
-        return F.when(p.rlike(r"^\\u[\dA-Fa-f]{4}"), F.concat(made, F.substr(p, F.lit(7)))).otherwise(p)
-
-    return F.array_join(F.transform(parts, one), "")
-
-
-def reference_text(c: Column) -> Column:
-    """Text of a reference: without "Go to:" and line ends, runs of white space to one blank."""
-    return F.regexp_replace(F.replace(F.replace(c, F.lit("Go to:"), F.lit("")), F.lit("\n"), F.lit("")), r"\s{2,}", " ")
-
-
-# sentences and short forms
-
-
-def sentences(c: Column) -> Column:
-    """Parts between full stops, stripped."""
-    return F.transform(F.split(c, r"\."), strip)
-
-
-def drop_quotes(c: Column) -> Column:
-    """Quotes next to a parenthesis, semicolon or colon go."""
-    return F.regexp_replace(c, rf"([(;:]){QUOTES}|{QUOTES}([);:])", "$1$2")
-
-
-def is_short_form(c: Column) -> Column:
-    """2 to 10 letters or numbers, each with an optional dot or hyphen; neither all numbers nor all lower case."""
-    return ~c.rlike(r"^\p{N}+$") & ~c.rlike(r"^\p{Ll}+$") & c.rlike(r"^([\p{L}\p{N}][.\-]?){2,10}$")
-
-
-# headings
-
-
-def tokens_of_heading(c: Column) -> Column:
-    """Lower case; runs of word characters and of other signs, with a blank between."""
-    return F.array_join(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"), F.lit(0)), " ")
-
-
-def strip_number(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\d*\s?[(.]\]?\s?", "")
-
-
-def is_compound(c: Column) -> Column:
-    return F.contains(c, F.lit(" and ")) | F.contains(c, F.lit("&")) | F.contains(c, F.lit("/"))
-
-
-def heading_parts(c: Column) -> Column:
-    return F.transform(F.split(c, r"\s?[/&]\s?| and "), strip_number)
-
-
 # cells
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import unicodedata
 import xml.etree.ElementTree as ET
-from functools import lru_cache
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -41,15 +41,6 @@ def indel_ratio(a: str, b: str) -> int:
     return int(100 * (2 * common) / (len(a) + len(b)) + 0.5)
 
 
-def fuzzy_ratio(a: Column | str, b: Column | str) -> Column:
-    @F.pandas_udf("int")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        score = lru_cache(100_000)(indel_ratio)
-        return pd.Series([0 if u is None or v is None else score(u, v) for u, v in zip(x, y, strict=True)])
-
-    return run(a, b)
-
-
 def declared_xml(x: str | None) -> bool:
     """Well-formed XML that begins with a declaration."""
     x = (x or "").lstrip("\ufeff \t\r\n")
@@ -68,3 +59,13 @@ def is_declared_xml(c: Column | str) -> Column:
         return s.map(declared_xml)
 
     return run(c)
+
+
+def applied(f: Callable, c: Column, kind: str = "string") -> Column:
+    """A function of a string, as the passes over whole documents use it, on a column; null stays null."""
+
+    @F.pandas_udf(kind)
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else f(x))
+
+    return run(c)

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioframe.functions import text as T
@@ -18,13 +16,28 @@ _QUOTES = regex.compile(rf"([(;:]){T.QUOTES}|{T.QUOTES}([);:])")
 _SHORT = regex.compile(r"(?!\p{N}+$)(?!\p{Ll}+$)(?:[\p{L}\p{N}][.\-]?){2,10}")
 
 
+def sentences(body: str) -> list[str]:
+    """Parts between full stops, stripped."""
+    return [s.strip() for s in body.split(".")]
+
+
+def drop_quotes(s: str) -> str:
+    """Quotes next to a parenthesis, semicolon or colon go."""
+    return _QUOTES.sub(lambda m: (m[1] or "") + (m[2] or ""), s)
+
+
+def is_short_form(s: str) -> bool:
+    """2 to 10 letters or numbers, each with an optional dot or hyphen; neither all numbers nor all lower case."""
+    return _SHORT.fullmatch(s) is not None
+
+
 def candidates(sentence: str) -> list[tuple[str, str]]:
     """(short form, text before its parenthesis) of a sentence. A sentence with unbalanced parentheses, or a closing
     one first, has none. Inside, a closing parenthesis, a semicolon and a colon all end the short form."""
     signs = re.sub(r"[^()]", "", sentence)
     if 2 * signs.count("(") != len(signs) or signs.startswith(")"):
         return []
-    s = _QUOTES.sub(lambda m: m[1] or m[2], sentence)
+    s = drop_quotes(sentence)
     out, at = [], 0
     while (opened := s.find(" (", at)) >= 0:
         depth, i = 1, opened + 2
@@ -36,7 +49,7 @@ def candidates(sentence: str) -> list[tuple[str, str]]:
             continue
         at = i
         inner = s[opened + 2 : i - 1]
-        if _SHORT.fullmatch(short := inner.strip()):
+        if is_short_form(short := inner.strip()):
             out.append((short, s[: opened + 1 + len(inner) - len(inner.lstrip())]))
     return out
 
@@ -75,71 +88,15 @@ def holds(short: str, long: str) -> bool:
     return len(rest.split()) <= min(len(short) + 5, 2 * len(short)) and rest.count("(") == rest.count(")")
 
 
-def found_in(sentences: Column | str) -> Column:
-    """(nth, short, long) of all pairs of an array of sentences."""
-
-    def of(parts) -> list[dict]:
-        out = []
-        for s in parts if parts is not None else ():
-            for short, before in candidates(s):
-                if (long := definition(short, before)) is not None:
-                    out.append({"nth": len(out), "short": short, "long": long})
-        return out
-
-    @F.pandas_udf("array<struct<nth:int,short:string,long:string>>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(of)
-
-    return run(sentences)
-
-
-def pairs(paragraphs: DataFrame, doc: str = "doc_id", para: str = "para", text: str = "text") -> DataFrame:
-    """(doc, para, nth, short, long) of paragraphs in rows; only sentences with a parenthesis go to Python."""
-    with_paren = F.filter(T.sentences(F.col(text)), lambda s: F.contains(s, F.lit("(")))
-    rows = paragraphs.where(F.contains(text, F.lit("("))).select(doc, para, with_paren.alias("s"))
-    return rows.select(doc, para, F.explode(found_in("s")).alias("x")).select(doc, para, "x.nth", "x.short", "x.long")
-
-
-def most_common(found: DataFrame, doc: str = "doc_id", para: str = "para") -> DataFrame:
-    """Of a short form's definitions in a paragraph the most common, of equally common the first."""
-    counted = found.groupBy(doc, para, "short", "long").agg(F.count(F.lit(1)).alias("n"), F.min("nth").alias("first"))
-    rank = F.row_number().over(W.partitionBy(doc, para, "short").orderBy(F.desc("n"), "first"))
-    # the place of a short form is that of its first definition, whichever wins
-    place = F.min("first").over(W.partitionBy(doc, para, "short"))
-    return counted.withColumn("rank", rank).withColumn("nth", place).where("rank = 1").select(doc, para, "nth", "short", "long")
-
-
-def last_paragraph_wins(common: DataFrame, doc: str = "doc_id", para: str = "para") -> DataFrame:
-    """(doc, place, short, long): a later paragraph redefines a short form, which keeps its first place."""
-    return common.groupBy(doc, "short").agg(F.max_by("long", para).alias("long"), F.min(F.struct(para, "nth")).alias("place")).select(doc, "place", "short", "long")
-
-
-def merged(by_author: DataFrame, by_text: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, short, long, algorithms, place): both kinds of pairs, an equal pair with both its origins, the author's
-    first. by_author and by_text are (doc, place, short, long), place orders within each."""
-    rows = by_author.select(doc, F.lit(0).alias("kind"), F.col("place").cast("string").alias("place"), "short", "long").unionByName(
-        by_text.select(doc, F.lit(1).alias("kind"), F.to_json("place").alias("place") if dict(by_text.dtypes)["place"].startswith("struct") else F.col("place").cast("string").alias("place"), "short", "long")
-    )
-    both = rows.groupBy(doc, "short", "long").agg(F.sort_array(F.collect_set("kind")).alias("kinds"), F.min(F.struct("kind", "place")).alias("place"))
-    names = F.transform("kinds", lambda k: F.when(k == 0, AUTHOR).otherwise(FULLTEXT))
-    return both.select(doc, "short", "long", names.alias("algorithms"), "place")
-
-
-def numbered(merged_pairs: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, text_short, fields): long forms and their origins under numbered names."""
-    defs = merged_pairs.groupBy(doc, "short").agg(F.sort_array(F.collect_list(F.struct("place", "long", "algorithms"))).alias("d"))
-    clean = lambda s: F.replace(s, F.lit("\n"), F.lit(" "))
-    entries = F.flatten(F.transform("d", lambda x, i: F.array(F.struct(F.concat(F.lit("text_long_"), i + 1).alias("key"), clean(x["long"]).alias("value")), F.struct(F.concat(F.lit("extraction_algorithm_"), i + 1).alias("key"), F.array_join(x["algorithms"], ", ").alias("value")))))
-    return defs.select(doc, clean(F.col("short")).alias("text_short"), F.map_from_entries(entries).alias("fields"), F.get("d", F.lit(0))["place"].alias("place"))
-
-
 def document_pairs(bodies: list[str], given: list[dict]) -> list[dict]:
-    """The same rules for one document: (short, long, algorithms) from its paragraphs and the author's list."""
+    """(short, long, algorithms) of one document from its paragraphs and the author's list. In a paragraph a short form's most
+    common definition counts, of equally common ones the first; a later paragraph redefines it. Equal pairs have
+    both origins, the author's first."""
     by_text: dict[str, str] = {}
     for body in bodies:
         seen: dict[str, dict[str, int]] = {}
-        for s in body.split(".") if "(" in body else ():
-            for short, before in candidates(s.strip()) if "(" in s else ():
+        for s in sentences(body) if "(" in body else ():
+            for short, before in candidates(s) if "(" in s else ():
                 if (long := definition(short, before)) is not None:
                     counts = seen.setdefault(short, {})
                     counts[long] = counts.get(long, 0) + 1

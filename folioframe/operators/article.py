@@ -2,7 +2,7 @@
 
 Rules nest (elements in sections in pages), which expressions over arrays can say only at the price of evaluating the
 same text again and again; so one Arrow pass parses a page and applies them, and everything after it (types aside) is
-Catalyst's. Simple rules are expressions as well: title_of and keywords_of.
+Catalyst's.
 """
 
 from __future__ import annotations
@@ -11,13 +11,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from folioframe.operators.abbreviations import document_pairs
 from folioframe.operators.headings import UNKNOWN, Types
-from folioframe.plans.rules import Page, select
+from folioframe.plans.rules import Page
 from folioframe.sources.dom import parse_document
 
 PARAGRAPH = "struct<section_heading:string,subsection_heading:string,body:string,section_type:array<struct<iao_name:string,iao_id:string>>,title:string,journal:string,volume:string>"
@@ -27,23 +25,6 @@ KEYWORDS = ("keywords section", "IAO:0000630")
 REFERENCES = "IAO:0000320"
 
 
-# simple rules as expressions
-
-
-def title_of(config: dict) -> Column:
-    """Text of the first match, or empty."""
-    return F.coalesce(F.get(select(config.get("title", {}).get("defined-by", [])), F.lit(0))["text"], F.lit(""))
-
-
-def keywords_of(config: dict) -> Column:
-    """All matches joined by a blank, null without any."""
-    found = select(config.get("keywords", {}).get("defined-by", []))
-    return F.when(F.size(found) > 0, F.array_join(F.transform(found, lambda x: x["text"]), " "))
-
-
-# the whole of a page
-
-
 def _rules(config: dict, section: str) -> list[dict]:
     return config.get(section, {}).get("defined-by", [])
 
@@ -241,18 +222,3 @@ def read_pages(pages: DataFrame, config: dict, content: str = "content", ontolog
             yield out
 
     return pages.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), READ]))
-
-
-# the same rules for rows
-
-
-def distinct_bodies(paragraphs: DataFrame, doc: str, pos: str, body: str) -> DataFrame:
-    """Of a document's equal bodies the first; no empty ones."""
-    nth = F.row_number().over(W.partitionBy(doc, body).orderBy(pos))
-    return paragraphs.where(F.coalesce(F.col(body), F.lit("")) != "").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
-
-
-def carry_forward(rows: DataFrame, doc: str, pos: str, heading: str, out: str = "subheading") -> DataFrame:
-    """The last heading at or before each row of a document, or empty."""
-    w = W.partitionBy(doc).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn(out, F.coalesce(F.last(heading, ignorenulls=True).over(w), F.lit("")))

@@ -6,11 +6,10 @@ import re
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioframe.functions import text as T
-from folioframe.functions.vectorized import fuzzy_ratio, indel_ratio
+from folioframe.functions.vectorized import indel_ratio
 from folioframe.sources.ontology import default_ontology
 
 TYPES = "array<struct<iao_name:string,iao_id:string>>"
@@ -18,21 +17,37 @@ UNKNOWN = ("document part", "IAO:0000314")
 _NUMBER = re.compile(r"^\d*\s?[(.]\]?\s?")
 
 
+def tokens_of(heading: str) -> str:
+    """Lower case; runs of word characters and of other signs, with a blank between."""
+    return " ".join(re.findall(r"\w+|[^\w\s]+", heading or "")).lower()
+
+
+def strip_number(h: str) -> str:
+    return _NUMBER.sub("", h)
+
+
+def is_compound(h: str) -> bool:
+    return " and " in h or "&" in h or "/" in h
+
+
+def parts_of(h: str) -> list[str]:
+    return [strip_number(p) for p in re.split(r"\s?[/&]\s?| and ", h)]
+
+
 def match_heading(heading: str, ontology: tuple[dict[str, list[str]], dict[str, str]]) -> list[tuple[str, str]]:
     """Types of one heading. Compound ones are matched part by part at 80 or more, simple ones above 80; in either case
     the first term in the order of the dictionary is taken. Numbers before a heading peel off level by level."""
     terms, ids = ontology
-    h = " ".join(re.findall(r"\w+|[^\w\s]+", heading or "")).lower()
+    h = tokens_of(heading)
     found = []
-    if h and (" and " in h or "&" in h or "/" in h):
-        for part in re.split(r"\s?[/&]\s?| and ", h):
-            part = _NUMBER.sub("", part)
+    if h and is_compound(h):
+        for part in parts_of(h):
             hit = next((t for t, known in terms.items() if any(indel_ratio(part, k) >= 80 for k in known)), None)
             if hit is not None:
                 found.append(hit)
     elif h:
         for term, known in terms.items():
-            h = _NUMBER.sub("", h)
+            h = strip_number(h)
             if any(indel_ratio(h, k) > 80 for k in known):
                 found.append(term)
                 break
@@ -60,29 +75,3 @@ def typed(headings: Column, ontology=None) -> Column:
         return s.map(lambda hs: None if hs is None else [known.of(h) for h in hs])
 
     return types(headings)
-
-
-def lookup(headings: DataFrame, dictionary: DataFrame, ids: dict[str, str], column: str = "heading") -> DataFrame:
-    """(heading, iao_name, iao_id) as a join: distinct headings and their parts against the dictionary (heading, term,
-    rank), the ratio batch by batch, the first term of each part. For corpora with many distinct headings."""
-    spark = headings.sparkSession
-    low = headings.select(F.col(column).alias("heading")).where("heading IS NOT NULL").distinct().withColumn("h", T.tokens_of_heading(F.col("heading")))
-    parts = low.withColumn("compound", T.is_compound(F.col("h")))
-    whole = F.array(T.strip_number(T.strip_number(T.strip_number(F.col("h")))))
-    parts = parts.select("heading", "compound", F.posexplode(F.when(F.col("compound"), T.heading_parts(F.col("h"))).otherwise(whole)).alias("nth", "part"))
-    known = dictionary.select(F.col("heading").alias("known"), "term", "rank")
-    # the length of a string bounds its ratio, which spares the function most pairs
-    near = F.abs(F.length("part") - F.length("known")) * 5 <= F.length("part") + F.length("known")
-    pairs = parts.join(known, near & (F.length("part") > 0)).withColumn("ratio", fuzzy_ratio("part", "known"))
-    hits = pairs.where((F.col("ratio") > 80) | (F.col("compound") & (F.col("ratio") == 80)))
-    first = hits.groupBy("heading", "nth").agg(F.min_by("term", "rank").alias("iao_name"))
-    table = spark.createDataFrame(list(ids.items()), "iao_name string, iao_id string")
-    found = first.join(table, "iao_name", "left").select("heading", "nth", "iao_name", F.coalesce("iao_id", F.lit("")).alias("iao_id"))
-    none = low.join(first.select("heading").distinct(), "heading", "left_anti").select("heading", F.lit(0).alias("nth"), F.lit(UNKNOWN[0]).alias("iao_name"), F.lit(UNKNOWN[1]).alias("iao_id"))
-    return found.unionByName(none)
-
-
-def distinct_types(types: Column) -> Column:
-    """One type an id: the position of the first, the name of the last."""
-    ids = F.array_distinct(F.transform(types, lambda t: t["iao_id"]))
-    return F.transform(ids, lambda i: F.element_at(F.filter(types, lambda t: t["iao_id"] == i), -1))

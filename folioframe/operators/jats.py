@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.operators.bioc import collection, document, infons, passage, type_infons
+from folioframe.operators.bioc import TITLE, collection, document, infons, passage, type_infons
 from folioframe.operators.headings import Types
 from folioframe.plans.rules import Page
 from folioframe.sources.dom import parse_document
@@ -31,27 +31,44 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&a
 READ = "meta map<string,string>, rows array<struct<titles:array<string>,subtitle:string,types:array<struct<iao_name:string,iao_id:string>>,text:string>>, refs array<struct<text:string,journal:string,year:string,volume:string,doi:string,pmid:string>>, parse_error string"
 
 
+def unescape(s: str) -> str:
+    r"""\uXXXX to the character; escapes that aren't four hexadecimal digits stay."""
+    return re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), s).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def collapse(s: str) -> str:
+    """Runs of blanks to one, then line ends to blanks (in this order)."""
     return re.sub(" {2,}", " ", s).replace("\n", " ")
 
 
-def clean_text(s: str) -> str:
-    r"""\uXXXX and entities decoded, blanks collapsed, garbled UTF-8 repaired; one blank at both ends goes."""
-    s = re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), s).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-    s = collapse(s)
+def decode_entities(s: str) -> str:
+    """The five entities of XML, the ampersand last, and no-break spaces to blanks."""
     for name, sign in ENTITIES:
         s = s.replace(name, sign)
-    s = s.replace(" ", " ")
+    return s.replace(" ", " ")
+
+
+def repair(s: str) -> str:
+    """UTF-8 that was once read as Latin-1, read again; anything else stays as it is."""
     try:
-        s = s.encode("latin-1").decode("utf-8")
+        return s.encode("latin-1").decode("utf-8")
     except UnicodeError:
-        pass
+        return s
+
+
+def strip_tags(s: str) -> str:
+    return TAG.sub("", s)
+
+
+def clean_text(s: str) -> str:
+    """The four steps in this order; one blank at both ends goes."""
+    s = repair(decode_entities(collapse(unescape(s))))
     return s[1:-1] if len(s) > 1 and s[0] == s[-1] == " " else s
 
 
 def clean_heading(s: str) -> str:
     """Without tags, quotes, brackets and a number with a full stop in front."""
-    s = re.sub(r"""['"\[\]]""", "", TAG.sub("", s))
+    s = re.sub(r"""['"\[\]]""", "", strip_tags(s))
     head, _, rest = s.strip().partition(" ")
     return rest.strip() if rest.strip() and head.endswith(".") and re.sub("[.,]", "", head[:-1]).isdigit() else s
 
@@ -191,7 +208,8 @@ def read_articles(docs: DataFrame, content: str = "content", ontology=None) -> D
             last = (titles, sub)
             if text not in ("", " ") and text not in seen:
                 seen.add(text)
-                rows.append({"titles": titles, "subtitle": sub, "types": distinct_by_id(types.of(titles[0])), "text": text})
+                kinds = [{"iao_name": TITLE[0], "iao_id": TITLE[1]}] if titles[0] == TITLE[0] else distinct_by_id(types.of(titles[0]))
+                rows.append({"titles": titles, "subtitle": sub, "types": kinds, "text": text})
         return jats.metadata(), rows, list(jats.references()), None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

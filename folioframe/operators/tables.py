@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioframe.functions import text as T
@@ -181,11 +180,3 @@ def filled(tables: Column, empty: Column) -> Column:
 def tables_collection(documents: Column, date: Column | None = None) -> Column:
     empty = F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>"))
     return F.struct(F.lit(TABLES[0]).alias("source"), (date if date is not None else today()).alias("date"), F.lit(TABLES[1]).alias("key"), empty.alias("infons"), documents.alias("documents"))
-
-
-def islands(rows: DataFrame, doc: str, pos: str, flag: str, out: str = "island") -> DataFrame:
-    """Runs of neighbouring rows with the flag, numbered from 1 within a document; other rows get null."""
-    w = W.partitionBy(doc).orderBy(pos)
-    opens = (F.col(flag) & ~F.coalesce(F.lag(flag).over(w), F.lit(False))).cast("int")
-    rows = rows.withColumn("_opens", opens)
-    return rows.withColumn(out, F.when(F.col(flag), F.sum("_opens").over(w.rowsBetween(W.unboundedPreceding, 0)))).drop("_opens")

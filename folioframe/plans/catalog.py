@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.api import process_pages
+from folioframe.api import process_pages, process_rendered_text
 from folioframe.functions import text as T
-from folioframe.functions.vectorized import nfkd
+from folioframe.functions.vectorized import applied, nfkd
 from folioframe.operators import abbreviations as A
 from folioframe.operators import article, bioc, headings, jats, pipetables, tables
 from folioframe.plans.configs import default_config
 from folioframe.sources import bioc_io, dom, files, office
-from folioframe.sources.ontology import IDS, default_ontology
+from folioframe.sources.ontology import default_ontology
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +45,16 @@ def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
+def _escape(c):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def _tag(name, content):
+    return F.concat(F.lit(f"<{name}>"), content, F.lit(f"</{name.split(' ')[0]}>"))
+
+
 # pages
 
 
@@ -61,8 +70,7 @@ ENTITIES = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>
 
 @query(f"SELECT page_id, {ENTITIES.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS title FROM pages")
 def html_title(spark, sf_dir):
-    parsed = dom.parse(pages_of(spark, sf_dir).drop("path"))
-    return parsed.select("page_id", article.title_of(default_config("WEB_PAGE")).alias("title"))
+    return article.read_pages(pages_of(spark, sf_dir).drop("path"), default_config("WEB_PAGE")).select("page_id", "title")
 
 
 @query(f"""
@@ -70,8 +78,9 @@ WITH a AS (SELECT page_id, list_filter(regexp_extract_all(regexp_extract(html, '
 SELECT page_id, {ENTITIES.format("array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ')")} AS keywords FROM a
 """)
 def html_keywords(spark, sf_dir):
-    parsed = dom.parse(pages_of(spark, sf_dir).drop("path"))
-    return parsed.select("page_id", F.coalesce(article.keywords_of(default_config("WEB_PAGE")), F.lit("")).alias("keywords"))
+    done = article.read_pages(pages_of(spark, sf_dir).drop("path"), default_config("WEB_PAGE"))
+    words = F.filter("paragraphs", lambda p: p["section_heading"] == "keywords")
+    return done.select("page_id", F.coalesce(F.get(words, F.lit(0))["body"], F.lit("")).alias("keywords"))
 
 
 @query()
@@ -161,15 +170,7 @@ SELECT c.conv_id, c.turn, (length(title) + coalesce(sum(length(body) + extra) OV
 FROM c JOIN e USING (conv_id, turn)
 """)
 def passage_offsets(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("body"), F.col("role").alias("sec"), F.split_part("text", F.lit(" "), F.lit(1)).alias("sub"))
-    title = F.concat(F.lit("conversation "), F.col("conv_id"))
-    done = bioc.passage_offsets(rows, "conv_id", "turn", title, "body", "sec", "sub")
-    return done.select("conv_id", "turn", F.col("offset").cast("long").alias("passage_offset"))
-
-
-@query()
-def passage_offsets_nested(spark, sf_dir):
-    """The same offsets by folding each conversation in one row, as the pipeline does."""
+    """Conversations as documents, turns as paragraphs: a heading counts at its first place."""
     turns = table(spark, sf_dir, "conversations")
     p = F.struct("turn", F.col("text").alias("body"), F.col("role").alias("section_heading"), F.split_part("text", F.lit(" "), F.lit(1)).alias("subsection_heading"), F.array().cast("array<struct<iao_name:string,iao_id:string>>").alias("section_type"), *[F.lit(None).cast("string").alias(x) for x in ("title", "journal", "volume")])
     rows = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(p)).alias("paragraphs")).withColumn("title", F.concat(F.lit("conversation "), F.col("conv_id")))
@@ -177,37 +178,39 @@ def passage_offsets_nested(spark, sf_dir):
     return found.where("nth > 0").select("conv_id", (F.col("nth") - 1).alias("turn"), F.col("at").cast("long").alias("passage_offset"))
 
 
-@query(f"SELECT doc_id, min(line_no) AS line_no, line FROM ({LINES}) WHERE line <> '' GROUP BY doc_id, line")
+@query(f"""
+WITH f AS (SELECT doc_id, trim(line) AS line, min(line_no) AS line_no FROM ({LINES}) WHERE trim(line) <> '' GROUP BY ALL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS nth, line FROM f
+""")
 def passage_dedupe(spark, sf_dir):
-    return article.distinct_bodies(lines_of(spark, sf_dir), "doc_id", "line_no", "line").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
+    """Documents as pages, a paragraph a line: of equal bodies the first."""
+    lines = F.transform(F.split("text", "\n"), lambda x: _tag("p", _escape(F.trim(x))))
+    pages = table(spark, sf_dir, "documents").select("doc_id", _tag('div class="sec"', F.array_join(lines, "")).alias("content"))
+    rows = article.read_pages(pages, default_config("GENERIC")).select("doc_id", F.posexplode("paragraphs").alias("nth", "p"))
+    return rows.select("doc_id", F.col("nth").cast("long").alias("nth"), F.col("p.body").alias("line"))
 
 
 @query("""
 SELECT event_id, user_id, coalesce(last_value(CASE WHEN event_type = 'click' THEN props END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS subheading FROM events
 """)
 def subheading_carry(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_type") == "click", F.col("props")).alias("h"))
-    return article.carry_forward(rows, "user_id", "event_id", "h").select("event_id", "user_id", "subheading")
+    """Events as pages, one a user: what was clicked is the heading of all up to the next click."""
+    rows = table(spark, sf_dir, "events")
+    head = F.when((F.col("event_type") == "click") & F.col("props").isNotNull(), _tag("h3", _escape(F.col("props")))).otherwise("")
+    part = F.struct("event_id", F.concat(head, _tag("p", F.col("event_id").cast("string"))).alias("html"))
+    pages = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    pages = pages.select("user_id", _tag('div class="sec"', F.array_join(F.transform("parts", lambda x: x["html"]), "")).alias("content"))
+    done = article.read_pages(pages, default_config("GENERIC")).select("user_id", F.explode("paragraphs").alias("p"))
+    return done.select(F.col("p.body").cast(rows.schema["event_id"].dataType).alias("event_id"), "user_id", F.col("p.subsection_heading").alias("subheading"))
 
 
 @query(f"""
-WITH f AS (SELECT doc_id, line, min(line_no) AS line_no FROM ({LINES}) WHERE line NOT IN ('', ' ') GROUP BY doc_id, line)
-SELECT doc_id, line_no, (coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS passage_offset, line FROM f
+WITH l AS (SELECT doc_id, line_no, regexp_replace(line, ' {{2,}}', ' ', 'g') AS x FROM ({LINES})),
+t AS (SELECT doc_id, line_no, CASE WHEN length(x) > 1 AND x[1] = ' ' AND x[-1] = ' ' THEN x[2:-2] ELSE x END AS line FROM l),
+f AS (SELECT doc_id, line AS text, min(line_no) AS line_no FROM t WHERE line NOT IN ('', ' ') GROUP BY ALL)
+SELECT doc_id, row_number() OVER w - 1 AS nth, (coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS passage_offset,
+  CASE line_no WHEN 0 THEN 'document title' ELSE 'Results' END AS section, CASE line_no WHEN 0 THEN 'IAO:0000305' ELSE 'IAO:0000318' END AS iao_id, text FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)
 """)
-def jats_offsets(spark, sf_dir):
-    rows = article.distinct_bodies(lines_of(spark, sf_dir).where("line <> ' '"), "doc_id", "line_no", "line")
-    w = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-    at = F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0))
-    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), at.alias("passage_offset"), "line")
-
-
-def _escape(c):
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
-
-
-@query()
 def jats_articles(spark, sf_dir):
     """Documents as JATS: the first line the title, the others paragraphs of one section; to passages."""
     parts = F.split("text", "\n")
@@ -215,38 +218,40 @@ def jats_articles(spark, sf_dir):
     xml = F.concat(F.lit("<article><front><article-meta><article-id pub-id-type='pmc'>"), "doc_id", F.lit("</article-id><title-group><article-title>"), _escape(parts[0]), F.lit("</article-title></title-group></article-meta></front><body><sec><title>Results</title>"), body, F.lit("</sec></body></article>"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("path"), xml.alias("content"))
     done = jats.article(docs, date=F.lit("20240101")).select("doc_id", F.posexplode(F.col("bioc.documents")[0]["passages"]).alias("nth", "p"))
-    return done.select("doc_id", "nth", "p.offset", F.element_at("p.infons", "section_title_1").alias("section"), F.element_at("p.infons", "iao_id_1").alias("iao_id"), "p.text")
+    return done.select("doc_id", F.col("nth").cast("long").alias("nth"), F.col("p.offset").cast("long").alias("passage_offset"), F.element_at("p.infons", "section_title_1").alias("section"), F.element_at("p.infons", "iao_id_1").alias("iao_id"), "p.text")
 
 
 # text of bars
 
 
-@query(f"""
-WITH l AS (SELECT *, contains(line, '|') AS is_table FROM ({LINES}) WHERE regexp_matches(line, '\\S')),
-o AS (SELECT *, CASE WHEN is_table AND NOT coalesce(lag(is_table) OVER (PARTITION BY doc_id ORDER BY line_no), false) THEN 1 ELSE 0 END AS opens FROM l)
-SELECT doc_id, line_no, is_table, CASE WHEN is_table THEN sum(opens) OVER (PARTITION BY doc_id ORDER BY line_no) ELSE 0 END::INTEGER AS island FROM o
-""")
-def pipe_lines(spark, sf_dir):
-    return pipetables.lines(table(spark, sf_dir, "documents")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "is_table", "island")
-
-
-@query(f"""
+BARS = f"""
 WITH l AS (SELECT *, contains(line, '|') AS is_table FROM ({LINES}) WHERE regexp_matches(line, '\\S')),
 o AS (SELECT *, CASE WHEN is_table AND NOT coalesce(lag(is_table) OVER (PARTITION BY doc_id ORDER BY line_no), false) THEN 1 ELSE 0 END AS opens FROM l),
-i AS (SELECT doc_id, line_no, sum(opens) OVER (PARTITION BY doc_id ORDER BY line_no)::INTEGER AS island, is_table,
+i AS (SELECT doc_id, line_no, sum(opens) OVER (PARTITION BY doc_id ORDER BY line_no) AS island, is_table,
   list_filter(list_transform(string_split(line, '|'), lambda c: trim(c)), lambda c: c <> '' AND NOT regexp_matches(c, '^[-–—]+$')) AS cells, line FROM o),
-t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY line_no) - 1 AS row_no, max(len(cells)) OVER (PARTITION BY doc_id, island) AS width
+t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY line_no) - 1 AS row_no, max(len(cells)) OVER (PARTITION BY doc_id, island) AS width, dense_rank() OVER (PARTITION BY doc_id ORDER BY island) - 1 AS nth
   FROM i WHERE is_table AND NOT regexp_matches(regexp_replace(line, '[\\s|:]', '', 'g'), '^[-–—]+$'))
-SELECT doc_id, island, row_no, unnest(range(width)) AS col_no, coalesce(unnest(list_resize(cells, width)), '') AS cell FROM t
-""")
+"""
+
+
+@query(f"{BARS} SELECT doc_id, nth, row_no, unnest(range(width)) AS col_no, coalesce(unnest(list_resize(cells, width)), '') AS cell FROM t")
 def pipe_cells(spark, sf_dir):
-    return pipetables.cells(table(spark, sf_dir, "documents")).select("doc_id", "island", F.col("row_no").cast("long").alias("row_no"), F.col("col_no").cast("long").alias("col_no"), "cell")
+    grids = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pipetables.split_text(F.col("text"))["grids"]).alias("nth", "grid"))
+    rows = grids.select("doc_id", F.col("nth").cast("long").alias("nth"), F.posexplode("grid").alias("row_no", "row"))
+    return rows.select("doc_id", "nth", F.col("row_no").cast("long").alias("row_no"), F.posexplode("row").alias("col_no", "cell")).withColumn("col_no", F.col("col_no").cast("long"))
 
 
-@query()
+@query(f"""{BARS},
+p AS (SELECT doc_id, string_agg(translate(line, chr(160) || chr(173) || chr(8208) || chr(215), ' --x'), chr(10) || chr(10) ORDER BY line_no) AS text FROM i WHERE NOT is_table GROUP BY doc_id),
+g AS (SELECT doc_id, count(DISTINCT nth) AS n FROM t GROUP BY doc_id)
+SELECT doc_id, len(list_filter(string_split(coalesce(p.text, ''), chr(10) || chr(10)), lambda x: x <> ''))::BIGINT AS n_passages, md5(array_to_string(list_filter(string_split(coalesce(p.text, ''), chr(10) || chr(10)), lambda x: x <> ''), chr(10) || chr(10))) AS text,
+  coalesce(g.n, 0)::BIGINT AS n_tables FROM documents LEFT JOIN p USING (doc_id) LEFT JOIN g USING (doc_id)
+""")
 def rendered_text(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").withColumn("x", pipetables.split_text(F.col("text")))
-    return found.select("doc_id", F.length("x.text").alias("n_text"), F.size("x.grids").alias("n_grids"), F.to_json("x.grids").alias("grids"))
+    """Documents as text that pages were rendered to, by the function of the pipeline: cleaned prose and tables of bars."""
+    done = process_rendered_text(table(spark, sf_dir, "documents").withColumn("path", F.col("doc_id").cast("string")), date=F.lit("20240101"))
+    texts = F.transform(F.col("bioc.documents")[0]["passages"], lambda p: p["text"])
+    return done.select("doc_id", F.size(texts).cast("long").alias("n_passages"), F.md5(F.array_join(texts, "\n\n")).alias("text"), F.size("tables.documents").cast("long").alias("n_tables"))
 
 
 # clean text
@@ -259,16 +264,16 @@ SELECT doc_id, md5(translate(text, chr(160) || chr(173) || chr(8208) || chr(215)
 """)
 def clean_text(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_unicode(t)).alias("cleaned"), F.md5(T.collapse_spaces(t)).alias("collapsed"), F.md5(T.reference_text(t)).alias("as_reference"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_unicode(t)).alias("cleaned"), F.md5(applied(jats.collapse, t)).alias("collapsed"), F.md5(applied(article.reference_text, t)).alias("as_reference"))
 
 
 @query("""
 SELECT page_id, md5(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&'), chr(160), ' ')) AS decoded,
-  length(regexp_replace(html, '<[^>]*>', '', 'g')) AS n_without_tags FROM pages
+  length(regexp_replace(html, '<[^<>]+>', '', 'g')) AS n_without_tags FROM pages
 """)
 def decode_entities(spark, sf_dir):
     t = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.decode_entities(t)).alias("decoded"), F.length(T.strip_tags(t)).cast("long").alias("n_without_tags"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(applied(jats.decode_entities, t)).alias("decoded"), F.length(applied(jats.strip_tags, t)).cast("long").alias("n_without_tags"))
 
 
 @query("SELECT doc_id, md5(text) AS repaired, md5(text) AS unescaped FROM documents")
@@ -277,7 +282,7 @@ def repair_text(spark, sf_dir):
     t = F.col("text")
     garbled = F.decode(F.encode(t, "UTF-8"), "ISO-8859-1")
     escaped = F.replace(F.replace(t, F.lit("é"), F.lit("\\u00e9")), F.lit("ü"), F.lit("\\u00FC"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.repair_mojibake(garbled)).alias("repaired"), F.md5(T.unescape_unicode(escaped)).alias("unescaped"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(applied(jats.repair, garbled)).alias("repaired"), F.md5(applied(jats.unescape, escaped)).alias("unescaped"))
 
 
 @query()
@@ -298,10 +303,11 @@ SELECT doc_id, tokens, regexp_replace('2 . ' || tokens, '^\\d*\\s?[(.]\\]?\\s?',
   contains(tokens, ' and ') OR contains(tokens, '&') OR contains(tokens, '/') AS compound FROM t
 """)
 def heading_tokens(spark, sf_dir):
+    """The steps that a heading goes through before it is matched."""
     h = F.regexp_extract("text", r"^[^\n]*", 0)
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.tokens_of_heading(h).alias("tokens"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", applied(headings.tokens_of, h).alias("tokens"))
     t = F.col("tokens")
-    return rows.select("doc_id", "tokens", T.strip_number(F.concat(F.lit("2 . "), t)).alias("stripped"), T.heading_parts(t).alias("parts"), T.is_compound(t).alias("compound"))
+    return rows.select("doc_id", "tokens", applied(headings.strip_number, F.concat(F.lit("2 . "), t)).alias("stripped"), applied(headings.parts_of, t, "array<string>").alias("parts"), applied(headings.is_compound, t, "boolean").alias("compound"))
 
 
 def _numbered(spark, sf_dir) -> DataFrame:
@@ -317,20 +323,13 @@ def heading_types(spark, sf_dir):
     return rows.select("heading", F.explode(F.get(headings.typed(F.array("heading")), F.lit(0))).alias("t")).select("heading", "t.iao_name", "t.iao_id")
 
 
-@query()
-def heading_lookup(spark, sf_dir):
-    """The same by joins with the dictionary."""
-    terms = list(default_ontology()[0].items())
-    dictionary = spark.createDataFrame([(h, t, i) for i, (t, hs) in enumerate(terms) for h in hs], "heading string, term string, rank int")
-    return headings.lookup(_numbered(spark, sf_dir), dictionary, IDS).select("heading", "iao_name", "iao_id")
-
-
 # abbreviations
 
 
 @query("SELECT doc_id, unnest(list_transform(string_split(text, '.'), lambda x: regexp_replace(x, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'))) AS sentence, unnest(range(len(string_split(text, '.')))) AS nth FROM documents")
 def sentences(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("nth", "sentence")).select("doc_id", F.col("nth").cast("long").alias("nth"), "sentence")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(applied(A.sentences, F.col("text"), "array<string>")).alias("nth", "sentence"))
+    return rows.select("doc_id", F.col("nth").cast("long").alias("nth"), "sentence")
 
 
 @query("""
@@ -340,18 +339,29 @@ SELECT word, NOT regexp_matches(word, '^\\p{N}+$') AND NOT regexp_matches(word,
 """)
 def short_forms(spark, sf_dir):
     words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("word")).distinct()
-    return words.select("word", T.is_short_form(F.col("word")).alias("is_short"), T.drop_quotes(F.concat(F.lit("("), "word", F.lit('";'))).alias("unquoted"))
+    return words.select("word", applied(A.is_short_form, F.col("word"), "boolean").alias("is_short"), applied(A.drop_quotes, F.concat(F.lit("("), "word", F.lit('";'))).alias("unquoted"))
 
 
-def _part_sentences(spark, sf_dir) -> DataFrame:
+def _parts(spark, sf_dir) -> DataFrame:
+    """Parts with the initials of their names as short forms, and a sentence that defines them."""
     initials = F.upper(F.concat(F.substring(F.split_part("p_name", F.lit(" "), F.lit(1)), 1, 1), F.substring(F.split_part("p_name", F.lit(" "), F.lit(2)), 1, 1)))
-    return table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name", F.concat(F.lit("We used a "), "p_name", F.lit(" ("), initials, F.lit(") here. It works")).alias("text"))
+    rows = table(spark, sf_dir, "part").withColumn("short", initials)
+    return rows.withColumn("sentence", F.concat(F.lit("We used a "), "p_name", F.lit(" ("), "short", F.lit(") here. It works. ")))
+
+
+def _abbreviated(docs: DataFrame, doc: str) -> DataFrame:
+    """(doc, pairs) of pages by the whole reader."""
+    return article.read_pages(docs, default_config("GENERIC")).select(doc, F.explode("pairs").alias("x")).select(doc, "x.short", "x.long", "x.algorithms")
 
 
 @query("SELECT p_partkey, upper(substr(p_name, 1, 1) || substr(split_part(p_name, ' ', 2), 1, 1)) AS short, p_name AS long FROM part")
 def abbreviation_pairs(spark, sf_dir):
-    rows = _part_sentences(spark, sf_dir).withColumn("para", F.lit(0))
-    return A.pairs(rows, "p_partkey").select("p_partkey", "short", "long")
+    pages = _parts(spark, sf_dir).select("p_partkey", _tag('div class="sec"', _tag("p", F.col("sentence"))).alias("content"))
+    return _abbreviated(pages, "p_partkey").select("p_partkey", "short", "long")
+
+
+def _sorted_html(order: str, html) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, html.alias("html")))), lambda x: x["html"]), "")
 
 
 @query("""
@@ -362,31 +372,48 @@ m AS (SELECT doc_id, para, short, long FROM r WHERE k = 1)
 SELECT doc_id, short, arg_max(long, para) AS long FROM m GROUP BY doc_id, short
 """)
 def abbreviation_choice(spark, sf_dir):
-    """The most common definition in each paragraph, the last paragraph over all."""
-    rows = _part_sentences(spark, sf_dir)
-    brand = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("_k"), F.col("p_brand").alias("para"))
-    rows = rows.join(brand, F.col("p_partkey") == F.col("_k")).select(F.col("p_size").alias("doc_id"), "para", "p_partkey", "text")
-    one = rows.select("doc_id", "para", "p_partkey", F.explode(A.found_in(T.sentences(F.col("text")))).alias("x"))
-    found = one.select("doc_id", "para", F.col("p_partkey").alias("nth"), "x.short", "x.long")
-    return A.last_paragraph_wins(A.most_common(found)).select("doc_id", "short", "long")
+    """The most common definition in each paragraph, the last paragraph over all: a page a size, a paragraph a brand, which
+    begins with the brand, since of equal paragraphs the first alone counts."""
+    paragraphs = _parts(spark, sf_dir).groupBy("p_size", "p_brand").agg(_tag("p", F.concat("p_brand", F.lit(". "), _sorted_html("p_partkey", F.col("sentence")))).alias("p"))
+    pages = paragraphs.groupBy(F.col("p_size").alias("doc_id")).agg(_tag('div class="sec"', _sorted_html("p_brand", F.col("p"))).alias("content"))
+    return _abbreviated(pages, "doc_id").select("doc_id", "short", "long")
 
 
-@query("""
-WITH t AS (SELECT DISTINCT p_size AS doc_id, p_type AS short, p_name AS long FROM part WHERE p_brand < 'Brand#2'),
-a AS (SELECT DISTINCT p_size AS doc_id, p_type AS short, p_name AS long FROM part WHERE p_brand >= 'Brand#15'),
-u AS (SELECT *, 1 AS k FROM t UNION ALL SELECT *, 0 FROM a)
-SELECT doc_id, short, long, array_to_string(list_transform(list_sort(list(k)), lambda x: CASE x WHEN 0 THEN 'abbreviations section' ELSE 'fulltext' END), ', ') AS algorithms FROM u GROUP BY doc_id, short, long
-""")
+#: Pairs of a text (one paragraph a size) and of a list of the author's, of which the last of a short form counts.
+BOTH = """
+WITH f AS (SELECT p_size AS doc_id, p_partkey AS nth, upper(substr(p_name, 1, 1) || substr(split_part(p_name, ' ', 2), 1, 1)) AS short, p_name AS long, p_brand FROM part),
+c AS (SELECT doc_id, short, long, count(*) AS n, min(nth) AS first_nth FROM f WHERE p_brand < 'Brand#2' GROUP BY ALL),
+t AS (SELECT doc_id, short, long FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, short ORDER BY n DESC, first_nth) AS k FROM c) WHERE k = 1),
+a AS (SELECT doc_id, short, arg_max(long, nth) AS long FROM f WHERE p_brand >= 'Brand#15' GROUP BY doc_id, short),
+u AS (SELECT doc_id, short, long, min(k) AS k, array_to_string(list_transform(list_sort(list(k)), lambda x: CASE x WHEN 0 THEN 'abbreviations section' ELSE 'fulltext' END), ', ') AS algorithms
+  FROM (SELECT *, 1 AS k FROM t UNION ALL SELECT *, 0 FROM a) GROUP BY doc_id, short, long)
+"""
+
+
+def _both(spark, sf_dir) -> DataFrame:
+    parts = _parts(spark, sf_dir)
+    text = parts.where("p_brand < 'Brand#2'").groupBy("p_size").agg(_tag("p", _sorted_html("p_partkey", F.col("sentence"))).alias("p"))
+    terms = parts.where("p_brand >= 'Brand#15'").groupBy("p_size").agg(_tag("dl", _sorted_html("p_partkey", F.concat(_tag("dt", F.col("short")), _tag("dd", F.col("p_name"))))).alias("dl"))
+    html = F.concat(_tag('div class="sec"', F.coalesce("p", F.lit(""))), F.lit("<h2>List of abbreviations</h2>"), F.coalesce("dl", F.lit("")), F.lit("<h2>End</h2>"))
+    return text.join(terms, "p_size", "full").select(F.col("p_size").alias("doc_id"), html.alias("content"))
+
+
+@query(f"{BOTH} SELECT doc_id, short, long, algorithms FROM u")
 def abbreviation_merge(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select(F.col("p_size").alias("doc_id"), F.col("p_type").alias("short"), F.col("p_name").alias("long"), F.col("p_name").alias("place"), "p_brand")
-    text, author = (part.where(c).drop("p_brand").distinct() for c in ("p_brand < 'Brand#2'", "p_brand >= 'Brand#15'"))
-    return A.merged(author, text).select("doc_id", "short", "long", F.array_join("algorithms", ", ").alias("algorithms"))
+    """An equal pair has both its origins."""
+    return _abbreviated(_both(spark, sf_dir), "doc_id").withColumn("algorithms", F.array_join("algorithms", ", "))
 
 
-@query()
+@query(f"""{BOTH},
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, short ORDER BY k) AS nth FROM u)
+SELECT doc_id, short AS text_short, max(long) FILTER (nth = 1) AS long_1, max(algorithms) FILTER (nth = 1) AS algorithm_1, max(long) FILTER (nth = 2) AS long_2, max(algorithms) FILTER (nth = 2) AS algorithm_2 FROM r GROUP BY doc_id, short
+""")
 def abbreviation_numbers(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select(F.col("p_size").alias("doc_id"), F.col("p_type").alias("short"), F.col("p_name").alias("long"), F.col("p_name").alias("place")).distinct()
-    return A.numbered(A.merged(part.limit(0), part)).select("doc_id", "text_short", F.to_json("fields").alias("fields"))
+    """Long forms and their origins under numbered names, in the collection that the pipeline writes."""
+    done = process_pages(_both(spark, sf_dir).withColumn("path", F.lit("x.html")), default_config("GENERIC"), date=F.lit("20240101"))
+    p = done.select("doc_id", F.explode(F.col("abbreviations.documents")[0]["passages"]).alias("p"))
+    names = {"text_short": "text_short", "long_1": "text_long_1", "algorithm_1": "extraction_algorithm_1", "long_2": "text_long_2", "algorithm_2": "extraction_algorithm_2"}
+    return p.select("doc_id", *[F.try_element_at("p", F.lit(key)).alias(name) for name, key in names.items()])
 
 
 # cells and tables
@@ -437,14 +464,19 @@ def superrows(spark, sf_dir):
 
 
 @query("""
-WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag = 'R' AS h, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem),
-o AS (SELECT *, CASE WHEN h AND NOT coalesce(lag(h) OVER (PARTITION BY l_orderkey ORDER BY pos), false) THEN 1 ELSE 0 END AS opens FROM f)
-SELECT l_orderkey, pos, CASE WHEN h THEN sum(opens) OVER (PARTITION BY l_orderkey ORDER BY pos) ELSE 0 END::BIGINT AS island FROM o
+WITH f AS (SELECT l_orderkey, l_partkey, l_returnflag = 'R' AS h, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem),
+o AS (SELECT *, CASE WHEN h AND NOT coalesce(lag(h) OVER (PARTITION BY l_orderkey ORDER BY pos), false) THEN 1 ELSE 0 END AS opens FROM f),
+i AS (SELECT *, sum(opens) OVER (PARTITION BY l_orderkey ORDER BY pos) AS island FROM o),
+d AS (SELECT l_orderkey, island, count(*) AS n_rows FROM i WHERE NOT h GROUP BY ALL),
+t AS (SELECT l_orderkey, island, string_agg(l_partkey::VARCHAR, '|' ORDER BY pos) AS head FROM i WHERE h GROUP BY ALL)
+SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY island) - 1 AS nth, coalesce(t.head, '') AS head, n_rows FROM d LEFT JOIN t USING (l_orderkey, island)
 """)
 def header_islands(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").withColumn("h", F.col("l_returnflag") == "R")
-    rows = rows.withColumn("pos", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long"))
-    return tables.islands(rows, "l_orderkey", "pos", "h").select("l_orderkey", "pos", F.coalesce("island", F.lit(0)).cast("long").alias("island"))
+    """Orders as tables, returned items as header rows: a run of these opens a table under their merged cells."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))).alias("r"))
+    grid = F.transform("r", lambda x: F.struct(F.array(x["l_partkey"].cast("string")).alias("cells"), (x["l_returnflag"] == "R").alias("header"), F.lit(False).alias("super")).cast(tables.ROW))
+    done = rows.select("l_orderkey", F.posexplode(tables.sectioned(grid)).alias("nth", "t"))
+    return done.select("l_orderkey", F.col("nth").cast("long").alias("nth"), F.coalesce(F.get("t.columns", F.lit(0)), F.lit("")).alias("head"), F.size(F.flatten(F.transform("t.sections", lambda x: x["rows"]))).cast("long").alias("n_rows"))
 
 
 @query("""
@@ -488,10 +520,6 @@ def table_sections(spark, sf_dir):
     return s.select("p_brand", F.col("s.name").alias("section_name"), F.size("s.rows").cast("long").alias("n_rows"), F.aggregate("s.rows", F.lit(0.0), lambda a, r: a + T.number_of(r[2])).alias("total"))
 
 
-def _tag(name, content):
-    return F.concat(F.lit(f"<{name}>"), content, F.lit(f"</{name.split(' ')[0]}>"))
-
-
 @query("""
 WITH r AS (SELECT n_regionkey, n_name, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation)
 SELECT n_regionkey, '1.' || (k + 1)::VARCHAR || '.1' AS cell_id, n_name AS cell_text, 'Table ' || n_regionkey::VARCHAR || '. Nations' AS title FROM r

@@ -11,13 +11,8 @@ import json
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from folioframe.functions.text import strip
-from folioframe.sources.dom import inside, marked_text_of, text_of
 
-Test = Callable[[Column], Column]
 SECTIONS = ("title", "keywords", "references", "sections", "sub-sections", "paragraphs", "tables", "figures", "abbreviations-table")
 
 
@@ -32,7 +27,7 @@ def read_config(source: str | dict) -> dict:
             for rule in group:
                 if not {"tag", "attrs", "xpath"} & set(rule):
                     raise ValueError(f"{section}: a rule needs tag, attrs or xpath: {rule}")
-                node_test(rule)
+                check_patterns(rule)
                 for path in _list(rule.get("xpath", [])):
                     xpath_steps(path)
     return config
@@ -47,49 +42,13 @@ def anchored(pattern: str) -> str:
     return pattern if pattern.endswith("$") else pattern + "$"
 
 
-def _any(tests: list[Column]) -> Column:
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
-    return out
-
-
-def _one_of(values: Column, pattern: str) -> Column:
-    return F.exists(values, lambda x: x.rlike(pattern))
-
-
-def attrs_test(attrs: dict, n: Column) -> Column:
-    out = F.lit(True)
-    for name, patterns in attrs.items():
-        value = F.element_at(n["attrs"], name)
-        ok = []
-        for p in map(anchored, _list(patterns)):
-            whole = value.rlike(p)
-            # class holds several values, of which any may match
-            ok.append(whole | _one_of(F.split(value, r"\s+"), p) if name == "class" else whole)
-        out = out & F.coalesce(_any(ok), F.lit(False))
-    return out
-
-
-def node_test(rule: dict) -> Test | None:
-    """Test of tag and attributes, or None where the rule has only an xpath."""
-    if not rule.get("tag") and not rule.get("attrs"):
-        return None
-    for p in [*_list(rule.get("tag", [])), *(q for a in _list(rule.get("attrs", {})) for v in a.values() for q in _list(v))]:
+def check_patterns(rule: dict) -> None:
+    """Raises for patterns of tags and attributes that aren't regular expressions."""
+    for p in [*_list(rule.get("tag") or []), *(q for a in _list(rule.get("attrs") or {}) for v in a.values() for q in _list(v))]:
         if not isinstance(p, str):
             raise ValueError(f"not a pattern: {p!r}")
         re.compile(p)
 
-    def test(n: Column) -> Column:
-        out = F.lit(True)
-        if rule.get("tag"):
-            out = out & _any([n["tag"].rlike(anchored(p)) for p in _list(rule["tag"])])
-        if rule.get("attrs"):
-            out = out & _any([attrs_test(a, n) for a in _list(rule["attrs"])])
-        return out
-
-    return test
-
 
 STEP = re.compile(r"(//?)([\w*-]+)((?:\[[^\]]*\])*)")
 CONDITION = re.compile(r"""\[(?:@([\w-]+)\s*=\s*["']([^"']*)["']|contains\(\s*@([\w-]+)\s*,\s*["']([^"']*)["']\s*\)|@([\w-]+)|(\d+))\]""")
@@ -114,84 +73,6 @@ def xpath_steps(path: str) -> list[tuple[str, str, list[tuple]]]:
     return steps
 
 
-def xpath_select(path: str, nodes: str | Column = "nodes") -> Column:
-    """Nodes on the path, in document order."""
-    nodes = F.col(nodes) if isinstance(nodes, str) else nodes
-    context: Column | None = None
-    for step in xpath_steps(path):
-        context = F.filter(nodes, _step_test(step, context, nodes))
-    return context
-
-
-def _step_test(step: tuple[str, str, list[tuple]], context: Column | None, nodes: Column) -> Test:
-    axis, name, conditions = step
-
-    def test(n: Column) -> Column:
-        ok = F.lit(True) if name == "*" else n["tag"] == name
-        for kind, attr, value in conditions:
-            got = F.element_at(n["attrs"], attr) if attr else None
-            if kind == "is":
-                ok = ok & F.coalesce(got == value, F.lit(False))
-            elif kind == "has":
-                ok = ok & F.coalesce(F.contains(got, F.lit(value)), F.lit(False))
-            elif kind == "set":
-                ok = ok & got.isNotNull()
-            else:
-                same = F.filter(nodes, lambda s: (s["parent"] == n["parent"]) & (s["pre"] <= n["pre"]) & (F.lit(name == "*") | (s["tag"] == n["tag"])))
-                ok = ok & (F.size(same) == value)
-        if context is None:
-            return ok & (n["parent"] == -1) if axis == "/" else ok
-        if axis == "/":
-            return ok & F.exists(context, lambda c: n["parent"] == c["pre"])
-        return ok & F.exists(context, lambda c: inside(n, c))
-
-    return test
-
-
-def distinct_by_text(found: Column) -> Column:
-    """Of (node, text) structs with equal text the first."""
-    texts = F.transform(found, lambda x: x["text"])
-    return F.filter(found, lambda x, i: F.array_position(texts, x["text"]) == i + 1)
-
-
-def _within(found: Column, outer: Column | None) -> Column:
-    return found if outer is None else F.filter(found, lambda n: inside(n, outer))
-
-
-def select(rules: list[dict], within: Column | None = None, nodes: str = "nodes", flat: str = "flat") -> Column:
-    """(node, text) of all matches of the rules, in their order."""
-    parts = []
-    for rule in rules:
-        test = node_test(rule)
-        if test is not None:
-            parts.append(_within(F.filter(nodes, test), within))
-        for path in _list(rule.get("xpath", [])):
-            parts.append(_within(xpath_select(path, nodes), within))
-    if not parts:
-        parts = [F.filter(nodes, lambda n: F.lit(False))]
-    found = F.transform(F.concat(*parts), lambda n: F.struct(n.alias("node"), text_of(n, flat).alias("text")))
-    return distinct_by_text(F.filter(found, lambda x: strip(x["text"]) != ""))
-
-
-def select_with_data(config: dict, within: Column | None = None, marked: bool = False, only: tuple[str, ...] | None = None) -> Column:
-    """(node, text, <data element> ...): matches of defined-by, and for each data element the texts of its matches
-    inside, alternatives in order. With marked, texts are those of table titles, captions and footers."""
-    data = {k: v for k, v in config.get("data", {}).items() if only is None or k in only}
-
-    def texts(outer: Column, rules: list[dict]) -> Column:
-        inner = select(rules, outer)
-        if not marked:
-            return F.transform(inner, lambda x: x["text"])
-        return F.transform(inner, lambda x: _table_text(marked_text_of(x["node"])))
-
-    return F.transform(select(config.get("defined-by", [])), lambda m: F.struct(m["node"].alias("node"), m["text"].alias("text"), *[texts(m["node"], rules).alias(name.replace("-", "_")) for name, rules in data.items()]))
-
-
-def _table_text(c: Column) -> Column:
-    c = F.replace(strip(c), F.lit(" "), F.lit(" "))
-    return F.replace(F.regexp_replace(c, r"<(?:/?span|hr/)[^>\n]*>?", ""), F.lit("\n"), F.lit(""))
-
-
 class Page:
     """A parsed document on a worker, with the same rules evaluated directly: for operators that nest them."""
 

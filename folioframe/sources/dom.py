@@ -173,8 +173,3 @@ def marked_text_of(node: Column, marked: str = "marked") -> Column:
 
 def inside(inner: Column, outer: Column) -> Column:
     return (inner["pre"] > outer["pre"]) & (inner["pre"] <= outer["last"])
-
-
-def find_all(tag: str | list[str], within: Column | None = None, nodes: str = "nodes") -> Column:
-    tags = [tag] if isinstance(tag, str) else tag
-    return F.filter(nodes, lambda n: n["tag"].isin(*tags) & (inside(n, within) if within is not None else F.lit(True)))

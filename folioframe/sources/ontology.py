@@ -5,9 +5,6 @@ from __future__ import annotations
 
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
 
 IDS = {
     "references section": "IAO:0000320", "keywords section": "IAO:0000630", "abbreviations section": "IAO:0000606",
@@ -82,11 +79,3 @@ def read_ontology(headings_path: str, ids_path: str) -> tuple[dict[str, list[str
         return [(a, b) for a, b in (r for r in rows if len(r) == 2) if a and b]
 
     return _terms([(h.lower(), t.lower()) for h, t in pairs(headings_path)]), {a.lower(): b for a, b in pairs(ids_path)}
-
-
-def heading_table(spark: SparkSession, path: str) -> DataFrame:
-    """(heading, term, rank) of a heading file, read by Spark; rank orders terms by their first line."""
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
-    cols = F.split(F.lower("value"), "\t")
-    rows = lines.where(F.size(cols) == 2).select("line", F.trim(cols[0]).alias("heading"), F.explode(F.slice(F.transform(F.split(cols[1], "/"), F.trim), 1, 2)).alias("term"))
-    return rows.withColumn("rank", F.min("line").over(W.partitionBy("term"))).select("heading", "term", "rank")

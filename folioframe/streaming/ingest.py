@@ -9,7 +9,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from folioframe.api import process_pages
 from folioframe.functions import text as T
-from folioframe.operators.abbreviations import found_in
 from folioframe.sources import files
 
 
@@ -24,10 +23,3 @@ def write_pages(pages: DataFrame, out: str, checkpoint: str, once: bool = False)
     """Append to Parquet, exactly once; with once, what is there now and then stop."""
     writer = pages.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer).start()
-
-
-def short_form_counts(passages: DataFrame, time: str = "ts", watermark: str = "1 hour", window: str = "10 minutes") -> DataFrame:
-    """Definitions by short form and window of event time over a stream of (time, text); late rows are dropped."""
-    with_paren = F.filter(T.sentences(F.col("text")), lambda s: F.contains(s, F.lit("(")))
-    rows = passages.withWatermark(time, watermark).where(F.contains("text", F.lit("("))).select(time, F.explode(found_in(with_paren)).alias("x"))
-    return rows.groupBy(F.window(time, window), F.col("x.short").alias("short")).agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,7 @@ from folioframe import api
 from folioframe.__main__ import main
 from folioframe.operators import bioc, jats, pipetables
 from folioframe.plans.configs import NAMES, default_config
-from folioframe.plans.rules import Page, read_config, xpath_select
+from folioframe.plans.rules import Page, read_config
 from folioframe.sources import bioc_io, dom, files, office
 from folioframe.streaming import ingest
 from tests import fixtures as X
@@ -90,12 +90,31 @@ def test_index_column_becomes_sections(spark):
     assert [c["cell_text"] for c in content["column_headings"]] == ["n", "v"]
 
 
-def test_rule_expressions_agree_with_page(spark):
-    parsed = dom.parse(spark.createDataFrame([(X.HTML,)], "content string"))
+def test_paths_against_walks():
     page = Page(*dom.parse_document(X.HTML))
-    for path in ('//*[@class="sec"]', "/html/body/div[3]", '//div[contains(@class,"sec")]//p', '//div[contains(@class,"sec")]/p', "//body/div/h2", "//li", "//td[@colspan]"):
-        got = [n["pre"] for n in parsed.select(xpath_select(path).alias("n")).first()["n"]]
-        assert got == [n["pre"] for n in page.path(path)] and got, path
+    up = lambda n: page.nodes[n["parent"]] if n["parent"] >= 0 else None
+    above = lambda n: [] if up(n) is None else [up(n), *above(up(n))]
+    sec = lambda n: n["tag"] == "div" and "sec" in n["attrs"].get("class", "")
+    nth = lambda n: sum(s["tag"] == n["tag"] and s["parent"] == n["parent"] and s["pre"] <= n["pre"] for s in page.nodes)
+    tags = lambda n: [n["tag"], *(x["tag"] for x in above(n))]
+    for path, test in {
+        '//*[@class="sec"]': lambda n: n["attrs"].get("class") == "sec",
+        "/html/body/div[3]": lambda n: tags(n) == ["div", "body", "html"] and nth(n) == 3,
+        '//div[contains(@class,"sec")]//p': lambda n: n["tag"] == "p" and any(map(sec, above(n))),
+        '//div[contains(@class,"sec")]/p': lambda n: n["tag"] == "p" and sec(up(n)),
+        "//body/div/h2": lambda n: tags(n)[:3] == ["h2", "div", "body"],
+        "//li": lambda n: n["tag"] == "li",
+        "//td[@colspan]": lambda n: n["tag"] == "td" and "colspan" in n["attrs"],
+    }.items():
+        got = [n["pre"] for n in page.path(path)]
+        assert got == [n["pre"] for n in page.nodes if test(n)] and got, path
+
+
+def test_rendered_text_is_cleaned(spark):
+    df = spark.createDataFrame([("a.pdf", "soft\u00adhyphen 3\u00d75\na\u00a0b | c\n--|--\n1 | 2")], "path string, text string")
+    r = api.process_rendered_text(df).first()
+    assert [p["text"] for p in r["bioc"]["documents"][0]["passages"]] == ["soft-hyphen 3x5"]
+    assert "a b" in str(r["tables"])
 
 
 def test_configs():

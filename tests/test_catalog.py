@@ -46,15 +46,5 @@ def test_query(spark, sf_dir, con, name):
         assert len(got)
 
 
-def test_nested_offsets_equal_windows(spark, sf_dir):
-    a, b = (catalog.QUERIES[n](spark, sf_dir).toPandas() for n in ("passage_offsets", "passage_offsets_nested"))
-    assert rows(a) == rows(b)
-
-
-def test_lookup_equals_function(spark, sf_dir):
-    a, b = (catalog.QUERIES[n](spark, sf_dir).toPandas() for n in ("heading_types", "heading_lookup"))
-    assert rows(a) == rows(b)
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() == 50

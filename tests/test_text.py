@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 from folioframe.functions import text as T
 from folioframe.functions.vectorized import indel_ratio
 from folioframe.operators import abbreviations as A
+from folioframe.operators import article, headings, jats
 from folioframe.operators.headings import match_heading
-from folioframe.sources.ontology import default_ontology
+from folioframe.sources.ontology import default_ontology, read_ontology
 
 SHORT = ["x.y.z.", "QT7", "Paris", "ÖÜÄ", "W.H.O.", "Q.RS", "COV-NET", "5HT", "N.7.", "T.E.S-T.S", "TOTAL", "M.N." * 5]
 NOT_SHORT = ["öüä", "Q", "42", "paris", "Q?R?", "W.H.O.?", "xyz", "", "MN" * 6]
@@ -15,33 +16,39 @@ def one(spark, expr, value):
     return spark.createDataFrame([(value,)], "x string").select(expr.alias("y")).first()["y"]
 
 
-def test_short_forms(spark):
-    df = spark.createDataFrame([(x,) for x in SHORT + NOT_SHORT], "x string").select("x", T.is_short_form(F.col("x")).alias("y"))
-    got = {r["x"]: r["y"] for r in df.collect()}
-    assert all(got[x] for x in SHORT) and not any(got[x] for x in NOT_SHORT)
-    assert all(A._SHORT.fullmatch(x) for x in SHORT) and not any(A._SHORT.fullmatch(x) for x in NOT_SHORT)
+def test_short_forms():
+    assert all(map(A.is_short_form, SHORT)) and not any(map(A.is_short_form, NOT_SHORT))
+
+
+@pytest.mark.parametrize(
+    "f, value, want",
+    [
+        (article.reference_text, "Some  words\n", "Some words"),
+        (headings.strip_number, "1 . introduction", "introduction"),
+        (headings.tokens_of, "2.1 Materials & Methods", "2 . 1 materials & methods"),
+        (jats.repair, "CafÃ©", "Café"),
+        (jats.repair, "Café β", "Café β"),
+        (jats.repair, "é", "é"),
+        (jats.unescape, "a\\u00e9b\\u03B2\\uZZ", "aébβ\\uZZ"),
+        (A.drop_quotes, 'the ("ABC")', "the (ABC)"),
+        (jats.collapse, "a   b\nc", "a b c"),
+        (jats.decode_entities, "&amp;lt; &lt;", "&lt; <"),
+    ],
+)
+def test_steps(f, value, want):
+    assert f(value) == want
 
 
 @pytest.mark.parametrize(
     "expr, value, want",
     [
-        (T.reference_text, "Some  words\n", "Some words"),
         (T.strip, " a ", "a"),
         (T.normal_p_value, "3 × 10–5", "3e–5"),
         (T.normal_p_value, "3.2 E − 5", "3.2e-5"),
         (T.clean_cell, " (0.5) ", "0.5"),
         (T.clean_cell, "(", "("),
-        (T.strip_number, "1 . introduction", "introduction"),
-        (T.tokens_of_heading, "2.1 Materials & Methods", "2 . 1 materials & methods"),
-        (T.repair_mojibake, "CafÃ©", "Café"),
-        (T.repair_mojibake, "Café β", "Café β"),
-        (T.repair_mojibake, "é", "é"),
-        (T.unescape_unicode, "a\\u00e9b\\u03B2\\uZZ", "aébβ\\uZZ"),
-        (T.drop_quotes, 'the ("ABC")', "the (ABC)"),
         (T.document_id, "/a/b.c/PMC1.x.html", "PMC1"),
         (T.linked_table_id, "/a/x_table_12.html", "12"),
-        (T.collapse_spaces, "a   b\nc", "a b c"),
-        (T.decode_entities, "&amp;lt; &lt;", "&lt; <"),
     ],
 )
 def test_expressions(spark, expr, value, want):
@@ -103,13 +110,27 @@ def test_definitions(sentence, want):
     assert [(s, d) for s, b in A.candidates(sentence) if (d := A.definition(s, b))] == want
 
 
-def test_choice_and_merge(spark):
-    rows = [(1, 0, 0, "AB", "alpha beta"), (1, 0, 1, "AB", "about"), (1, 0, 2, "AB", "about"), (1, 0, 3, "CD", "one"), (1, 0, 4, "CD", "two"), (1, 1, 0, "CD", "three")]
-    found = spark.createDataFrame(rows, "doc_id int, para int, nth int, short string, long string")
-    last = A.last_paragraph_wins(A.most_common(found))
-    assert {(r["short"], r["long"]) for r in last.collect()} == {("AB", "about"), ("CD", "three")}
-    author = spark.createDataFrame([(1, 0, "AB", "about"), (1, 1, "EF", "eff")], "doc_id int, place int, short string, long string")
-    got = {(r["short"], r["long"]): list(r["algorithms"]) for r in A.merged(author, last).collect()}
-    assert got == {("AB", "about"): [A.AUTHOR, A.FULLTEXT], ("EF", "eff"): [A.AUTHOR], ("CD", "three"): [A.FULLTEXT]}
-    fields = {r["text_short"]: r["fields"] for r in A.numbered(A.merged(author, last)).collect()}
-    assert fields["AB"] == {"text_long_1": "about", "extraction_algorithm_1": f"{A.AUTHOR}, {A.FULLTEXT}"}
+def test_choice_and_merge():
+    sentence = "alpha beta (AB). a bee (AB). a bee (AB). cool dog (CD). cold day (CD)."
+    got = A.document_pairs([sentence, "then core data (CD)"], [{"short": "AB", "long": "a bee"}, {"short": "EF", "long": "eff"}])
+    assert [(r["short"], r["long"], r["algorithms"]) for r in got] == [("AB", "a bee", [A.AUTHOR, A.FULLTEXT]), ("EF", "eff", [A.AUTHOR]), ("CD", "core data", [A.FULLTEXT])]
+
+
+def test_types_of_all_known_headings_against_brute_force():
+    """Numbered headings of the dictionary: the first term that has a heading of a ratio above 80, by another ratio."""
+    terms, ids = default_ontology()
+    ratio = lambda a, b: int(100 * 2 * lcs(a, b) / (len(a) + len(b)) + 0.5) if a and b else 0
+    for term, known in terms.items():
+        for h in known:
+            if not headings.is_compound(headings.tokens_of(h)):
+                low = headings.tokens_of(h)
+                want = next(t for t, hs in terms.items() if any(ratio(low, k) > 80 for k in hs))
+                assert match_heading(f"3. {h.title()}", (terms, ids)) == [(want, ids.get(want, ""))], (term, h)
+
+
+def test_ontology_files(tmp_path):
+    (tmp_path / "headings").write_text("Methods\tmethods section\nAims / Goals\tobjective section/introduction section\nno columns\na\tb\tc\n", encoding="utf-8")
+    (tmp_path / "ids").write_text("Methods section\tIAO:0000317\nintroduction section\tIAO:0000316\n", encoding="utf-8")
+    terms, ids = read_ontology(str(tmp_path / "headings"), str(tmp_path / "ids"))
+    assert terms == {"methods section": ["methods"], "objective section": ["aims / goals"], "introduction section": ["aims / goals"]}
+    assert match_heading("2. Methods", (terms, ids)) == [("methods section", "IAO:0000317")]
