@@ -43,7 +43,7 @@ def main(argv: list[str] | None = None) -> int:
     log.addHandler(handler)
     config = read_config(args.config) if args.config else default_config(args.default_config)
     spark = build_session()
-    done = process(files.scan(spark, str(source.resolve())), config)
+    done = process(lambda pattern: files.scan(spark, str(source.resolve()), pattern), config)
     base = str(source.resolve() if source.is_dir() else source.resolve().parent)
     rows = done.withColumn("key", F.regexp_replace(F.regexp_replace("key", r"^file:/*", "/"), f"^{base}/", "")).persist()
     bad = rows.where("error IS NOT NULL").select("key", F.lit(False).alias("ok"), "error")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.functions.text import clean_unicode
+from folioframe.functions.text import base_key, clean_unicode, file_type
 from folioframe.operators import abbreviations as A
 from folioframe.operators import article, bioc, jats, pipetables, tables
 from folioframe.plans.configs import default_config
@@ -86,12 +87,15 @@ def _out(df: DataFrame, error: str | None = None) -> DataFrame:
     return df.select("path", "key", js("bioc"), js("abbreviations"), js("tables"), failed.alias("error"))
 
 
-def process(found: DataFrame, config: dict | None = None) -> DataFrame:
+def process(found: DataFrame | Callable[[str | None], DataFrame], config: dict | None = None) -> DataFrame:
     """Files (path, content) of any format to (path, key, bioc, abbreviations, tables, error), collections as JSON.
-    Tables in files linked to an article join those of the article. A file that can't be read gets an error."""
-    df = files.typed(found)
+    Tables in files linked to an article join those of the article. A file that can't be read gets an error.
+    found is rows, or a scan that takes a glob pattern: then each format reads its own files alone, the marked-up ones
+    twice, as HTML and as XML, and those of no format are listed only."""
+    marked = files.typed(files.with_suffixes(found, ".html", ".htm", ".xml"))
+    plain = lambda *s: files.with_suffixes(found, *s).select("path", "content", base_key(F.col("path")).alias("key"))
     by_path = lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0)
-    of = lambda *kinds: df.where(F.col("file_type").isin(*kinds))
+    of = lambda kind: marked.where(F.col("file_type") == kind)
     parts = []
     if config:
         pages = of("HTML").select("path", "key", "kind", F.col("text").alias("content"))
@@ -106,12 +110,13 @@ def process(found: DataFrame, config: dict | None = None) -> DataFrame:
     else:
         parts.append(_out(of("HTML"), "a config is needed for HTML"))
     parts.append(_out(jats.article(of("XML").select("path", "key", F.col("text").alias("content")))))
-    word = office.read_word(of("WORD").select("path", "key", "content"))
+    word = office.read_word(plain(".docx", ".doc"))
     parts.append(_out(word.withColumn("bioc", bioc.supplementary_text_collection("word", F.coalesce("paragraphs", F.array().cast(office.PARAGRAPHS)), F.col("path"))).withColumn("tables", bioc.grids_collection(F.coalesce("grids", F.array().cast(office.GRIDS)), F.col("path")))))
-    excel = office.read_excel(of("EXCEL").select("path", "key", "content"))
+    excel = office.read_excel(plain(".xlsx", ".xls"))
     parts.append(_out(excel.withColumn("tables", bioc.grids_collection(F.coalesce("grids", F.array().cast(office.GRIDS)), F.col("path")))))
-    parts.append(_out(of("PDF"), "render the file to text first, see process_rendered_text"))
-    parts.append(_out(of("UNKNOWN"), "unknown kind of file"))
+    parts.append(_out(plain(".pdf"), "render the file to text first, see process_rendered_text"))
+    names = (found(None) if callable(found) else found).select("path", base_key(F.col("path")).alias("key"))
+    parts.append(_out(names.where(file_type(F.col("path"), F.lit(False)) == "UNKNOWN"), "unknown kind of file"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -129,7 +134,7 @@ def process_file(config: dict | None, path: str | Path, linked: list[str | Path]
         if not Path(p).is_file():
             raise FileNotFoundError(p)
     spark = spark or build_session()
-    found = _objects(process(files.scan(spark, [str(Path(p).resolve()) for p in (path, *linked)]), config))
+    found = _objects(process(lambda pattern: files.scan(spark, [str(Path(p).resolve()) for p in (path, *linked)], pattern), config))
     one = next(a for a in found if a.file_path.endswith(Path(path).name))
     if one.error:
         raise (NotImplementedError if one.error.startswith("unknown") else RuntimeError)(one.error)
@@ -140,12 +145,12 @@ def process_files(config: dict | None, paths: list[str | Path], spark: SparkSess
     """Many files in one job; all have to be there."""
     if missing := [str(p) for p in paths if not Path(p).is_file()]:
         raise RuntimeError(f"not files: {missing}")
-    return process(files.scan(spark or build_session(), [str(Path(p).resolve()) for p in paths]), config)
+    return process(lambda pattern: files.scan(spark or build_session(), [str(Path(p).resolve()) for p in paths], pattern), config)
 
 
 def process_directory(config: dict | None, path: str, spark: SparkSession | None = None) -> DataFrame:
     """All files below a directory."""
-    return process(files.scan(spark or build_session(), path), config)
+    return process(lambda pattern: files.scan(spark or build_session(), path, pattern), config)
 
 
 def register_views(pages: DataFrame, prefix: str = "") -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType, TimestampType
@@ -21,6 +23,15 @@ def scan(spark: SparkSession, paths: str | list[str], pattern: str | None = None
     return reader.load(paths).select("path", "content").where(~F.contains("path", F.lit("ipynb_checkpoints")))
 
 
+def with_suffixes(found: DataFrame | Callable[[str | None], DataFrame], *suffixes: str) -> DataFrame:
+    """Of found, rows or a scan that takes a glob pattern, the files with one of the suffixes in any case of letters. A scan
+    leaves the others unread."""
+    if not callable(found):
+        return found.where(T.suffix(F.col("path")).isin(*suffixes))
+    any_case = ("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes)
+    return found("*{" + ",".join(any_case) + "}")
+
+
 def stream(spark: SparkSession, path: str, pattern: str | None = None, files_per_trigger: int = 1000) -> DataFrame:
     """The same as a stream of files as they arrive."""
     reader = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger)

@@ -223,6 +223,19 @@ def test_groups_and_types(spark):
     assert {r["path"]: r["file_type"] for r in typed.collect()} == {"a.html": "HTML", "b.xml": "XML", "c.xml": "HTML", "d.PDF": "PDF", "e.docx": "WORD", "f.xls": "EXCEL", "g.json": "UNKNOWN"}
 
 
+def test_each_format_reads_its_own_files(spark, tmp_path):
+    for name in ("a.html", "B.XML", "c.DocX", "d.pdf", "e.txt", "f.xls"):
+        (tmp_path / name).write_bytes(b"x")
+    scan = lambda pattern: files.scan(spark, str(tmp_path), pattern)
+    names = lambda df: sorted(r["path"].rsplit("/", 1)[1] for r in df.select("path").collect())
+    assert names(files.with_suffixes(scan, ".html", ".htm", ".xml")) == ["B.XML", "a.html"]
+    assert names(files.with_suffixes(scan, ".docx", ".doc")) == names(files.with_suffixes(scan(None), ".docx", ".doc")) == ["c.DocX"]
+    got = {r["path"].rsplit("/", 1)[1]: r["error"] for r in api.process(scan, CONFIG).collect()}
+    assert sorted(got) == ["B.XML", "a.html", "c.DocX", "d.pdf", "e.txt", "f.xls"] and got["a.html"] is None and got["e.txt"].startswith("unknown") and got["c.DocX"]
+    rows = {r["path"].rsplit("/", 1)[1]: r["error"] for r in api.process(scan(None), CONFIG).collect()}
+    assert rows == got
+
+
 def test_stream(spark, folder, tmp_path):
     q = ingest.write_pages(ingest.page_stream(spark, str(folder), CONFIG), str(tmp_path / "o"), str(tmp_path / "c"), once=True)
     q.awaitTermination(60)
