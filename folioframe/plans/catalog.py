@@ -83,10 +83,18 @@ def html_keywords(spark, sf_dir):
     return done.select("page_id", F.coalesce(F.get(words, F.lit(0))["body"], F.lit("")).alias("keywords"))
 
 
-@query()
+@query(f"""
+WITH a AS (SELECT page_id, list_filter(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a [^>]*>([^<]*)</a>', 1), lambda x: trim(x) <> '') AS l,
+  regexp_extract(html, '(?s)<article>.*?<p>(.*?)</article>', 1) AS rest FROM pages),
+u AS (SELECT page_id, 0 AS pos, 'keywords' AS section_heading, {ENTITIES.format("array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ')")} AS body FROM a
+  UNION ALL SELECT page_id, 1, 'document part', {ENTITIES.format("regexp_replace(rest, '<[^>]*>', '', 'g')")} FROM a)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS nth, section_heading, '' AS subsection_heading, body FROM u WHERE body <> ''
+""")
 def html_paragraphs(spark, sf_dir):
+    """Keywords and paragraphs. The first p of these pages is never closed, so it holds all that follow: an end tag that is
+    missing isn't made up."""
     done = article.read_pages(pages_of(spark, sf_dir).drop("path"), default_config("WEB_PAGE"))
-    return done.select("page_id", F.posexplode("paragraphs").alias("nth", "p")).select("page_id", "nth", "p.section_heading", "p.subsection_heading", "p.body")
+    return done.select("page_id", F.posexplode("paragraphs").alias("nth", "p")).select("page_id", F.col("nth").cast("long").alias("nth"), "p.section_heading", "p.subsection_heading", "p.body")
 
 
 @query()
