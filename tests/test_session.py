@@ -39,3 +39,19 @@ def test_cut_ends_the_lineage(spark):
 @pytest.mark.parametrize("key", ["spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled"])
 def test_defaults(spark, key):
     assert spark.conf.get(key) == "true"
+
+
+def test_a_cluster_has_to_name_its_folder():
+    class Unnamed(Named):
+        class sparkContext(Named.sparkContext):  # noqa: N801
+            master = "spark://somewhere:7077"
+            found = None
+
+            @classmethod
+            def getConf(cls):  # noqa: N802
+                return {}
+
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(Unnamed)
+    Unnamed.sparkContext.master = "local[2]"
+    assert session.ensure_checkpoint_dir(Unnamed) == Unnamed.sparkContext.found
