@@ -43,7 +43,8 @@ WINDOW = 32
 LANES = 64
 UPDATES = 128
 MOST_LANES = 256
-ROUNDS = 2
+ROUNDS = 1
+RATE = 0.02
 SHARD_WORDS = 2 << 20
 #: Numbers of a slice of the parameters, and the groups that slices are averaged in.
 SLICE = 2048
@@ -317,7 +318,7 @@ class Network:
         grads["inputs"] = sorted_x[opens], np.add.reduceat(deltas.reshape(-1, 3 * k)[order], opens, axis=0)
         return float(out.sum()), grads, h
 
-    def train(self, ids: np.ndarray, starts: np.ndarray, lanes: int | None = None, rate: float = 0.01) -> int:
+    def train(self, ids: np.ndarray, starts: np.ndarray, lanes: int | None = None, rate: float = RATE) -> int:
         """One pass of truncated backpropagation over concatenated texts; starts marks first words. Returns the words."""
         if len(ids) == 0:
             return 0
@@ -407,7 +408,7 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, words: int = SHA
     net.spelling = Spelling(pairs)
     for nth in range(rounds):
         sent = spark.sparkContext.broadcast(net.flat())
-        rate = 0.01 / (1 + nth)
+        rate = RATE / (1 + nth)
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = Network(shared.value).load(sent.value)
