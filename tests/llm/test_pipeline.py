@@ -68,7 +68,10 @@ def test_stages(spark, sf_dir, tmp_path):
 
 
 def test_run(spark, sf_dir):
-    assert corpus_pipeline.run(spark, sf_dir).where("round_trip").count() > 0
+    done = corpus_pipeline.run(spark, sf_dir)
+    assert done.where("round_trip").count() > 0
+    (folder,) = {os.path.dirname(os.path.dirname(f)) for f in done.inputFiles()}
+    assert os.listdir(folder.removeprefix("file://").removeprefix("file:")) == ["4-byte_bpe"]
 
 
 def test_run_on_nothing(spark, sf_dir, tmp_path):
