@@ -4,7 +4,7 @@ Terms of a document are its distinct words and the heads (4 and 6 bytes) of its
 LEVELS that the number of words with that head reaches, hashed to 2^18 buckets.
 From a bounded sample of labelled rows (MAX_TOXIC toxic and MAX_CLEAN clean ones, the first in the order of a hash
 of doc_id) the buckets are kept whose presence goes with toxic labels (G-test over G_MIN), and those for which that holds
-among the rows that additive weights of these hold for toxic (over G_PAIR), though they may be as common in clean rows:
+among the rows that additive weights of these hold for toxic, though they may be as common in clean rows:
 the group mention that only an insult makes toxic. On these a factorization
 machine (bias, linear weights, RANK factors for pairwise interactions) is fitted by Adagrad on the logistic loss;
 each pair of terms of a document counts, so an insult beside a group mention weighs more than the sum of the two.
@@ -34,7 +34,6 @@ RANK = 6
 MAX_TOXIC = 4_000
 MAX_CLEAN = 8_000
 G_MIN = 16.0
-G_PAIR = 24.0
 EPOCHS = 120
 HEADS = (4, 6)
 LEVELS = (1, 2, 3, 5, 8)
@@ -120,7 +119,7 @@ def beside(kept: np.ndarray, row: np.ndarray, flat: np.ndarray, y: np.ndarray) -
         return kept[:0]
     n1 = np.bincount(flat[held[row] & (y[row] == 1)], minlength=1 << BITS).astype(float)
     n0 = np.bincount(flat[held[row] & (y[row] == 0)], minlength=1 << BITS).astype(float)
-    return np.flatnonzero((g_test(n1, n0, all1, all0) > G_PAIR) & (n1 / all1 > n0 / all0) & (n1 >= 3))
+    return np.flatnonzero((g_test(n1, n0, all1, all0) > G_MIN) & (n1 / all1 > n0 / all0) & (n1 >= 3))
 
 
 def fit_rows(terms: list[np.ndarray], y: np.ndarray, seed: int = 5) -> Model:
