@@ -257,6 +257,7 @@ class Network:
         order = np.argsort(c.astype(np.int16), kind="stable")
         cuts = np.searchsorted(c[order], np.arange(len(self.v.first)))
         hs, ys = h[order], y[order]
+        within, part = np.zeros(len(y)), np.zeros_like(hs) if learn else None
         for k in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(self.v.first) > 1)):
             i = slice(cuts[k], cuts[k + 1])
             m = slice(self.v.first[k], self.v.first[k + 1])
@@ -268,13 +269,16 @@ class Network:
             picked = q[at]
             np.exp(q, out=q)
             s = q.sum(1)
-            out[order[i]] += picked - np.log(s)
+            within[i] = picked - np.log(s)
             if learn:
                 q /= s[:, None]
                 q[at] -= 1
                 grads["words"][m] = q.T @ hk
                 grads["word_bias"][m] = q.sum(0)
-                back[order[i]] += q @ wk
+                np.matmul(q, wk, out=part[i])
+        out[order] += within
+        if learn:
+            back[order] += part
         return (out, grads, back) if learn else out
 
     def gradients(self, x: np.ndarray, y: np.ndarray, new: np.ndarray, h: np.ndarray, ok: np.ndarray | None = None) -> tuple[float, dict, np.ndarray]:
@@ -297,20 +301,26 @@ class Network:
             back = np.zeros_like(flat_h)
             back[some] = part
         back = back.reshape(steps, lanes, k)
-        grads["gates"] = np.zeros_like(self.gates)
-        deltas = np.empty((steps, lanes, 3 * k), self.gates.dtype)
+        deltas, inner = (np.empty((steps, lanes, 3 * k), self.gates.dtype) for _ in "ab")
         dh = np.zeros((lanes, k), self.gates.dtype)
         for t in range(steps - 1, -1, -1):
             before, z, r, n, un = kept[t]
             dh = dh + back[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            du = np.concatenate([dz, dr, dn * r], 1)
-            deltas[t, :, : 2 * k] = du[:, : 2 * k]
-            deltas[t, :, 2 * k :] = dn
-            grads["gates"] += before.T @ du
+            left = dh * (1 - z)
+            dn = n * n
+            np.subtract(1, dn, out=dn)
+            dn *= left
+            left *= z
+            d, du = deltas[t], inner[t]
+            np.multiply(left, before - n, out=d[:, :k])
+            left = r - r * r
+            left *= un
+            np.multiply(left, dn, out=d[:, k : 2 * k])
+            d[:, 2 * k :] = dn
+            du[:, : 2 * k] = d[:, : 2 * k]
+            np.multiply(dn, r, out=du[:, 2 * k :])
             dh = np.where(new[:, t, None], h.dtype.type(0), dh * z + du @ self.gates.T)
+        grads["gates"] = np.concatenate([b for b, *_ in kept]).T @ inner.reshape(-1, 3 * k)
         flat_x = x.T.ravel()
         order = np.argsort(flat_x.astype(np.uint16) if self.v.size < 65_535 else flat_x, kind="stable")
         sorted_x = flat_x[order]
