@@ -106,6 +106,52 @@ def test_linked_classes_against_brute_force(near):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in J.linked_classes(df).collect()} == {i: (root[i], links[i]) for i in root}
 
 
+def test_pairs_of_large_groups_are_counted_and_not_listed(spark, monkeypatch):
+    """Two groups of near copies, of which some pairs are below the threshold, with copies, over blocks of a few documents."""
+    rows = []
+    for g, size in enumerate((150, 90)):
+        r, base = random.Random(70 + g), prose(70 + g, 200).split()
+        for k in range(size):
+            share = r.choice((0.01, 0.03, 0.1))
+            rows.append((len(rows) * 2, " ".join(r.choice(WORDS) if r.random() < share else x for x in base)))
+    rows += [(1001 + k, rows[7 * k][1]) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    pairs = true_pairs(rows, J.THRESHOLD)
+    root = {i: i for i, _ in rows}
+    for _ in rows:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {i: (root[i], sum(i in p for p in pairs)) for i in root}
+    listed, verify = [], J.verify
+    monkeypatch.setattr(J, "verify", lambda found, *a: listed.append(found.count()) or verify(found, *a))
+    for block in (J.BLOCK, 16):
+        monkeypatch.setattr(J, "BLOCK", block)
+        assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in J.linked_classes(df).collect()} == want
+    assert len(pairs) > 10_000 and max(listed) < 500
+    assert sorted(r["doc_id"] for r in J.keep_one(df).collect()) == sorted(set(root.values()))
+
+
+def test_groups_change_nothing(near, monkeypatch):
+    _, df = near
+    want = {tuple(r) for r in J.linked_classes(df).collect()}
+    for hot, postings, column in ((1, 1024, 24), (1, 2, 1), (2, 3, 2)):
+        monkeypatch.setattr(J, "HOT", hot)
+        monkeypatch.setattr(J, "POSTINGS", postings)
+        monkeypatch.setattr(J, "COLUMN", column)
+        monkeypatch.setattr(J, "BLOCK", 2)
+        assert {tuple(r) for r in J.linked_classes(df).collect()} == want
+
+
+def test_prefixes_of_whole_sets():
+    lengths = J.prefix_lengths(0.5)
+    # of 30 tokens a set at the threshold shares 15 at least, so one is among any 16
+    assert lengths[:3] == [0, 1, 2] and lengths[30] == 16
+    assert lengths[49] == J.SKETCH - J.least_overlap(J.SKETCH, 0.5) + 1 >= lengths[48]
+    # 48 of 96 tokens: what a sketch of the larger set has of the smaller one
+    drawn = np.random.default_rng(1).permuted(np.tile(np.arange(96), (50_000, 1)), axis=1)[:, : J.SKETCH]
+    assert ((drawn < 48).sum(1) < J.SKETCH - lengths[48] + 1).mean() <= 3e-4
+
+
 def test_texts_that_share_an_id_are_kept(spark):
     rows = [(1, prose(1, 90)), (1, prose(2, 90)), (1, prose(2, 90)), (2, prose(2, 90)), (3, prose(2, 90)), (4, prose(4, 9)), (4, prose(4, 9))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
