@@ -577,6 +577,34 @@ def test_stated_queries_against_all(spark, sent):
     assert np.mean([len(found[ids[i]] & set(ids[np.argsort(d[n])[:10]])) / 10 for n, i in enumerate(q)]) >= 0.9
 
 
+def test_registered_query_is_exact(spark, monkeypatch):
+    """All its queries, in one batch and in several, on its own table: the very neighbours of brute force; without a graph."""
+    monkeypatch.setattr(ann, "build", lambda *a: pytest.fail("a graph costs more than the scan"))
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float32).astype(float)
+    want = {}
+    for q in np.flatnonzero(ids % 20 == 0):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        want[ids[q]] = [int(ids[i]) for i in np.lexsort((ids, d))[:10]]
+    for name, value in (("SCAN_SENT", 1 << 16), ("SCAN_SENT", 30), ("SCAN_TASK", 50_000), ("SCAN_COLUMNS", 7), ("SCAN_ROWS", 3)):
+        monkeypatch.setattr(ann, name, value)
+        found = {}
+        for r in ann.op10_nearest_neighbours(spark, "/root/testdata/sf0.1").orderBy("query_id", "rank").collect():
+            found.setdefault(r["query_id"], []).append(r["neighbour_id"])
+        assert found == want
+
+
+def test_scan_of_odd_vectors(spark):
+    """Equal vectors far from the origin, ties by the lower id, fewer than k others, none."""
+    far = [(i, [1e4 + 1e-2 * (i // 3), 2e4]) for i in range(12)] + [(None, [1.0, 1.0]), (20, None), (40, [1.0])]
+    df = spark.createDataFrame(far, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["neighbour_id"]) for r in ann.neighbours(df, k=4, one_in=4, scan=9).orderBy("query_id", "rank").collect()]
+    assert got[:8] == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (0, 4, 4), (4, 1, 3), (4, 2, 5), (4, 3, 0), (4, 4, 1)]
+    assert ann.neighbours(df, k=50, one_in=4, scan=9).count() == 3 * 11
+    assert ann.neighbours(df.where("vec_id % 4 <> 0"), one_in=4, scan=9).count() == 0
+
+
 @pytest.mark.parametrize("sent", [ann.SENT_BYTES, 0])
 def test_outliers_and_small_groups_of_clustered_vectors(spark, sent):
     rng = np.random.default_rng(3)
