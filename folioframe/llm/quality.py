@@ -5,7 +5,7 @@ capitals, repeated words and lines, bars, doubled signs), shrunk to typical valu
 a short text isn't odd for being short. TREES trees split random samples of SUBSAMPLE
 documents each (all documents, if there are fewer), at random values of random rules, until each is alone or
 the depth is log2 of the sample. Every tree draws for itself, from the TREES * SUBSAMPLE first documents by a hash. Documents that few splits isolate score near 1 (2^(-mean path / expected path)).
-The threshold is calibrated on the labelled rows: of those that let at most KEEP (0.5 %) of the rows labelled good
+The threshold is calibrated on all labelled rows: of those that let at most KEEP (0.5 %) of the rows labelled good
 go, the lowest one, beyond the highest score at which bad rows still come at least as dense as good ones.
 
 The statistics are one pass over whole texts; the forest is a few hundred KB whatever the input; the sample that the
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm import vec
+from folioframe.session import cut
 
 RULES = ["mean_word", "letters", "digits", "signs", "capitals", "word_repeats", "distinct_lines", "bars", "repeated_signs", "sentence_ends"]
 #: What each rule is shrunk to in texts of few words, and the number of words that weighs as much.
@@ -155,18 +156,18 @@ def grow(samples: list[np.ndarray], seed: int = 3) -> Forest:
     return Forest(rule, value, path, size)
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray, keep: float = KEEP) -> float:
-    """The lowest threshold that rejects at most a share keep of the good rows and is above where the bad thin out."""
+def calibrate(scores: np.ndarray, good: np.ndarray, keep: float = KEEP, n_good: int | None = None, n_bad: int | None = None) -> float:
+    """The lowest threshold that rejects at most a share keep of the good rows and is above where the bad thin out. With the
+    numbers of all good and bad rows, the highest scores are enough, down to one that too many good rows reach."""
     if len(scores) == 0:
         return 1.0
     if not good.any() or good.all():
         return float(np.nextafter(np.quantile(scores, 1 - keep), 2))
-    best, at = 0.0, float(np.nextafter(scores[good].max(), 2))
-    for c in np.unique(scores):
-        lost, caught = (scores[good] >= c).mean(), (scores[~good] >= c).mean()
-        if lost <= keep and caught - lost > best:
-            best, at = caught - lost, float(c)
-    return at
+    at = np.unique(scores)
+    reach = lambda x: len(x) - np.searchsorted(np.sort(x), at)
+    lost, caught = reach(scores[good]) / (n_good or good.sum()), reach(scores[~good]) / (n_bad or (~good).sum())
+    gain = np.where(lost <= keep, caught - lost, 0)
+    return float(at[gain.argmax()]) if gain.max() > 0 else float(np.nextafter(scores[good].max(), 2))
 
 
 def rule_statistics(docs: DataFrame) -> DataFrame:
@@ -182,26 +183,47 @@ def rule_statistics(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, stats array<double>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, trees: int = TREES, subsample: int = SUBSAMPLE, keep: float = KEEP, max_labelled: int = 20_000) -> Forest:
-    """Forest of hash-drawn samples of all documents; threshold from at most max_labelled labelled rows."""
+def fit(docs: DataFrame, labels: DataFrame, trees: int = TREES, subsample: int = SUBSAMPLE, keep: float = KEEP) -> Forest:
+    """Forest of hash-drawn samples of all documents; threshold from all labelled rows."""
     ids = docs.where("doc_id IS NOT NULL").select("doc_id").withColumn("h", F.xxhash64(F.lit(11), F.col("doc_id").cast("string")))
-    drawn = ids.orderBy("h", "doc_id").limit(trees * subsample).select(F.col("doc_id").alias("_id"), "h", F.lit(None).cast("int").alias("good"))
-    lab = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("good"))
-    lab = lab.withColumn("h", F.xxhash64(F.lit(12), F.col("doc_id").cast("string"))).orderBy("h", "doc_id").limit(max_labelled).select(F.col("doc_id").alias("_id"), "h", "good")
-    picked = drawn.unionByName(lab).groupBy("_id").agg(F.min(F.when(F.col("good").isNull(), F.col("h"))).alias("h"), F.max("good").alias("good"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select(F.struct("doc_id", "h", "good").alias("doc_id"), "text")
-    table = rule_statistics(rows).select("doc_id.h", "doc_id.good", "stats").toArrow()
+    drawn = ids.orderBy("h", "doc_id").limit(trees * subsample).groupBy(F.col("doc_id").alias("_id")).agg(F.min("h").alias("h"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select(F.struct("doc_id", "h").alias("doc_id"), "text")
+    table = rule_statistics(rows).where("stats IS NOT NULL").select("doc_id.h", "stats").toArrow()
     x = np.array(table.column("stats").to_pylist(), float).reshape(-1, len(RULES))
     has = ~np.isnan(x[:, 0])
-    h, good = table.column("h").to_pylist(), table.column("good").to_pylist()
-    sample = sorted((v, i) for i, v in enumerate(h) if v is not None and has[i])
+    sample = sorted((v, i) for i, v in enumerate(table.column("h").to_pylist()) if has[i])
     order = np.array([i for _, i in sample], np.int64)
     forest = grow([x[np.random.default_rng((9, t)).choice(order, min(subsample, len(order)), replace=False)] for t in range(trees if len(order) else 0)])
-    judged = np.array([i for i, g in enumerate(good) if g is not None and has[i]], np.int64)
-    forest.threshold = calibrate(forest.scores(x[judged]), np.array([good[i] == 1 for i in judged], bool), keep)
+    forest.threshold = threshold(docs, labels, forest, keep)
     return forest
 
 
+def threshold(docs: DataFrame, labels: DataFrame, forest: Forest, keep: float = KEEP) -> float:
+    """Calibrated on every labelled row with words. Of both kinds, only rows that score as high as the share keep of the good
+    ones are gathered, with the numbers of all."""
+    lab = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg((F.min(F.col("quality").cast("int")) == 1).alias("good"))
+    shared = docs.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in vec.pieces(batches):
+            x = statistics(vec.strings(b.column("text")))
+            yield pa.record_batch([b.column("doc_id"), pa.array(shared.value.scores(x))], ["doc_id", "score"]).filter(pa.array(~np.isnan(x[:, 0])))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    scored = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, f"doc_id {kind}, score double")
+    judged = cut(scored.join(lab, F.col("doc_id") == F.col("_id")).select("score", "good"))
+    n_all, n_good = judged.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("good").cast("int")), F.lit(0))).first()
+    if n_all == 0:
+        return 1.0
+    if n_good in (0, n_all):
+        return float(np.nextafter(judged.agg(F.percentile("score", 1 - keep)).first()[0], 2))
+    # one good row more than may go, and one for the rounding of the share
+    least = judged.where("good").orderBy(F.desc("score")).limit(int(keep * n_good) + 2).agg(F.min("score")).first()[0]
+    table = judged.where(F.col("score") >= least).toArrow()
+    score, good = (table.column(c).to_numpy(zero_copy_only=False) for c in ("score", "good"))
+    return calibrate(np.concatenate([score, [0.0]]), np.concatenate([good.astype(bool), [False]]), keep, n_good, n_all - n_good)
+
+
 def quality(docs: DataFrame, forest: Forest) -> DataFrame:
     """doc_id, anomaly (0 to 1) and keep (boolean) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(forest)

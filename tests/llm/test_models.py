@@ -399,6 +399,28 @@ def test_threshold():
     assert quality.calibrate(np.array([]), np.array([])) == 1.0
 
 
+def test_threshold_from_all_labelled_rows(spark):
+    """More labels than were once read: the threshold of the loop over all scores, from the highest alone."""
+    docs = spark.range(1, 24_001).selectExpr("id AS doc_id", "concat('word ', repeat(concat('w', pmod(xxhash64(id), 7), ' '), cast(1 + pmod(xxhash64(id, 3), 9) AS int)), repeat('!', cast(pmod(xxhash64(id, 5), 11) AS int))) AS text").cache()
+    lab = docs.selectExpr("doc_id", "cast(length(text) - length(replace(text, '!')) < 9 OR pmod(doc_id, 5) > 0 AS int) AS quality")
+    forest = quality.fit(docs, lab)
+    rows = docs.join(lab, "doc_id").collect()
+    scores = forest.scores(quality.statistics(pa.array([r["text"] for r in rows], pa.large_string())))
+    good = np.array([r["quality"] == 1 for r in rows])
+    best, at = 0.0, float(np.nextafter(scores[good].max(), 2))
+    for c in np.unique(scores):
+        lost, caught = (scores[good] >= c).mean(), (scores[~good] >= c).mean()
+        if lost <= quality.KEEP and caught - lost > best:
+            best, at = caught - lost, float(c)
+    assert forest.threshold == at == quality.calibrate(scores, good)
+    # bad rows are known by the last labels alone, by the hash that once chose 20,000 of them
+    last = docs.select("doc_id").orderBy(F.desc(F.xxhash64(F.lit(12), F.col("doc_id").cast("string")))).limit(60).withColumn("quality", F.lit(0))
+    lab = docs.select("doc_id").join(last, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(1)).alias("quality")).cache()
+    docs = docs.join(lab, "doc_id").selectExpr("doc_id", "CASE WHEN quality = 0 THEN repeat('|#|9 ', 40) ELSE text END AS text", "quality").cache()
+    forest = quality.fit(docs, lab)
+    assert forest.threshold == forest.scores(quality.statistics(pa.array(["|#|9 " * 40], pa.large_string())))[0]
+
+
 def test_quality_on_labels(spark):
     sf = "/root/testdata/sf0.1"
     docs, lab = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
