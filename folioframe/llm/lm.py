@@ -52,6 +52,8 @@ GROUPS = 32
 SCORE_WORDS = 6 << 20
 #: States that go through the softmax at a time in scoring.
 SOFTMAX_ROWS = 16384
+#: Logits up to which exp() is taken of them as they are; the sum of 2^30 of them is far from the end of 32 bits.
+TAME = 40.0
 
 
 @dataclass
@@ -237,16 +239,25 @@ class Network:
         new += n
         return z, r, n, un, new
 
+    @staticmethod
+    def _tame(weights: np.ndarray, bias: np.ndarray) -> bool:
+        """Whether every logit of a state lies within -TAME and TAME."""
+        return bool((np.abs(weights) @ np.ones(weights.shape[1], weights.dtype) + np.abs(bias)).max() < TAME)
+
     def loss(self, h: np.ndarray, y: np.ndarray, learn: bool = False):
         """Log-likelihood of symbols y after states h; with learn, the gradients of its negative sum as well."""
         c = self.v.cls[y]
         logits = h @ self.classes
         logits += self.class_bias
-        logits -= logits.max(1, keepdims=True)
+        # states are within -1 and 1: where no sum can leave what exp() takes, the largest need not be looked for
+        tame = self._tame(self.classes.T, self.class_bias)
+        if not tame:
+            logits -= logits.max(1, keepdims=True)
+        ones = np.ones(max(logits.shape[1], int(np.diff(self.v.first).max())), logits.dtype)
         rows = np.arange(len(y))
         out = logits[rows, c].astype(np.float64)
         p = np.exp(logits, out=logits)
-        s = p.sum(1)
+        s = p @ ones[: p.shape[1]]
         out -= np.log(s)
         grads = back = None
         if learn:
@@ -257,6 +268,7 @@ class Network:
         order = np.argsort(c.astype(np.int16), kind="stable")
         cuts = np.searchsorted(c[order], np.arange(len(self.v.first)))
         hs, ys = h[order], y[order]
+        tame = self._tame(self.words, self.word_bias)
         within, part = np.zeros(len(y)), np.zeros_like(hs) if learn else None
         for k in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(self.v.first) > 1)):
             i = slice(cuts[k], cuts[k + 1])
@@ -264,11 +276,12 @@ class Network:
             hk, wk = hs[i], self.words[m]
             q = hk @ wk.T
             q += self.word_bias[m]
-            q -= q.max(1, keepdims=True)
+            if not tame:
+                q -= q.max(1, keepdims=True)
             at = (np.arange(len(hk)), ys[i] - m.start)
             picked = q[at]
             np.exp(q, out=q)
-            s = q.sum(1)
+            s = q @ ones[: q.shape[1]]
             within[i] = picked - np.log(s)
             if learn:
                 q /= s[:, None]

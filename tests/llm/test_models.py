@@ -240,6 +240,23 @@ def test_gradients_of_the_softmax():
         assert abs(-(up - down) / 2e-5 - grads[name][i]) < 1e-5
 
 
+def test_tame_and_large_logits(monkeypatch):
+    """The likelihood is that of the softmax less its largest logit, and large logits don't overflow."""
+    rng = np.random.default_rng(8)
+    net = lm.Network(lm.build(np.arange(40, dtype=np.uint64), rng.integers(1, 900, 64).astype(float)))
+    h, y = rng.uniform(-1, 1, (200, lm.HIDDEN)).astype(np.float32), rng.integers(0, 64, 200)
+    looked = []
+    tame = lm.Network._tame
+    monkeypatch.setattr(lm.Network, "_tame", staticmethod(lambda *a: looked.append(tame(*a)) or looked[-1]))
+    plain = net.loss(h, y)
+    monkeypatch.setattr(lm, "TAME", 0.0)
+    assert np.allclose(plain, net.loss(h, y), atol=1e-4) and looked == [True, True, False, False]
+    monkeypatch.setattr(lm, "TAME", 40.0)
+    net.words *= 3000
+    net.classes *= 3000
+    assert np.isfinite(net.loss(h, y)).all() and looked[4:] == [False, False]
+
+
 def test_gradients_through_time():
     """Finite differences of every parameter that feeds the state, over a window with new texts and spare places in it."""
     v, rng = small(6), np.random.default_rng(3)
