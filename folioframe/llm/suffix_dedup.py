@@ -93,8 +93,9 @@ def anchors(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
             yield pa.record_batch([pa.array(h.view(np.int64)), b.column("doc").take(pa.array(doc)), pa.array((at - w.firsts()[doc]).astype(np.int32))], ["f", "doc", "pos"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc IS NOT NULL").mapInArrow(find, "f long, doc long, pos int")
-    # found twice, which is cheaper than to keep a row for every anchor of every document
-    shared = found.groupBy("f").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where("owner < last")
+    # found and shuffled once for both sides of the join: they read the same columns under the same filter, so Spark sees one exchange
+    found = found.where("f IS NOT NULL AND doc IS NOT NULL").repartition("f")
+    shared = found.groupBy("f").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.count("pos").alias("n")).where("owner < last")
     # an anchor that a document has twice may count as one of three documents, which costs work but changes nothing
     return found.join(shared, "f").select("owner", "doc", "pos", F.expr("doc > owner AND n > 2").alias("rest"))
 
@@ -345,7 +346,9 @@ def shared_windows(rows: DataFrame, texts: DataFrame, length: int, k: int) -> Da
 
     at = rows.where("rest").groupBy("doc").agg(F.collect_list("pos").alias("at"))
     found = at.join(texts, "doc").select("doc", "text", "at").mapInArrow(hashes, "h long, doc long, pos int")
-    shared = found.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last")
+    # one exchange for both sides, as in anchors(); the count is there to read pos
+    found = found.where("h IS NOT NULL AND doc IS NOT NULL").repartition("h")
+    shared = found.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.count("pos").alias("n")).where("owner < last AND n > 1")
     return found.join(shared, "h").where("doc > owner").select("doc", "pos", "owner")
 
 

@@ -316,3 +316,15 @@ def test_a_variant_in_the_first_document_hides_no_repeat(spark):
             rows.append((100 * n + g, " ".join([prose(5000 + 10 * g + n, 40), *p, prose(7000 + 10 * g + n, 40)])))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got_marks(df) == brute_marks(rows, S.LENGTH)
+
+
+def test_anchors_and_windows_are_found_once(spark):
+    passage = prose(3, 80)
+    docs = spark.createDataFrame([(i, f"{prose(100 + i, 30)} {passage} {prose(200 + i, 30)}") for i in range(6)], "doc_id long, text string")
+    rows = S.anchors(docs)
+    windows = S.shared_windows(rows, docs.selectExpr("doc_id AS doc", "text"), S.LENGTH, S.GRAM)
+    for df, name in ((rows, "find"), (windows, "hashes")):
+        assert df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        # both sides of the join read one exchange; what anchors() finds may stand twice in the plan of the windows
+        assert plan.count(f"MapInArrow {name}(") == 1
