@@ -18,6 +18,7 @@ columns are not read.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -34,8 +35,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts of ASCII alone, for which the standard library's faster engine will do.
 ASCII_PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?(?:[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]+)|\s+(?!\S)|\s+"
-#: Strings that a worker remembers before it starts anew; a matter of memory, not of results.
+#: Strings, and their characters, that a worker remembers before it starts anew; a matter of memory, not of results.
 REMEMBERED = 500_000
+REMEMBERED_CHARS = 8 << 20
 #: Strings handed to the library at once; what it returns takes about a KB each until the ids are taken out.
 AT_ONCE = 2_048
 
@@ -60,6 +62,8 @@ class Codec:
 
     def __init__(self, vocabulary: str):
         check_byte_level(json.loads(vocabulary))
+        # a worker has one core; threads of the library would each keep memory of their own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.split, self.split_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN, re.ASCII).findall
@@ -83,12 +87,12 @@ class Codec:
                 fresh.append(key)
                 return n
 
-        self.codes = Codes()
+        self.codes, self.chars = Codes(), 0
         self.ids, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        if len(self.codes) > REMEMBERED:
+        if len(self.codes) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self._forget()
         code = self.codes.__getitem__
         parts = [np.fromiter(map(code, (self.split_ascii if t.isascii() else self.split)(t)), np.int32) for t in texts]
@@ -100,6 +104,7 @@ class Codec:
                 lengths.append(np.fromiter(map(len, new), np.int64, len(new)))
                 ids.append(np.fromiter(chain.from_iterable(new), np.int32, int(lengths[-1].sum())))
             self.ids, self.lengths = np.concatenate(ids), np.concatenate(lengths)
+            self.chars += sum(map(len, self.fresh))
             self.fresh.clear()
         start = np.cumsum(self.lengths) - self.lengths
         size = self.lengths[codes]

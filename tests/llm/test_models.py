@@ -68,6 +68,16 @@ def test_codec_forgets_without_effect(codec, monkeypatch):
         assert other.encode([t])[0].tolist() == codec.encode([t])[0].tolist()
 
 
+def test_bpe_remembers_no_more_than_so_many_characters(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_CHARS", 2_000)
+    c = bpe.Codec(bpe._read(bpe.VOCABULARY))
+    for i in range(20):
+        texts = ["kanalosa" * 50 + f"x{i}", prose(i, 30)]
+        ids, counts = c.encode(texts)
+        assert c.decode(ids, counts) == texts
+        assert sum(map(len, c.codes)) < 2_000 + 1_200
+
+
 def test_bpe_frames(spark):
     df = odd_documents(spark)
     coded = bpe.encode(df)

@@ -1,4 +1,6 @@
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -46,3 +48,19 @@ def test_pieces_keep_all_rows():
 
 def test_ragged():
     assert vec.ragged(np.array([5, 0, 9]), np.array([2, 0, 3])).tolist() == [5, 6, 9, 10, 11]
+
+
+def test_pieces_give_memory_back():
+    code = """
+import re, pyarrow as pa
+from folioframe.llm import vec
+held = lambda: sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+batches = lambda: (pa.record_batch([pa.array(["x%d " % j * 1000 for j in range(8000)])], ["text"]) for _ in range(3))
+before = held()
+for p in vec.pieces(batches()):
+    vec.strings(p.column("text")).cast(pa.string())
+del p
+print(held() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout
+    assert float(out) < 60
