@@ -50,8 +50,9 @@ SHARD_WORDS = 2 << 20
 SLICE = 2048
 GROUPS = 32
 SCORE_WORDS = 6 << 20
-#: States that go through the softmax at a time in scoring.
-SOFTMAX_ROWS = 16384
+#: States that go through the softmax at a time in scoring, and texts that are stepped through side by side.
+SOFTMAX_ROWS = 32768
+SCORE_LANES = 4096
 #: Logits up to which exp() is taken of them as they are; the sum of 2^30 of them is far from the end of 32 bits.
 TAME = 40.0
 
@@ -68,6 +69,9 @@ class Vocabulary:
     cls: np.ndarray
     first: np.ndarray
 
+    def __post_init__(self):
+        self.slots = vec.Slots(self.hashes)
+
     @property
     def size(self) -> int:
         return len(self.cls)
@@ -90,9 +94,8 @@ def vocabulary(docs: DataFrame, least: int = LEAST, growth: float = GROWTH) -> V
         for b in vec.pieces(batches):
             w = vec.Words(vec.strings(b.column("text")))
             # the length of an unlisted word is counted through its own key
-            h, first, n = np.unique(w.hash, return_index=True, return_counts=True)
-            size = np.minimum((w.end - w.start)[first], LENGTHS)
-            held.append((h & ~np.uint64(31)) | size.astype(np.uint64))
+            h, n = np.unique((w.hash & ~np.uint64(31)) | np.minimum(w.end - w.start, LENGTHS).astype(np.uint64), return_counts=True)
+            held.append(h)
             held_n.append(n)
             rows += len(h)
             if rows > 2_000_000:
@@ -136,9 +139,8 @@ def symbols_of(v: Vocabulary, w: vec.Words) -> tuple[np.ndarray, np.ndarray]:
     length = v.lengths[size - 1]
     if len(v.hashes) == 0:
         return length.astype(np.int32), np.ones(len(size), bool)
-    key = (w.hash & ~np.uint64(31)) | size.astype(np.uint64)
-    at = np.minimum(np.searchsorted(v.hashes, key), len(v.hashes) - 1)
-    own = v.hashes[at] == key
+    at = v.slots.find((w.hash & ~np.uint64(31)) | size.astype(np.uint64))
+    own = at >= 0
     return np.where(own, v.symbol[at], length).astype(np.int32), ~own
 
 
@@ -182,6 +184,21 @@ class Spelling:
         return np.bincount(w.doc[word], self.logs[pair], w.n_docs) + np.bincount(w.doc[which], ends, w.n_docs)
 
 
+def group_sums(rows: np.ndarray, opens: np.ndarray, each: int = 8) -> np.ndarray:
+    """Sums of the groups of rows that begin at opens. What reduceat costs goes by groups, of which most are small: their
+    first rows are added for all groups at once, and it is left with those beyond each."""
+    size = np.diff(opens, append=len(rows))
+    out = rows[opens]
+    for j in range(1, each):
+        some = np.flatnonzero(size > j)
+        out[some] += rows[opens[some] + j]
+    some = np.flatnonzero(size > each)
+    if len(some):
+        left = size[some] - each
+        out[some] += np.add.reduceat(rows[vec.ragged(opens[some] + each, left)], np.cumsum(left) - left, axis=0)
+    return out
+
+
 class Network:
     """Parameters: inputs (symbols and a start mark) to gates, state to gates, state to classes and to words. The biases
     start at the frequencies."""
@@ -221,23 +238,25 @@ class Network:
         return self
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """One step for lanes: (update, reset, candidate, state's part of the candidate, new state)."""
+        """One step for lanes: (update, reset, candidate, state's part of the candidate, what the update keeps of state less
+        candidate, new state)."""
         k = self.hidden
         a = self.inputs[x]
-        u = h @ self.gates
-        zr = a[:, : 2 * k] + u[:, : 2 * k]
+        # a block a gate, each contiguous
+        u = np.matmul(h, self.gates.reshape(k, 3, k).transpose(1, 0, 2))
+        zr = u[:2]
+        zr += a[:, : 2 * k].reshape(-1, 2, k).transpose(1, 0, 2)
         zr *= 0.5
         np.tanh(zr, out=zr)
         zr += 1
         zr *= 0.5
-        z, r, un = zr[:, :k], zr[:, k:], u[:, 2 * k :]
+        z, r, un = u
         n = r * un
         n += a[:, 2 * k :]
         np.tanh(n, out=n)
-        new = h - n
-        new *= z
-        new += n
-        return z, r, n, un, new
+        kept = h - n
+        kept *= z
+        return z, r, n, un, kept, kept + n
 
     @staticmethod
     def _tame(weights: np.ndarray, bias: np.ndarray) -> bool:
@@ -246,64 +265,70 @@ class Network:
 
     def loss(self, h: np.ndarray, y: np.ndarray, learn: bool = False):
         """Log-likelihood of symbols y after states h; with learn, the gradients of its negative sum as well."""
-        c = self.v.cls[y]
-        logits = h @ self.classes
-        logits += self.class_bias
+        order = np.argsort(self.v.cls[y].astype(np.int16), kind="stable")
+        c, y = self.v.cls[y[order]], y[order]
+        # biases are the weights of a constant, and what is divided by sums are states, which are narrower than the logits
+        h = np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1)[order]
+        logits = h @ np.concatenate([self.classes, self.class_bias[None]])
         # states are within -1 and 1: where no sum can leave what exp() takes, the largest need not be looked for
         tame = self._tame(self.classes.T, self.class_bias)
         if not tame:
             logits -= logits.max(1, keepdims=True)
-        ones = np.ones(max(logits.shape[1], int(np.diff(self.v.first).max())), logits.dtype)
+        first = self.v.first
+        ones = np.ones(max(logits.shape[1], int(np.diff(first).max())), logits.dtype)
         rows = np.arange(len(y))
-        out = logits[rows, c].astype(np.float64)
+        ll = logits[rows, c].astype(np.float64)
         p = np.exp(logits, out=logits)
         s = p @ ones[: p.shape[1]]
-        out -= np.log(s)
-        grads = back = None
+        ll -= np.log(s)
         if learn:
-            p /= s[:, None]
-            p[rows, c] -= 1
-            grads = {"classes": h.T @ p, "class_bias": p.sum(0), "words": np.zeros_like(self.words), "word_bias": np.zeros_like(self.word_bias)}
-            back = p @ self.classes.T
-        order = np.argsort(c.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(len(self.v.first)))
-        hs, ys = h[order], y[order]
+            p[rows, c] -= s
+            g = (h / s[:, None]).T @ p
+            grads = {"classes": g[:-1], "class_bias": g[-1]}
+            part = p @ self.classes.T
+            part /= s[:, None]
+        cuts, at_y = np.searchsorted(c, np.arange(len(first))), y - first[c]
         tame = self._tame(self.words, self.word_bias)
-        within, part = np.zeros(len(y)), np.zeros_like(hs) if learn else None
-        for k in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(self.v.first) > 1)):
-            i = slice(cuts[k], cuts[k + 1])
-            m = slice(self.v.first[k], self.v.first[k + 1])
-            hk, wk = hs[i], self.words[m]
+        words = np.concatenate([self.words, self.word_bias[:, None]], 1)
+        picked, sums = np.zeros(len(y), h.dtype), np.ones(len(y), h.dtype)
+        if learn:
+            g, within = np.zeros_like(words), np.zeros_like(part)
+        some = np.flatnonzero((np.diff(cuts) > 0) & (np.diff(first) > 1))
+        for lo, hi, low, high in zip(*(x.tolist() for x in (cuts[some], cuts[some + 1], first[some], first[some + 1])), strict=True):
+            hk, wk = h[lo:hi], words[low:high]
             q = hk @ wk.T
-            q += self.word_bias[m]
             if not tame:
                 q -= q.max(1, keepdims=True)
-            at = (np.arange(len(hk)), ys[i] - m.start)
-            picked = q[at]
+            at = (rows[: hi - lo], at_y[lo:hi])
+            picked[lo:hi] = q[at]
             np.exp(q, out=q)
-            s = q @ ones[: q.shape[1]]
-            within[i] = picked - np.log(s)
+            s = sums[lo:hi] = q @ ones[: high - low]
             if learn:
-                q /= s[:, None]
-                q[at] -= 1
-                grads["words"][m] = q.T @ hk
-                grads["word_bias"][m] = q.sum(0)
-                np.matmul(q, wk, out=part[i])
-        out[order] += within
-        if learn:
-            back[order] += part
-        return (out, grads, back) if learn else out
+                q[at] -= s
+                np.matmul(q.T, hk / s[:, None], out=g[low:high])
+                np.matmul(q, wk[:, :-1], out=within[lo:hi])
+        ll += picked - np.log(sums)
+        out = np.empty_like(ll)
+        out[order] = ll
+        if not learn:
+            return out
+        grads |= {"words": np.ascontiguousarray(g[:, :-1]), "word_bias": g[:, -1]}
+        within /= sums[:, None]
+        part += within
+        back = np.empty_like(part)
+        back[order] = part
+        return out, grads, back
 
     def gradients(self, x: np.ndarray, y: np.ndarray, new: np.ndarray, h: np.ndarray, ok: np.ndarray | None = None) -> tuple[float, dict, np.ndarray]:
         """Over a window (lanes x steps) of inputs x, targets y and marks of first words, from states h: the log-likelihood,
         the gradients of its negative (of inputs: symbols and rows) and the states after it. Only targets that are ok count."""
         lanes, steps = x.shape
         k = self.hidden
-        kept, states = [], []
+        kept, states, some_new = [], [], new.any(0)
         for t in range(steps):
-            before = np.where(new[:, t, None], h.dtype.type(0), h)
-            z, r, n, un, h = self.step(x[:, t], before)
-            kept.append((before, z, r, n, un))
+            before = np.where(new[:, t, None], h.dtype.type(0), h) if some_new[t] else h
+            *gates, h = self.step(x[:, t], before)
+            kept.append((before, *gates))
             states.append(h)
         flat_h, flat_y = np.concatenate(states), y.T.ravel()
         if ok is None or ok.all():
@@ -314,31 +339,39 @@ class Network:
             back = np.zeros_like(flat_h)
             back[some] = part
         back = back.reshape(steps, lanes, k)
-        deltas, inner = (np.empty((steps, lanes, 3 * k), self.gates.dtype) for _ in "ab")
+        # by gate; inner: the candidate's delta before its state's part is reset
+        deltas, inner = np.empty((3, steps, lanes, k), self.gates.dtype), np.empty((steps, lanes, k), self.gates.dtype)
+        to_z, to_r, to_n = (np.ascontiguousarray(self.gates[:, i * k : (i + 1) * k].T) for i in range(3))
         dh = np.zeros((lanes, k), self.gates.dtype)
         for t in range(steps - 1, -1, -1):
-            before, z, r, n, un = kept[t]
-            dh = dh + back[t]
-            left = dh * (1 - z)
-            dn = n * n
+            _, z, r, n, un, rest = kept[t]
+            (dz, dr, dn), du = deltas[:, t], inner[t]
+            dh += back[t]
+            left = 1 - z
+            left *= dh
+            np.multiply(left, rest, out=dz)
+            np.multiply(n, n, out=dn)
             np.subtract(1, dn, out=dn)
             dn *= left
-            left *= z
-            d, du = deltas[t], inner[t]
-            np.multiply(left, before - n, out=d[:, :k])
-            left = r - r * r
-            left *= un
-            np.multiply(left, dn, out=d[:, k : 2 * k])
-            d[:, 2 * k :] = dn
-            du[:, : 2 * k] = d[:, : 2 * k]
-            np.multiply(dn, r, out=du[:, 2 * k :])
-            dh = np.where(new[:, t, None], h.dtype.type(0), dh * z + du @ self.gates.T)
-        grads["gates"] = np.concatenate([b for b, *_ in kept]).T @ inner.reshape(-1, 3 * k)
+            np.multiply(dn, r, out=du)
+            np.subtract(1, r, out=dr)
+            dr *= un
+            dr *= du
+            dh *= z
+            for delta, weights in ((dz, to_z), (dr, to_r), (du, to_n)):
+                dh += delta @ weights
+            if some_new[t]:
+                dh[new[:, t]] = 0
+        before = np.concatenate([b for b, *_ in kept]).T
+        grads["gates"] = np.concatenate([before @ x.reshape(-1, k) for x in (deltas[0], deltas[1], inner)], 1)
         flat_x = x.T.ravel()
         order = np.argsort(flat_x.astype(np.uint16) if self.v.size < 65_535 else flat_x, kind="stable")
         sorted_x = flat_x[order]
         opens = np.flatnonzero(np.concatenate([[True], sorted_x[1:] != sorted_x[:-1]]))
-        grads["inputs"] = sorted_x[opens], np.add.reduceat(deltas.reshape(-1, 3 * k)[order], opens, axis=0)
+        by_symbol = np.empty((len(order), 3 * k), deltas.dtype)
+        for i in range(3):
+            by_symbol[:, i * k : (i + 1) * k] = deltas[i].reshape(-1, k)[order]
+        grads["inputs"] = sorted_x[opens], group_sums(by_symbol, opens)
         return float(out.sum()), grads, h
 
     def train(self, ids: np.ndarray, starts: np.ndarray, lanes: int | None = None, rate: float = RATE) -> int:
@@ -362,23 +395,45 @@ class Network:
             _, grads, h = self.gradients(x[:, part], y[:, part], new[:, part], h, ok[:, part])
             m = int(ok[:, part].sum())
             self.updates += 1
-            fix = np.sqrt(1 - 0.99**self.updates) / (1 - 0.9**self.updates)
+            # a plain number, which leaves arrays of 32 bits what they are
+            fix = float(np.sqrt(1 - 0.99**self.updates) / (1 - 0.9**self.updates))
             for name in self.NAMES:
                 at, g = grads[name] if name == "inputs" else (slice(None), grads[name])
-                g = np.clip(g / m, -1, 1)
-                f = self.first[name][at] = 0.9 * self.first[name][at] + 0.1 * g
-                s = self.second[name][at] = 0.99 * self.second[name][at] + 0.01 * g * g
-                getattr(self, name)[at] -= rate * fix * f / (np.sqrt(s) + 1e-6)
+                g = g / m
+                np.clip(g, -1, 1, out=g)
+                # of inputs these are copies, of the others views
+                f, s = self.first[name][at], self.second[name][at]
+                f *= 0.9
+                f += 0.1 * g
+                g *= g
+                g *= 0.01
+                s *= 0.99
+                s += g
+                if name == "inputs":
+                    self.first[name][at], self.second[name][at] = f, s
+                step = np.sqrt(s)
+                step += 1e-6
+                np.divide(f, step, out=step)
+                step *= rate * fix
+                getattr(self, name)[at] -= step
         return len(ids)
 
     def score(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Log-likelihood of each text, from the symbols of all and the number of each."""
         first = np.cumsum(counts) - counts
         by = np.argsort(-counts, kind="stable")
-        first, counts_by = first[by], counts[by]
-        total = np.zeros(len(by))
+        out = np.empty(len(by))
+        # texts of about equal length together, few enough that a step's arrays stay in the cache
+        for lo in range(0, len(by), SCORE_LANES):
+            group = by[lo : lo + SCORE_LANES]
+            out[group] = self._score(ids, first[group], counts[group])
+        return out
+
+    def _score(self, ids: np.ndarray, first: np.ndarray, counts_by: np.ndarray) -> np.ndarray:
+        """Log-likelihood of the texts of ids that start at first, the longest first."""
+        total = np.zeros(len(first))
         longest = int(counts_by.max(initial=0))
-        alive = len(by) - np.searchsorted(counts_by[::-1], np.arange(longest), "right")
+        alive = len(first) - np.searchsorted(counts_by[::-1], np.arange(longest), "right")
         h = np.zeros((int(alive[0]) if longest else 0, self.hidden), np.float32)
         x = np.full(len(h), self.v.size, np.int64)
         states, targets, sizes = [], [], []
@@ -393,9 +448,7 @@ class Network:
                 lanes = vec.ragged(np.zeros(len(sizes), np.int64), np.array(sizes))
                 total += np.bincount(lanes, self.loss(np.concatenate(states), np.concatenate(targets)), len(total))
                 states, targets, sizes = [], [], []
-        out = np.empty(len(by))
-        out[by] = total
-        return out
+        return total
 
 
 def shards(docs: DataFrame, v: Vocabulary, words: int = SHARD_WORDS) -> DataFrame:

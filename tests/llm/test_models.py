@@ -267,6 +267,13 @@ def test_tame_and_large_logits(monkeypatch):
     assert np.isfinite(net.loss(h, y)).all() and looked[4:] == [False, False]
 
 
+def test_group_sums():
+    rng = np.random.default_rng(4)
+    rows, size = rng.normal(size=(300, 5)), np.array([1, 40, 2, 8, 9, 1, 100, 139])
+    opens = np.cumsum(size) - size
+    assert np.allclose(lm.group_sums(rows, opens), np.add.reduceat(rows, opens, axis=0))
+
+
 def test_gradients_through_time():
     """Finite differences of every parameter that feeds the state, over a window with new texts and spare places in it."""
     v, rng = small(6), np.random.default_rng(3)
