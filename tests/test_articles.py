@@ -253,3 +253,9 @@ def test_broken_documents_dont_fail():
     for html in ("<p", "<p><b>x</p></b>", "</p></p>", "<table><tr><td rowspan='x' colspan='99999'>a</table>", "<![CDATA[x", "&#xFFFFFFF;"):
         dom.parse_document(html)
         dom.parse_document(html, xml=True)
+
+
+def test_references_without_semicolon_are_text():
+    text = lambda s, **k: dom.parse_document(s, **k)[0]
+    assert text("<h1>a&amp;&amp; b&amp</h1><p>&amplt; &#39 x &#39; &copy &copy; R&D</p>") == "a&& b&amp&amplt; &#39 x ' &copy © R&D"
+    assert text("<p>a <![CDATA[b&lt <i>]]> &lt</p>", xml=True) == "a b&lt <i> &lt"
