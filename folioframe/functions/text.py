@@ -14,6 +14,11 @@ QUOTES = r"""["'\p{Pi}\p{Pf}]"""
 DASHES = "[–−-]"
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, EDGE, "")
 
@@ -66,11 +71,9 @@ def cell_kind(c: Column) -> Column:
 
 def column_kind(cells: Column) -> Column:
     """Majority of the kinds of an array of cells; ties go to num, then txt, then mix."""
-    kinds = F.transform(cells, cell_kind)
-    count = lambda kind: F.size(F.filter(kinds, lambda x: x == kind))
-    n, t, m = count("num"), count("txt"), count("mix")
-    most = F.greatest(n, t, m)
-    return F.when(most == n, "num").when(most == t, "txt").otherwise("mix")
+    count = lambda ks, kind: F.size(F.filter(ks, lambda x: x == kind)).alias(kind)
+    counts = let(F.transform(cells, cell_kind), lambda ks: F.struct(*[count(ks, kind) for kind in ("num", "txt", "mix")]))
+    return let(counts, lambda n: F.when((n["num"] >= n["txt"]) & (n["num"] >= n["mix"]), "num").when(n["txt"] >= n["mix"], "txt").otherwise("mix"))
 
 
 def is_superrow(cells: Column) -> Column:

@@ -1,9 +1,12 @@
+import time
+
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from folioframe.functions import batches
-from folioframe.operators import article, jats
+from folioframe.operators import article, jats, tables
 from folioframe.plans.configs import default_config
 from folioframe.sources import dom
 
@@ -61,3 +64,19 @@ def test_few_partitions_are_spread(spark):
     assert batches.spread(many) is many
     grouped = df.groupBy("id").count()
     assert batches.spread(grouped) is grouped
+
+
+def test_large_tables_take_time_in_proportion(spark):
+    """40,000 rows, superrows or a first column of names: minutes where each row costs the rows before it."""
+    n = 40_000
+    parted = [[f"part {i // 8000}", "", ""] if i % 8000 == 0 else [f"n{i}", str(i), "1"] for i in range(n)]
+    named = [[f"name {i // 2}", str(i), "1"] for i in range(n)]
+    df = spark.createDataFrame([(0, parted), (1, named)], "id int, g array<array<string>>")
+    head = F.concat(F.array(F.array(*map(F.lit, "abc"))), "g")
+    rows = tables.with_subheaders(tables.with_sections(head, F.transform(head, lambda _, i: i == 0)))
+    began = time.time()
+    got = {r["id"]: r["t"] for r in df.select("id", tables.sectioned(rows).alias("t")).collect()}
+    assert time.time() - began < 90
+    assert [t["columns"] for t in got[0]] == [["a", "b", "c"]] and [t["columns"] for t in got[1]] == [["b", "c"]]
+    assert [(s["name"], len(s["rows"])) for s in got[0][0]["sections"]] == [(f"part {i}", 7999) for i in range(5)]
+    assert [(s["name"], s["rows"]) for s in got[1][0]["sections"]] == [(f"name {i}", [[str(2 * i), "1"], [str(2 * i + 1), "1"]]) for i in range(n // 2)]
