@@ -7,19 +7,18 @@ import unicodedata
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
+from folioframe.functions.batches import DOCUMENT_BYTES, pieces
 
-def nfkd(c: Column | str) -> Column:
-    """Compatibility decomposition."""
-
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x))
 
-    return run(c)
+def nfkd(x: str) -> str:
+    """Compatibility decomposition."""
+    return unicodedata.normalize("NFKD", x)
 
 
 def indel_ratio(a: str, b: str) -> int:
@@ -54,18 +53,17 @@ def declared_xml(x: str | None) -> bool:
 
 
 def is_declared_xml(c: Column | str) -> Column:
-    @F.pandas_udf("boolean")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(declared_xml)
-
-    return run(c)
+    return applied(declared_xml, c, "boolean", False)
 
 
-def applied(f: Callable, c: Column, kind: str = "string") -> Column:
-    """A function of a string, as the passes over whole documents use it, on a column; null stays null."""
+def applied(f: Callable, c: Column | str, kind: str = "string", null=None) -> Column:
+    """A function of a string, as the passes over whole documents use it, on a column; null stays null, or what is given for it.
+    The strings of a piece of a batch are in memory at once, the others as Arrow has them."""
+    made = to_arrow_type(StructType.fromDDL(f"x {kind}")["x"].dataType)
 
-    @F.pandas_udf(kind)
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else f(x))
+    @F.arrow_udf(kind)
+    def run(s: pa.Array) -> pa.Array:
+        out = [pa.array([null if (y := x.as_py()) is None else f(y) for x in piece.column(0)], made) for piece in pieces(iter([pa.RecordBatch.from_arrays([s], names=["s"])]), "s", DOCUMENT_BYTES)]
+        return pa.concat_arrays(out) if out else pa.array([], made)
 
     return run(c)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioframe.api import process_pages, process_rendered_text
 from folioframe.functions import text as T
+from folioframe.functions.batches import each
 from folioframe.functions.vectorized import applied, nfkd
 from folioframe.operators import abbreviations as A
 from folioframe.operators import article, bioc, headings, jats, pipetables, tables
@@ -280,8 +281,8 @@ SELECT page_id, md5(replace(replace(replace(replace(replace(replace(html, '&lt;'
   length(regexp_replace(html, '<[^<>]+>', '', 'g')) AS n_without_tags FROM pages
 """)
 def decode_entities(spark, sf_dir):
-    t = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(applied(jats.decode_entities, t)).alias("decoded"), F.length(applied(jats.strip_tags, t)).cast("long").alias("n_without_tags"))
+    done = each(table(spark, sf_dir, "pages").select("page_id", "html"), "html", decoded=(jats.decode_entities, "string"), bare=(jats.strip_tags, "string"))
+    return done.select("page_id", F.md5("decoded").alias("decoded"), F.length("bare").cast("long").alias("n_without_tags"))
 
 
 @query("SELECT doc_id, md5(text) AS repaired, md5(text) AS unescaped FROM documents")
@@ -295,7 +296,7 @@ def repair_text(spark, sf_dir):
 
 @query()
 def decomposed(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(nfkd("text")).alias("n_chars_nfkd"))
+    return each(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", nfkd=(nfkd, "string")).select("doc_id", F.length("nfkd").alias("n_chars_nfkd"))
 
 
 # headings

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from folioframe.functions import batches
+from folioframe.functions.vectorized import applied, nfkd
 from folioframe.operators import article, jats, tables
 from folioframe.plans.configs import default_config
 from folioframe.sources import dom
@@ -80,3 +81,19 @@ def test_large_tables_take_time_in_proportion(spark):
     assert [t["columns"] for t in got[0]] == [["a", "b", "c"]] and [t["columns"] for t in got[1]] == [["b", "c"]]
     assert [(s["name"], len(s["rows"])) for s in got[0][0]["sections"]] == [(f"part {i}", 7999) for i in range(5)]
     assert [(s["name"], s["rows"]) for s in got[1][0]["sections"]] == [(f"name {i}", [[str(2 * i), "1"], [str(2 * i + 1), "1"]]) for i in range(n // 2)]
+
+
+@pytest.mark.parametrize("kind", [jats.decode_entities, jats.strip_tags, nfkd])
+def test_strings_leave_in_pieces(spark, kind):
+    text = "ﬁ &lt;b> <i>x</i> " * 2000
+    run = batches.each(Frame("id long, content string"), "content", made=(kind, "string"))
+    out = list(run(iter([pa.RecordBatch.from_pydict({"id": list(range(60)), "content": [text] * 59 + [None]})])))
+    assert max(b.num_rows for b in out) * len(text.encode()) <= batches.DOCUMENT_BYTES
+    assert [x for b in out for x in b.column("made").to_pylist()] == [kind(text)] * 59 + [None]
+    assert [i for b in out for i in b.column("id").to_pylist()] == list(range(60))
+
+
+def test_applied_holds_one_piece_of_strings(spark):
+    df = spark.createDataFrame([("a b",), (None,), ("",)], "x string").coalesce(1)
+    got = df.select(applied(str.split, F.col("x"), "array<string>").alias("y"), applied(str.isalpha, F.col("x"), "boolean", False).alias("z")).collect()
+    assert [tuple(r) for r in got] == [(["a", "b"], False), (None, False), ([], False)]
